@@ -1,5 +1,6 @@
 """The registered reports: each a Spark query with, where SQL can say it, its SQL twin."""
 
+from dwops.reports import aggregates, joins, scans  # noqa: F401
 from dwops.reports.registry import REPORTS, report
 
 __all__ = ["REPORTS", "report"]
