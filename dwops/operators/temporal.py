@@ -31,7 +31,7 @@ def asof_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: st
                         F.lit(None).cast(versions.schema["_version"].dataType).alias("_version"),
                         F.struct(*fact.columns).alias("_fact"))
     line = scan_groups(versions.unionByName(facts), ["_key"], ["_t", "_kind"], last={"_seen": F.col("_version")})
-    met = line.where((F.col("_kind") == 1) & (F.col("_t") < open_ended(F.col(f"_seen.{valid_to}"))))
+    met = line.where((F.col("_kind") == 1) & F.col("_seen").isNotNull() & (F.col("_t") < open_ended(F.col(f"_seen.{valid_to}"))))
     return met.select("_fact.*", "_seen.*")
 
 
