@@ -39,13 +39,22 @@ def propose_joins(columns: dict[str, list[str]], normalise: bool = True) -> list
     return found
 
 
+# Values up to this length are compared as they are, longer ones by their hash.
+PLAIN_LENGTH = 32
+
+
 def column_values(tables: dict[str, DataFrame], wanted: set[tuple[str, str]]) -> DataFrame:
-    """(tbl, col, value, cnt) of the wanted columns; values as MD5 so that long texts stay cheap."""
+    """(tbl, col, value, cnt) of the wanted columns.
+
+    Long texts are shuffled as a marked MD5, which is longer than any plain value.
+    """
     parts = []
     for name, df in tables.items():
         columns = sorted(c for t, c in wanted if t == name)
         if columns:
-            cells = [F.struct(F.lit(name).alias("tbl"), F.lit(c).alias("col"), F.md5(F.col(c).cast("string")).alias("value")) for c in columns]
+            text = {c: F.col(c).cast("string") for c in columns}
+            short = {c: F.when(F.length(v) <= PLAIN_LENGTH, v).otherwise(F.concat(F.lit("md5:"), F.md5(v))) for c, v in text.items()}
+            cells = [F.struct(F.lit(name).alias("tbl"), F.lit(c).alias("col"), short[c].alias("value")) for c in columns]
             parts.append(df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()))
     all_cells = parts[0]
     for p in parts[1:]:

@@ -6,7 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from dwops.plans.frontier import expand, stored
+from dwops.plans.frontier import expand
+from dwops.session import stored
 
 
 def walk_hierarchy(df: DataFrame, key: str, parent: str, name: str, max_levels: int = 100, sep: str = " > ") -> DataFrame:

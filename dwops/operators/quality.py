@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dwops.functions.values import pct
 from dwops.operators.relational import top_per_key
+from dwops.plans.keyed import spread
 
 # Types whose lowest and highest values say nothing.
 NO_MIN_MAX = (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
@@ -126,16 +127,22 @@ def check_fd(df: DataFrame, lhs: list[str], rhs: str) -> DataFrame:
 def find_fds(df: DataFrame, columns: list[str]) -> DataFrame:
     """All single-column dependencies: a determines b when the pairs are as many as the a values.
 
-    Every pair is counted in one grouping; combining on the map side leaves distinct
-    values only in the shuffle.
+    Every column and every unordered pair is counted in one grouping; combining on the map
+    side leaves only distinct values in the shuffle.
     """
     text = {c: F.col(c).cast("string") for c in columns}
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), text[a].alias("va"), text[b].alias("vb")) for a in columns for b in columns]
-    sizes = df.select(F.inline(F.array(*cells))).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("pairs"))
-    singles = sizes.where("a = b").select("a", F.col("pairs").alias("singles"))
-    return sizes.where("a <> b").join(singles, "a").select(
-        F.col("a").alias("determinant"), F.col("b").alias("dependent"), "singles", "pairs",
-        (F.col("pairs") == F.col("singles")).alias("holds"),
+    cells = [
+        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), text[a].alias("va"), text[b].alias("vb"))
+        for i, a in enumerate(columns) for b in columns[i:]
+    ]
+    sizes = df.select(F.inline(F.array(*cells))).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # A few rows per column from here on.
+    both = F.array(F.struct(F.col("a").alias("determinant"), F.col("b").alias("dependent"), F.col("n").alias("pairs")),
+                   F.struct(F.col("b").alias("determinant"), F.col("a").alias("dependent"), F.col("n").alias("pairs")))
+    pairs = sizes.where("a <> b").select(F.inline(both))
+    singles = sizes.where("a = b").select(F.col("a").alias("determinant"), F.col("n").alias("singles"))
+    return pairs.join(singles, "determinant").select(
+        "determinant", "dependent", "singles", "pairs", (F.col("pairs") == F.col("singles")).alias("holds")
     )
 
 
@@ -222,7 +229,7 @@ PII_PATTERNS = {
 def pii_scan(df: DataFrame, table: str, columns: list[str], patterns: dict[str, str] = PII_PATTERNS) -> DataFrame:
     """Share of a column's values containing each pattern, all columns in one pass."""
     pairs = [(c, n, p) for c in columns for n, p in patterns.items()]
-    one = df.agg(
+    one = spread(df.select(*columns)).agg(
         *[F.count(c).alias(f"_n_{c}") for c in columns],
         *[F.count_if(F.col(c).rlike(p)).alias(f"_h_{c}_{n}") for c, n, p in pairs],
     )

@@ -270,17 +270,17 @@ def slowest_groups(df: DataFrame, keys: list[str], value: str, n: int = 20) -> D
 
 
 def cohort_retention(df: DataFrame, entity: str, ts: str) -> DataFrame:
-    """Active entities per (first month, activity month) and their share of the cohort."""
+    """Active entities per (first month, activity month) and their share of the cohort.
+
+    Rows are distinct per entity and month, so counting them counts entities, and both
+    windows run over at most one row per month.
+    """
     active = df.select(entity, month_of(ts).alias("activity_month")).distinct()
-    cohorts = active.groupBy(entity).agg(F.min("activity_month").alias("cohort_month"))
-    sizes = cohorts.groupBy("cohort_month").agg(F.count(F.lit(1)).alias("cohort_size"))
-    # Rows of ``active`` are distinct per entity and month, so counting them counts entities.
-    counts = (
-        active.join(cohorts, entity).groupBy("cohort_month", "activity_month")
-        .agg(F.count(F.lit(1)).alias("active_users"))
-    )
+    cohorts = active.withColumn("cohort_month", F.min("activity_month").over(Window.partitionBy(entity)))
+    counts = cohorts.groupBy("cohort_month", "activity_month").agg(F.count(F.lit(1)).alias("active_users"))
+    founders = F.when(F.col("activity_month") == F.col("cohort_month"), F.col("active_users"))
     return (
-        counts.join(sizes, "cohort_month")
+        counts.withColumn("cohort_size", F.max(founders).over(Window.partitionBy("cohort_month")))
         .withColumn("months_since_signup", months_apart("cohort_month", "activity_month"))
         .withColumn("retention_pct", pct("active_users", "cohort_size"))
     )
@@ -293,7 +293,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, continuous: dict[str
     wanted positions. Nothing but those values is gathered per group, whatever its size.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
-    placed = scan_groups(counts, keys, [value], sums={"_upto": F.col("_ties")})
+    placed = scan_groups(counts, keys, [value], sums={"_upto": F.col("_ties")}, derived=True)
     placed = join_on_same(placed, counts.groupBy(*keys).agg(F.sum("_ties").alias("_total")), keys, "left")
 
     def at(position: Column) -> Column:

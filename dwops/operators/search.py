@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dwops.functions.values import any_of, matches
 from dwops.operators.relational import top_per_key
+from dwops.plans.keyed import spread
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -44,7 +45,9 @@ def search_objects(df: DataFrame, key: str, text: str, a: str | None, b: str | N
     hits = lines_of(df.where(whole), key, text).withColumns(flags).where(any_of([F.col(f) for f in flags]))
     found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("match_count"), *[F.max(f).alias(f) for f in flags])
     kept = found.where(reduce(lambda x, y: x & y, [F.col(f) for f in flags])).select(key, "match_count").orderBy(key).limit(limit)
-    first = top_per_key(hits.select(key, "line"), [key], ["line"], keep_lines).groupBy(key).agg(
+    # ``kept`` has at most ``limit`` rows.
+    listed = hits.select(key, "line").join(F.broadcast(kept.select(key)), key, "left_semi")
+    first = top_per_key(listed, [key], ["line"], keep_lines).groupBy(key).agg(
         F.array_join(F.sort_array(F.collect_list("line")), ",").alias("matching_lines")
     )
     return kept.join(first, key)
@@ -85,6 +88,8 @@ def search_cells(df: DataFrame, table: str, key: str, pattern: str, regex: bool
 
 # Length of the term start that is looked up in the texts.
 GRAM = 3
+# Number of terms up to which every text is simply tested for each of them.
+FEW_TERMS = 1_000
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -92,21 +97,27 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
-def tag_terms(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str) -> DataFrame:
+def tag_terms(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str, few: int = FEW_TERMS) -> DataFrame:
     """Which terms occur, case-insensitively, in which texts.
 
-    A term can only occur where its first three characters do. Texts meet the terms
-    through an equality join on those characters (all of a shorter term), and the
-    substring test then decides; texts and terms are never crossed.
+    A short glossary (counted first) travels to the texts as one array value, so the
+    texts are read once and never shuffled. For a long one the texts meet the terms
+    through an equality join: a term can only occur where its first three characters do,
+    and the substring test then decides.
     """
-    low = docs.select(key, F.lower(F.col(text)).alias("_text")).where(F.length("_text") > 0)
-    words = terms.where(F.length(term) > 0).select("*", F.lower(F.col(term)).alias("_term"))
+    low = spread(docs.select(key, text)).select(key, F.lower(F.col(text)).alias("_text")).where(F.length("_text") > 0)
+    words = terms.where(F.length(term) > 0).withColumn("_term", F.lower(F.col(term)))
+    columns = [F.col(c) for c in terms.columns]
+    if words.limit(few + 1).count() <= few:
+        glossary = words.agg(F.collect_list(F.struct("_term", F.struct(*columns).alias("_entry")))).scalar()
+        found = F.filter("_glossary", lambda w: F.contains(F.col("_text"), w["_term"]))
+        return low.withColumn("_glossary", glossary).select(key, F.explode(F.transform(found, lambda w: w["_entry"])).alias("_entry")).select(key, "_entry.*")
     words = words.withColumn("_size", F.least(F.length("_term"), F.lit(GRAM))).withColumn("_gram", F.substring("_term", 1, GRAM))
-    sizes = sorted(r["_size"] for r in words.select("_size").distinct().collect()) or [GRAM]
+    sizes = sorted(r["_size"] for r in words.select("_size").distinct().collect())
     parts = [low.select(key, F.lit(n).alias("_size"), F.explode(_grams(F.col("_text"), n)).alias("_gram")) for n in sizes]
     starts = reduce(DataFrame.unionByName, parts)
-    pairs = starts.join(words, ["_size", "_gram"]).select(key, *terms.columns, "_term")
-    return pairs.join(low, key).where(F.contains("_text", "_term")).select(key, *terms.columns)
+    pairs = starts.join(words, ["_size", "_gram"]).select(key, *columns, "_term")
+    return pairs.join(low, key).where(F.contains("_text", "_term")).select(key, *columns)
 
 
 def union_canonical(parts: dict[str, DataFrame], aliases: dict[str, str], tag: str = "origin") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwops.functions.values import any_of
-from dwops.plans.ordered import previous_value, row_frames, scan_groups
+from dwops.plans.ordered import scan_groups
 
 OPEN_END = "9999-12-31"
 
@@ -30,7 +30,7 @@ def asof_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: st
     facts = fact.select(F.col(key).alias("_key"), F.col(ts).cast("date").alias("_t"), F.lit(1).alias("_kind"),
                         F.lit(None).cast(versions.schema["_version"].dataType).alias("_version"),
                         F.struct(*fact.columns).alias("_fact"))
-    line = scan_groups(versions.unionByName(facts), ["_key"], ["_t", "_kind"], last={"_seen": F.col("_version")})
+    line = scan_groups(versions.unionByName(facts), ["_key"], ["_t", "_kind"], last={"_seen": F.col("_version")}, derived=True)
     met = line.where((F.col("_kind") == 1) & F.col("_seen").isNotNull() & (F.col("_t") < open_ended(F.col(f"_seen.{valid_to}"))))
     return met.select("_fact.*", "_seen.*")
 
@@ -47,7 +47,7 @@ def overlap_conflicts(df: DataFrame, key: str, start: str, end: str) -> DataFram
         point(start, 1, 0).unionByName(point(end, 0, 1)).groupBy(key, "_t")
         .agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
     )
-    line = scan_groups(points, [key], ["_t"], sums={"_started": F.col("_s"), "_ended": F.col("_e")})
+    line = scan_groups(points, [key], ["_t"], sums={"_started": F.col("_s"), "_ended": F.col("_e")}, derived=True)
     started = line.select(key, F.col("_t").alias(end), (F.col("_started") - F.col("_s")).alias("_started_before"))
     ended = line.select(key, F.col("_t").alias(start), F.col("_ended").alias("_ended_by"))
     counted = df.join(started, [key, end]).join(ended, [key, start])
@@ -63,9 +63,11 @@ def scd2_from_changes(df: DataFrame, key: str, ts: str, columns: list[str], tail
     """
     state = F.struct(*columns)
     per_day = df.groupBy(key, F.col(ts).cast("date").alias("valid_from")).agg(F.max_by(state, F.col(tail)).alias("_state"))
-    seen = previous_value(per_day, [key], ["valid_from"], {"_before": F.col("_state")})
+    # One row per key and day: a group is as long as the calendar at most.
+    w = Window.partitionBy(key).orderBy("valid_from")
+    seen = per_day.withColumn("_before", F.lag("_state").over(w))
     changed = seen.where(~F.col("_state").eqNullSafe(F.col("_before"))).drop("_before")
-    closed = row_frames(changed, [key], ["valid_from"], 0, 1, {"valid_to": lambda w: F.lead("valid_from").over(w)})
+    closed = changed.withColumn("valid_to", F.lead("valid_from").over(w))
     return closed.select(key, "_state.*", "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 

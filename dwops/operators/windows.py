@@ -13,7 +13,7 @@ from dwops.functions.values import exact_avg, exact_sum, micros, money
 from dwops.operators.relational import top_per_key
 from dwops.plans.keyed import join_on_same, with_group_values
 from dwops.plans.ordered import (
-    ntile_from_number, previous_value, rank_values, row_frames, scan_groups,
+    chunk_rows, large_groups, ntile_from_number, previous_value, rank_values, row_frames, scan_groups, sort_columns,
 )
 
 
@@ -48,7 +48,7 @@ def rank_all(df: DataFrame, keys: list[str], value: str, tail: list[str]) -> Dat
 
 def ntile_by(df: DataFrame, tiles: dict[str, int], order: list[str], keys: list[str] = ()) -> DataFrame:
     """NTILE buckets; several bucket counts share one ordering."""
-    numbered = scan_groups(df, keys, order, number="_rn")
+    numbered = scan_groups(df, keys, order, number="_rn", derived=True)
     sized = with_group_values(numbered, keys, {"_size": F.count(F.lit(1))}) if keys else numbered.withColumn(
         "_size", df.agg(F.count(F.lit(1))).scalar()
     )
@@ -83,44 +83,66 @@ DURATIONS = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "
 
 
 def running(df: DataFrame, value: Column, order: list[str], keys: list[str] = (), frame: str = "rows",
-            name: str = "running_total") -> DataFrame:
+            name: str = "running_total", rows: int | None = None) -> DataFrame:
     """Running total. ``rows`` counts row by row; ``range`` gives peers the same total.
 
-    For ``range`` the peers are summed first and the totals joined back to their rows.
+    For ``range`` with a large group, the peers are summed first and the totals joined
+    back to their rows.
     """
     if frame == "rows":
-        return scan_groups(df, keys, order, sums={name: value})
+        return scan_groups(df, keys, order, sums={name: value}, rows=rows)
+    if large_groups(df, keys, rows or chunk_rows(df)).isEmpty():
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*sort_columns(order))))
     peers = [*keys, *[o.lstrip("-") for o in order]]
     sums = df.groupBy(*peers).agg(F.sum(value).alias("_peer_sum"))
-    totals = scan_groups(sums, keys, order, sums={name: F.col("_peer_sum")}).drop("_peer_sum")
+    totals = scan_groups(sums, keys, order, sums={name: F.col("_peer_sum")}, rows=rows, derived=True).drop("_peer_sum")
     return join_on_same(df, totals, peers, "left")
 
 
 def moving_rows(df: DataFrame, order: list[str], before: int, after: int, columns: dict[str, Column],
-                keys: list[str] = ()) -> DataFrame:
+                keys: list[str] = (), **remarks: bool) -> DataFrame:
     """Aggregates over the last ``before`` and next ``after`` rows."""
-    frame = lambda w, c: c.over(w.rowsBetween(-before, after))
-    return row_frames(df, keys, order, before, after, {n: (lambda w, c=c: frame(w, c)) for n, c in columns.items()})
+    frames = {n: (lambda w, c=c: c.over(w.rowsBetween(-before, after))) for n, c in columns.items()}
+    return row_frames(df, keys, order, before, after, frames, **remarks)
 
 
-def moving_interval(df: DataFrame, ts: str, before: str, after: str, columns: dict[str, Column],
-                    keys: list[str] = (), id_column: str | None = None) -> DataFrame:
-    """Aggregates over a time interval around each row, e.g. ``7 days`` back.
+# Rows per group up to which each frame is simply summed row by row.
+FRAME_ROWS = 10_000
 
-    Rows fall into slices of the frame's length, and are copied to the neighbouring
-    slices their values reach; each (key, slice) is then a small window of its own.
+
+def moving_interval(df: DataFrame, ts: str, before: str, after: str, sums: dict[str, Column],
+                    keys: list[str] = (), rows: int = FRAME_ROWS, bounded: bool = False) -> DataFrame:
+    """Sums over a time interval around each row, e.g. ``7 days`` back.
+
+    In groups beyond ``rows`` rows a frame may hold very many of them. There, sums are
+    taken as differences of running sums: each distinct time of a group asks for the
+    running sum where its frame ends and just before it starts. Count with a sum of 1.
     """
-    to_micros = lambda text: int(DURATIONS[text.split()[1].rstrip("s")] * int(text.split()[0]))
-    back, ahead = to_micros(before), to_micros(after)
-    width = max(back + ahead, DURATIONS["hour"])
+    keys = list(keys)
+    back, ahead = (int(n) * DURATIONS[unit.rstrip("s")] for n, unit in (before.split(), after.split()))
     timed = df.withColumn("_t", micros(ts))
-    home = F.floor(F.col("_t") / F.lit(width))
-    first = F.floor((F.col("_t") - ahead) / F.lit(width))
-    last = F.floor((F.col("_t") + back) / F.lit(width))
-    spread = timed.withColumn("_home", home).withColumn("_slice", F.explode(F.sequence(first, last)))
-    w = Window.partitionBy(*keys, "_slice").orderBy("_t").rangeBetween(-back, ahead)
-    out = spread.withColumns({n: c.over(w) for n, c in columns.items()})
-    return out.where(F.col("_slice") == F.col("_home")).drop("_t", "_home", "_slice")
+    if bounded or large_groups(timed, keys, rows).isEmpty():
+        w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-back, ahead)
+        return timed.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).drop("_t")
+    names = list(sums)
+    # A NULL sum means no value in the frame; counting values keeps that apart from 0.
+    parts = {f"_s{i}": F.coalesce(F.sum(c), F.lit(0)) for i, c in enumerate(sums.values())}
+    parts |= {f"_n{i}": F.count(c) for i, c in enumerate(sums.values())}
+    times = timed.groupBy(*keys, "_t").agg(*[c.alias(n) for n, c in parts.items()])
+    nothing = [F.lit(0).cast(times.schema[n].dataType).alias(n) for n in parts]
+    # At equal times: a frame's start (0) comes before the rows (1), its end (2) after them.
+    starts = times.select(*keys, (F.col("_t") - back).alias("_at"), F.lit(0).alias("_kind"), *nothing)
+    values = times.select(*keys, F.col("_t").alias("_at"), F.lit(1).alias("_kind"), *parts)
+    ends = times.select(*keys, (F.col("_t") + ahead).alias("_at"), F.lit(2).alias("_kind"), *nothing)
+    line = scan_groups(starts.unionByName(values).unionByName(ends), keys, ["_at", "_kind"],
+                       sums={f"_run{n}": F.col(n) for n in parts}, derived=True)
+    home = F.when(F.col("_kind") == 0, F.col("_at") + back).otherwise(F.col("_at") - ahead)
+    sign = F.when(F.col("_kind") == 0, F.lit(-1)).otherwise(F.lit(1))
+    asked = line.where("_kind <> 1").groupBy(*keys, home.alias("_t")).agg(
+        *[F.sum(sign * F.col(f"_run{n}")).alias(n) for n in parts]
+    )
+    per_time = asked.select(*keys, "_t", *[F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}")).alias(n) for i, n in enumerate(names)])
+    return join_on_same(timed, per_time, [*keys, "_t"], "left").drop("_t")
 
 
 def partition_share(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -134,12 +156,12 @@ def period_total(df: DataFrame, period: Column, value: str, name: str) -> DataFr
     return with_group_values(df.withColumn("period", period), ["period"], {name: exact_sum(value)})
 
 
-def lag_lead(df: DataFrame, value: str, order: list[str], keys: list[str] = (), n: int = 1) -> DataFrame:
+def lag_lead(df: DataFrame, value: str, order: list[str], keys: list[str] = (), n: int = 1, **remarks: bool) -> DataFrame:
     """Value ``n`` rows before and after, and the change against the one before."""
     out = row_frames(df, keys, order, n, n, {
         "previous_value": lambda w: F.lag(value, n).over(w),
         "next_value": lambda w: F.lead(value, n).over(w),
-    })
+    }, **remarks)
     return out.withColumn("change", F.col(value) - F.col("previous_value"))
 
 
@@ -173,7 +195,7 @@ def sessionize(df: DataFrame, key: str, ts: str, tail: list[str], gap_minutes: i
     flagged = seen.withColumn("minutes_since_last", seconds / 60).withColumn(
         "new_session", F.when(F.col("minutes_since_last") > gap_minutes, F.lit(1)).otherwise(0).cast("long")
     )
-    return scan_groups(flagged, [key], [ts, *tail], sums={"session_id": F.col("new_session")})
+    return scan_groups(flagged, [key], [ts, *tail], sums={"session_id": F.col("new_session")}, derived=True)
 
 
 def sequence_gaps(df: DataFrame, key: str) -> DataFrame:
@@ -182,7 +204,7 @@ def sequence_gaps(df: DataFrame, key: str) -> DataFrame:
     The next greater id is found by looking one row ahead among the distinct ids.
     """
     ids = df.select(F.col(key).alias("current_id")).where(F.col(key).isNotNull()).distinct()
-    ahead = row_frames(ids, [], ["current_id"], 0, 1, {"next_id": lambda w: F.lead("current_id").over(w)})
+    ahead = row_frames(ids, [], ["current_id"], 0, 1, {"next_id": lambda w: F.lead("current_id").over(w)}, derived=True)
     return ahead.withColumn("gap_size", F.col("next_id") - F.col("current_id") - 1).where("gap_size > 0")
 
 

@@ -7,13 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from dwops.session import shared_root
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder once, for several later reads."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+from dwops.session import stored
 
 
 def expand(start: DataFrame, step: Callable[[DataFrame, list[DataFrame], int], DataFrame], max_rounds: int,

@@ -30,3 +30,13 @@ def with_group_values(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -
         return df.select("*", *[one.select(n).scalar().alias(n) for n in aggs])
     grouped = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
     return join_on_same(df, grouped, list(keys), "left")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out over all cores when the scan has fewer partitions than those.
+
+    For costly work per row on a small file; a large table has more partitions than
+    cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

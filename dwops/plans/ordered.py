@@ -12,6 +12,10 @@ Collected to the driver: one row per large group and about one cut per chunk, so
 lists are bounded by total rows / chunk rows.
 
 Order columns are names, a leading ``-`` meaning descending; NULLs sort first.
+
+Two remarks callers can make: ``bounded`` says that groups are known to be small (one
+row per day, say), so nothing is counted; ``derived`` says that the input is costly to
+compute, so it is stored once if a group has to be cut and read from there.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dwops.functions.values import micros
 from dwops.plans.keyed import join_on_same
+from dwops.session import stored
 
 CHUNK_ROWS_KEY = "spark.dwops.chunkRows"
 DEFAULT_CHUNK_ROWS = 5_000_000
@@ -77,15 +82,22 @@ class Chunked:
         return Window.partitionBy(*parts).orderBy(*sort_columns(self.order))
 
 
-def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None) -> Chunked:
+def large_groups(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Keys and sizes of the groups with more than ``rows`` rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
+
+
+def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, *, bounded: bool = False,
+            derived: bool = False) -> Chunked:
     """Cut the groups with more than ``rows`` rows into ordered chunks."""
     keys, rows = list(keys), rows or chunk_rows(df)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-    large = sizes.collect()
+    large = [] if bounded else large_groups(df, keys, rows).collect()
     if not large:
         return Chunked(df, keys, order, False, rows)
 
     spark = df.sparkSession
+    if derived:
+        df = stored(df)
     chunks = sum(ceil(r["_n"] / rows) for r in large)
     total = sum(r["_n"] for r in large)
     placed = df.withColumn("_at", _position(df, order))
@@ -126,13 +138,15 @@ def scan_groups(
     sums: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None,
     rows: int | None = None,
+    bounded: bool = False,
+    derived: bool = False,
 ) -> DataFrame:
     """Add, per group in order: a row number, running sums over rows, last non-NULL values so far.
 
     The order must be unique within a group for the result to be determined.
     """
     sums, last = sums or {}, last or {}
-    c = chunked(df, keys, order, rows)
+    c = chunked(df, keys, order, rows, bounded=bounded, derived=derived)
     upto = c.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = {n: F.sum(v).over(upto) for n, v in sums.items()}
     columns |= {n: F.last(v, ignorenulls=True).over(upto) for n, v in last.items()}
@@ -179,6 +193,9 @@ def row_frames(
     after: int,
     columns: dict[str, Callable],
     rows: int | None = None,
+    *,
+    bounded: bool = False,
+    derived: bool = False,
 ) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
@@ -189,9 +206,10 @@ def row_frames(
     keys = list(keys)
     size = max(rows or chunk_rows(df), before + after + 1)
     plain = Window.partitionBy(*keys).orderBy(*sort_columns(order))
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
-    if large.isEmpty():
+    if bounded or large_groups(df, keys, size).isEmpty():
         return df.withColumns({n: make(plain) for n, make in columns.items()})
+    if derived:
+        df = stored(df)
     numbered = scan_groups(df, keys, order, number="_rn", rows=size).withColumn("_i", F.col("_rn") - 1)
     first = F.expr(f"greatest(_i - {after}, 0) div {size}")
     final = F.expr(f"(_i + {before}) div {size}")
@@ -201,9 +219,11 @@ def row_frames(
     return computed.where(F.expr(f"_block = _i div {size}")).drop("_rn", "_i", "_block")
 
 
-def previous_value(df, keys, order, columns: dict[str, Column], rows=None) -> DataFrame:
+def previous_value(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column],
+                   rows: int | None = None, **remarks: bool) -> DataFrame:
     """LAG(value, 1) for several columns."""
-    return row_frames(df, keys, order, 1, 0, {n: (lambda w, v=v: F.lag(v).over(w)) for n, v in columns.items()}, rows)
+    lags = {n: (lambda w, v=v: F.lag(v).over(w)) for n, v in columns.items()}
+    return row_frames(df, keys, order, 1, 0, lags, rows, **remarks)
 
 
 def rank_values(df: DataFrame, keys: list[str], value: str, rows: int | None = None) -> DataFrame:
@@ -225,7 +245,7 @@ def rank_values(df: DataFrame, keys: list[str], value: str, rows: int | None = N
             "_total": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
         })
     counts = df.groupBy(*keys, name).agg(F.count(F.lit(1)).alias("_ties"))
-    places = scan_groups(counts, keys, [value], number="_dense", sums={"_upto": F.col("_ties")}, rows=limit)
+    places = scan_groups(counts, keys, [value], number="_dense", sums={"_upto": F.col("_ties")}, rows=limit, derived=True)
     places = places.withColumn("_rank", F.col("_upto") - F.col("_ties") + 1)
     placed = join_on_same(df, places.drop("_ties"), [*keys, name], "left")
     if keys:

@@ -176,7 +176,7 @@ def ci_match(t: Tables) -> DataFrame:
 
 @report("regex_filter", r"select doc_id, source from documents where regexp_matches(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}')")
 def regex_filter(t: Tables) -> DataFrame:
-    return rel.regex_filter(t.documents, "text", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}").select("doc_id", "source")
+    return rel.regex_filter(t("documents", "doc_id", "source", "text"), "text", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}").select("doc_id", "source")
 
 
 @report("soft_delete", "select c_custkey, c_name, c_mktsegment from customer where not (c_acctbal < 1000)")

@@ -58,9 +58,10 @@ MEAN = "cast(sum(revenue) over {w} as double) / count(revenue) over {w}"
 @report("moving_avg_rows", f"""with {DAILY} select day, cast(revenue as double) as revenue, {MEAN.format(w='(order by day rows between 6 preceding and current row)')} as moving_avg_7d,
   {MEAN.format(w='(order by day rows between 2 preceding and current row)')} as ma_3 from daily""")
 def moving_avg_rows(t: Tables) -> DataFrame:
-    w = lambda n: Window.partitionBy().orderBy("day").rowsBetween(-n, 0)
-    mean = lambda n: F.sum("revenue").over(w(n)).cast("double") / F.count("revenue").over(w(n))
-    return inputs.daily_revenue(t).select("day", F.col("revenue").cast("double").alias("revenue"), mean(6).alias("moving_avg_7d"), mean(2).alias("ma_3"))
+    week = win.moving_rows(inputs.daily_revenue(t), ["day"], 6, 0, {"_s7": F.sum("revenue"), "_n7": F.count("revenue")}, bounded=True)
+    both = win.moving_rows(week, ["day"], 2, 0, {"_s3": F.sum("revenue"), "_n3": F.count("revenue")}, bounded=True)
+    mean = lambda n: F.col(f"_s{n}").cast("double") / F.col(f"_n{n}")
+    return both.select("day", F.col("revenue").cast("double").alias("revenue"), mean(7).alias("moving_avg_7d"), mean(3).alias("ma_3"))
 
 
 @report("moving_avg_range", """
@@ -68,7 +69,7 @@ select event_id, user_id, ts, count(*) over w as events_7d, cast(sum(cast(value
 from events window w as (partition by user_id order by ts range between interval 7 days preceding and current row)""")
 def moving_avg_range(t: Tables) -> DataFrame:
     out = win.moving_interval(t("events", "event_id", "user_id", "ts", "value"), "ts", "7 days", "0 days",
-                              {"events_7d": F.count(F.lit(1)), "value_7d": F.sum(v.money("value"))}, ["user_id"])
+                              {"events_7d": F.lit(1).cast("long"), "value_7d": v.money("value")}, ["user_id"])
     return out.withColumn("value_7d", F.col("value_7d").cast("double")).drop("value")
 
 
@@ -76,10 +77,11 @@ def moving_avg_range(t: Tables) -> DataFrame:
   cast(sum(revenue) over (order by day range between interval 2 days preceding and interval 2 days following) as double) as sum_5_day_range,
   {MEAN.format(w='(order by day rows between 3 preceding and 3 following)')} as centered_ma_7 from daily""")
 def centered_frames(t: Tables) -> DataFrame:
+    """One row per day, so every step knows its groups to be short."""
     days = inputs.daily_revenue(t)
-    by_rows = win.moving_rows(days, ["day"], 2, 2, {"sum_5_rows": F.sum("revenue")})
-    wide = win.moving_rows(by_rows, ["day"], 3, 3, {"_s": F.sum("revenue"), "_n": F.count("revenue")})
-    ranged = win.moving_interval(wide, "day", "2 days", "2 days", {"sum_5_day_range": F.sum("revenue")})
+    by_rows = win.moving_rows(days, ["day"], 2, 2, {"sum_5_rows": F.sum("revenue")}, bounded=True)
+    wide = win.moving_rows(by_rows, ["day"], 3, 3, {"_s": F.sum("revenue"), "_n": F.count("revenue")}, bounded=True)
+    ranged = win.moving_interval(wide, "day", "2 days", "2 days", {"sum_5_day_range": F.col("revenue")}, bounded=True)
     return ranged.select(
         "day", F.col("sum_5_rows").cast("double").alias("sum_5_rows"), F.col("sum_5_day_range").cast("double").alias("sum_5_day_range"),
         (F.col("_s").cast("double") / F.col("_n")).alias("centered_ma_7"))
@@ -109,7 +111,7 @@ def yearly_total(t: Tables) -> DataFrame:
 @report("lag_lead", f"""with {DAILY} select day, cast(revenue as double) as revenue, cast(lag(revenue) over (order by day) as double) as previous_value,
   cast(lead(revenue) over (order by day) as double) as next_value, cast(revenue - lag(revenue) over (order by day) as double) as change from daily""")
 def lag_lead(t: Tables) -> DataFrame:
-    out = win.lag_lead(inputs.daily_revenue(t), "revenue", ["day"])
+    out = win.lag_lead(inputs.daily_revenue(t), "revenue", ["day"], bounded=True)
     return out.withColumns({c: F.col(c).cast("double") for c in ("revenue", "previous_value", "next_value", "change")})
 
 

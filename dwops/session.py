@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that can still be changed on a running session.
 RUNTIME_SETTINGS = {
@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join side even where a later step would reuse its partitioning.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
@@ -55,3 +57,9 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the shared folder for one written table."""
     return f"{shared_root(spark).rstrip('/')}/dwops-{uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder once, for several later reads."""
+    shared_root(df.sparkSession)
+    return df.checkpoint()

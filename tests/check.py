@@ -65,6 +65,7 @@ if __name__ == "__main__":
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+                                         "spark.dwops.chunkRows": os.environ.get("CHUNK_ROWS", "5000000"),
                                          "spark.checkpoint.dir": tempfile.mkdtemp(prefix="dwops-check-")})
     spark.sparkContext.setLogLevel("ERROR")
     con, queries, oracle = duck(sf_dir), entry.queries(), entry.oracle_sql()
