@@ -37,7 +37,6 @@ def profile(df: DataFrame, columns: list[str] | None = None, skip_min_max: list[
     bounds = [c for c in columns if c not in skip_min_max and not isinstance(types[c], NO_MIN_MAX)]
     one = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count(c).alias(f"_n_{c}") for c in columns],
         *[F.min(c).cast("string").alias(f"_min_{c}") for c in bounds],
         *[F.max(c).cast("string").alias(f"_max_{c}") for c in bounds],
     )
@@ -45,21 +44,23 @@ def profile(df: DataFrame, columns: list[str] | None = None, skip_min_max: list[
     per_column = one.select(F.inline(F.array(*[
         F.struct(
             F.lit(c).alias("column"), F.lit(types[c].simpleString()).alias("data_type"), F.col("_rows").alias("total_rows"),
-            (F.col("_rows") - F.col(f"_n_{c}")).alias("null_count"),
             (F.col(f"_min_{c}") if c in bounds else nothing).alias("min"),
             (F.col(f"_max_{c}") if c in bounds else nothing).alias("max"),
         ) for c in columns
     ])))
+    # Both uses read the counts, so Spark shuffles them once.
     counts = value_counts(df, columns).where(F.col("value").isNotNull())
-    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"))
+    filled = counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct_count"), F.sum("cnt").alias("_filled"))
     best = top_per_key(counts, ["column"], ["-cnt", "value"], k).groupBy("column").agg(
         F.sort_array(F.collect_list(F.struct("_rn", "value", "cnt"))).alias("_t")
     )
     tops = best.select("column", F.array_join(F.transform("_t", lambda t: F.concat(t["value"], F.lit(":"), t["cnt"])), "|").alias("top_values"))
-    share = F.coalesce(pct("null_count", "total_rows"), F.lit(0.0))
     return (
-        per_column.join(distinct, "column", "left").join(tops, "column", "left")
-        .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0))).withColumn("null_pct", share)
+        per_column.join(filled, "column", "left").join(tops, "column", "left")
+        .withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+        .withColumn("null_count", F.col("total_rows") - F.coalesce("_filled", F.lit(0)))
+        .withColumn("null_pct", F.coalesce(pct("null_count", "total_rows"), F.lit(0.0)))
+        .drop("_filled")
     )
 
 

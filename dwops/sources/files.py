@@ -7,14 +7,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from dwops.functions.values import quarter_start
 
 
+# Stands for a quoted empty field while reading; never part of a text.
+EMPTY_MARK = "\u0000"
+
+
 def write_csv(df: DataFrame, path: str) -> str:
-    """Header line, NULL as an empty field, empty text quoted."""
-    df.write.mode("errorifexists").options(header=True, nullValue="", emptyValue='""').csv(path)
+    """Header line, NULL as an empty field, empty text as a quoted one."""
+    df.write.mode("errorifexists").options(header=True, nullValue="", emptyValue='""', escape='"').csv(path)
     return path
 
 
-def read_csv(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.options(header=True, nullValue="", emptyValue="").schema(like.schema).csv(path)
+def read_csv(spark: SparkSession, path: str, like: DataFrame, multi_line: bool = False) -> DataFrame:
+    """``multi_line`` allows line breaks inside fields; files are then read whole, not in splits."""
+    options = dict(header=True, nullValue="", emptyValue=EMPTY_MARK, escape='"', multiLine=multi_line)
+    return spark.read.options(**options).schema(like.schema).csv(path).replace(EMPTY_MARK, "")
 
 
 def write_json(df: DataFrame, path: str) -> str:
