@@ -53,10 +53,17 @@ def search_objects(df: DataFrame, key: str, text: str, a: str | None, b: str | N
     return kept.join(first, key)
 
 
-def fetch_objects(df: DataFrame, key: str, text: str, names: list, owner: str | None = None, owners: list | None = None,
-                  limit_lines: int = 0) -> DataFrame:
-    """Lines of the named documents, optionally of given owners; 0 = all lines."""
-    chosen = df.where(F.col(key).isin(names))
+def fetch_objects(df: DataFrame, key: str, text: str, names: list | DataFrame, owner: str | None = None,
+                  owners: list | None = None, limit_lines: int = 0) -> DataFrame:
+    """Lines of the documents of the given names, optionally of given owners; 0 = all lines.
+
+    ``names`` is a list, or a table whose first column holds the names.
+    """
+    if isinstance(names, DataFrame):
+        wanted = names.select(F.col(names.columns[0]).alias("_name"))
+        chosen = df.join(wanted, F.col(key) == F.col("_name"), "left_semi")
+    else:
+        chosen = df.where(F.col(key).isin(names))
     if owner and owners:
         chosen = chosen.where(F.col(owner).isin(owners))
     cut = lines_of(chosen, key, text)

@@ -7,23 +7,26 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from dwops.session import stored
+from dwops.session import stored_counted
 
 
 def expand(start: DataFrame, step: Callable[[DataFrame, list[DataFrame], int], DataFrame], max_rounds: int,
            stop_quietly: bool) -> DataFrame:
     """All rows reached from ``start`` by repeated ``step(frontier, earlier rounds, round)``.
 
-    Each round is checkpointed in the shared folder, so that the next one starts from
-    stored rows and a lost executor costs no replay of the rounds before. Rounds end when
-    nothing new comes; at ``max_rounds`` the expansion stops, or fails if rows are pending.
+    Each round is written to the shared folder, so that the next one starts from stored
+    rows and a lost executor costs no replay of the rounds before. Rounds end when nothing
+    new comes; at ``max_rounds`` the expansion stops, or fails if rows are pending.
     """
-    rounds = [stored(start)]
+    first, found = stored_counted(start)
+    rounds = [first]
     for number in range(1, max_rounds + 1):
-        if rounds[-1].isEmpty():
+        if not found:
             break
-        rounds.append(stored(step(rounds[-1], rounds, number)))
+        reached, found = stored_counted(step(rounds[-1], rounds, number))
+        if found:
+            rounds.append(reached)
     else:
-        if not stop_quietly and not rounds[-1].isEmpty():
+        if found and not stop_quietly:
             raise ValueError(f"still growing after {max_rounds} rounds: deeper than expected or without end")
     return reduce(DataFrame.unionByName, rounds)

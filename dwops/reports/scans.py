@@ -15,9 +15,9 @@ from dwops.session import fresh_path
 from dwops.sources import files, tables as src
 
 
-@report("scan_filter", "select o_orderkey, o_totalprice from orders where o_custkey < 100 and o_orderdate >= timestamp '1997-01-01'")
+@report("scan_filter", "select o_orderkey, o_totalprice from orders where o_orderstatus = 'F' and o_orderdate >= timestamp '1997-01-01'")
 def scan_filter(t: Tables) -> DataFrame:
-    wanted = (F.col("o_custkey") < 100) & (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
+    wanted = (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz"))
     return t.orders.where(wanted).select("o_orderkey", "o_totalprice")
 
 

@@ -86,11 +86,13 @@ def search_objects(t: Tables) -> DataFrame:
     return search.search_objects(t.documents, "doc_id", "text", "MAIL", "THE")
 
 
-@report("fetch_objects", f"with {LINES} select doc_id, cast(line as bigint) as line, line_text from lines where source in ('src1', 'src2') and doc_id in (select doc_id from documents where lang = 'en') and doc_id in (1, 2, 21, 22, 41, 42)")
+@report("fetch_objects", f"""with {LINES}
+select doc_id, cast(line as bigint) as line, line_text from lines
+where doc_id in (select doc_id from labels where quality = 1) and source in ('src1', 'src2', 'src3')""")
 def fetch_objects(t: Tables) -> DataFrame:
-    """Exact names and owners are the feature: all lines of the documents asked for."""
-    english = t.documents.where("lang = 'en'")
-    return search.fetch_objects(english, "doc_id", "text", [1, 2, 21, 22, 41, 42], "source", ["src1", "src2"])
+    """All lines of the documents named in another table, of three owners."""
+    names = t.labels.where("quality = 1").select("doc_id")
+    return search.fetch_objects(t("documents", "doc_id", "source", "text"), "doc_id", "text", names, "source", ["src1", "src2", "src3"])
 
 
 @report("search_fields", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 # Settings that can still be changed on a running session.
 RUNTIME_SETTINGS = {
@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     # Split a skewed join side even where a later step would reuse its partitioning.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Merge a key's sessions in each task first, so that a busy key is shuffled as sessions.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
 
@@ -60,6 +62,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder once, for several later reads."""
-    shared_root(df.sparkSession)
-    return df.checkpoint()
+    """The rows written to the shared folder once, for several later reads.
+
+    A Parquet table cuts the lineage as a checkpoint does, and is read back by column and
+    with known sizes, which join planning needs.
+    """
+    return stored_counted(df)[0]
+
+
+def stored_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """Like ``stored``, with the number of rows, counted while writing."""
+    path, seen = fresh_path(df.sparkSession, "stored"), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
