@@ -3,13 +3,14 @@
 A window sorts each group inside one task. That is right for small groups and wrong
 for a group with a third of a 100 TB table, or for no partition key at all. Here the
 groups larger than ``spark.dwops.chunkRows`` are found first; when there are none, the
-plain window runs. Otherwise each large group is cut, at points taken from a sample of
-its own order values, into consecutive chunks. Windows run per (group, chunk), and
-what precedes a chunk (row count, sum, last value) is carried in from one row per
-chunk. Results are exact: the sample only decides where to cut.
+plain window runs. Otherwise the rows of the large groups are range-partitioned by group
+and order into chunks of about that many rows and stored with their chunk number. Windows
+run per (group, chunk), and what precedes a chunk (row count, sum, last value) is carried
+in from one row per chunk. The results are exact, wherever the chunks begin.
 
-Collected to the driver: one row per large group and about one cut per chunk, so both
-lists are bounded by total rows / chunk rows.
+Storing the chunk numbers fixes them: a task that is run again cannot move a row to
+another chunk. Collected to the driver is one row per large group, so at most total rows /
+chunk rows of them.
 
 Order columns are names, a leading ``-`` meaning descending; NULLs sort first.
 
@@ -24,7 +25,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from math import ceil
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from dwops.functions.values import micros
 from dwops.plans.keyed import join_on_same
@@ -32,7 +33,6 @@ from dwops.session import stored
 
 CHUNK_ROWS_KEY = "spark.dwops.chunkRows"
 DEFAULT_CHUNK_ROWS = 5_000_000
-SAMPLES_PER_CHUNK = 32
 
 
 def chunk_rows(df: DataFrame) -> int:
@@ -43,124 +43,79 @@ def sort_columns(order: list[str]) -> list[Column]:
     return [F.col(o[1:]).desc_nulls_first() if o.startswith("-") else F.col(o).asc_nulls_first() for o in order]
 
 
-def _position(df: DataFrame, order: list[str]) -> Column:
-    """The order values as one ascending struct; descending columns enter negated.
-
-    A descending column that cannot be negated ends the struct: rows equal up to
-    there then stay in one chunk.
-    """
-    parts = []
-    for i, o in enumerate(order):
-        name, kind = o.lstrip("-"), df.schema[o.lstrip("-")].dataType
-        value = F.col(name)
-        if o.startswith("-"):
-            if isinstance(kind, T.NumericType):
-                value = -value
-            elif isinstance(kind, T.DateType):
-                value = -F.unix_date(value)
-            elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-                value = -micros(value)
-            else:
-                break
-        parts.append(value.alias(f"o{i}"))
-    if not parts:
-        raise ValueError(f"cannot cut groups along {order[0]!r}")
-    return F.struct(*parts)
+def large_groups(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Keys and sizes of the groups with more than ``rows`` rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
 
 
 @dataclass
 class Chunked:
-    df: DataFrame          # the input, plus _chunk when some group was cut
+    df: DataFrame             # the input, plus ``_chunk`` when some group was cut
     keys: list[str]
     order: list[str]
-    cut: bool              # whether any group was cut
-    rows: int
+    cut: DataFrame | None     # the stored rows of the groups that were cut
 
     @property
-    def window(self):
-        parts = [*self.keys, "_chunk"] if self.cut else self.keys
+    def window(self) -> WindowSpec:
+        parts = self.keys if self.cut is None else [*self.keys, "_chunk"]
         return Window.partitionBy(*parts).orderBy(*sort_columns(self.order))
 
 
-def large_groups(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
-    """Keys and sizes of the groups with more than ``rows`` rows."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
-
-
 def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None = None, *, bounded: bool = False,
             derived: bool = False) -> Chunked:
     """Cut the groups with more than ``rows`` rows into ordered chunks."""
     keys, rows = list(keys), rows or chunk_rows(df)
     large = [] if bounded else large_groups(df, keys, rows).collect()
     if not large:
-        return Chunked(df, keys, order, False, rows)
-
-    spark = df.sparkSession
+        return Chunked(df, keys, order, None)
     if derived:
         df = stored(df)
-    chunks = sum(ceil(r["_n"] / rows) for r in large)
-    total = sum(r["_n"] for r in large)
-    placed = df.withColumn("_at", _position(df, order))
-    candidates = placed.select(*keys, "_at")
+    many, rest = df, None
     if keys:
-        large_keys = spark.createDataFrame([tuple(r[k] for k in keys) for r in large], df.select(*keys).schema)
-        candidates = join_on_same(candidates, F.broadcast(large_keys), keys, "left_semi")
-    per_group = (
-        candidates.sample(min(1.0, SAMPLES_PER_CHUNK * chunks / total), seed=7)
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list("_at")).alias("_s"))
-        .select(*keys, F.filter("_s", lambda _, i: i % SAMPLES_PER_CHUNK == SAMPLES_PER_CHUNK - 1).alias("_cuts"))
-    )
-    cuts = per_group.collect()
-    # Fixed values from here on: every later use of the cuts sees the same ones.
-    cut_table = spark.createDataFrame(cuts, per_group.schema)
-    if keys:
-        placed = join_on_same(placed, F.broadcast(cut_table), keys, "left")
-    else:
-        placed = placed.withColumn("_cuts", cut_table.scalar())
-    most = max((len(r["_cuts"]) for r in cuts), default=0)
-    steps = [1 << b for b in reversed(range(most.bit_length()))]
-    # Binary search: the number of cuts at or before the row's position.
-    number = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]) if steps else F.array().cast("array<int>"),
-        F.lit(0),
-        lambda acc, s: acc + F.when(F.get(F.col("_cuts"), acc + s - 1) <= F.col("_at"), s).otherwise(0),
-    )
-    return Chunked(placed.withColumn("_chunk", number).drop("_at"), keys, order, True, rows)
-
+        listed = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in large], df.select(*keys).schema)
+        many = join_on_same(df, F.broadcast(listed), keys, "left_semi")
+        rest = join_on_same(df, F.broadcast(listed), keys, "left_anti")
+    chunks = ceil(sum(r["_n"] for r in large) / rows)
+    ranged = many.repartitionByRange(chunks, *[F.col(k) for k in keys], *sort_columns(order))
+    cut = stored(ranged.withColumn("_chunk", F.spark_partition_id()))
+    together = cut if rest is None else rest.withColumn("_chunk", F.lit(0)).unionByName(cut)
+    return Chunked(together, keys, order, cut)
+
+
+def _place(df: DataFrame, order: list[str]) -> Column:
+    """The order values as one ascending struct; descending ones enter negated."""
+    parts = []
+    for i, o in enumerate(order):
+        name = o.lstrip("-")
+        kind, value = df.schema[name].dataType, F.col(name)
+        if o.startswith("-"):
+            if isinstance(kind, T.NumericType):
+                value = -value
+            elif isinstance(kind, T.DateType):
+                value = -F.unix_date(value)
+            elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+                value = -micros(value)
+            else:
+                raise ValueError(f"last values need an ascending or numeric order, not {o!r}")
+        parts.append(value.alias(f"o{i}"))
+    return F.struct(*parts)
 
-def scan_groups(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    *,
-    number: str | None = None,
-    sums: dict[str, Column] | None = None,
-    last: dict[str, Column] | None = None,
-    rows: int | None = None,
-    bounded: bool = False,
-    derived: bool = False,
-) -> DataFrame:
-    """Add, per group in order: a row number, running sums over rows, last non-NULL values so far.
 
-    The order must be unique within a group for the result to be determined.
-    """
-    sums, last = sums or {}, last or {}
-    c = chunked(df, keys, order, rows, bounded=bounded, derived=derived)
+def _scan(c: Chunked, number: str | None, sums: dict[str, Column], last: dict[str, Column]) -> DataFrame:
     upto = c.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = {n: F.sum(v).over(upto) for n, v in sums.items()}
     columns |= {n: F.last(v, ignorenulls=True).over(upto) for n, v in last.items()}
     if number:
         columns[number] = F.row_number().over(c.window).cast("long")
     local = c.df.withColumns(columns)
-    if not c.cut:
+    if c.cut is None:
         return local
 
-    at = _position(c.df, order)
-    per_chunk = c.df.where(F.col("_cuts").isNotNull()).groupBy(*c.keys, "_chunk").agg(
+    place = _place(c.cut, c.order) if last else None
+    per_chunk = c.cut.groupBy(*c.keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()],
-        *[F.max_by(v, F.when(v.isNotNull(), at)).alias(f"_last_{n}") for n, v in last.items()],
+        *[F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_last_{n}") for n, v in last.items()],
     )
     before = Window.partitionBy(*c.keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
@@ -170,21 +125,35 @@ def scan_groups(
         *[F.sum(f"_sum_{n}").over(before).alias(f"_sum_{n}") for n in sums],
         *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_last_{n}") for n in last],
     )
-    # One row per chunk of a cut group, hence at most total rows / chunk rows of them.
+    # One row per chunk and large group in it: at most twice total rows / chunk rows.
     joined = join_on_same(local, F.broadcast(carried), [*c.keys, "_chunk"], "left")
-    final = {}
-    for n in sums:
-        both = F.col(n) + F.col(f"_sum_{n}")
-        final[n] = F.coalesce(both, F.col(n), F.col(f"_sum_{n}"))
-    for n in last:
-        final[n] = F.coalesce(F.col(n), F.col(f"_last_{n}"))
+    final = {n: F.coalesce(F.col(n) + F.col(f"_sum_{n}"), F.col(n), F.col(f"_sum_{n}")) for n in sums}
+    final |= {n: F.coalesce(F.col(n), F.col(f"_last_{n}")) for n in last}
     if number:
         final[number] = F.col(number) + F.coalesce(F.col("_rows"), F.lit(0))
     return joined.withColumns(final).drop(
-        "_chunk", "_cuts", "_rows", *[f"_sum_{n}" for n in sums], *[f"_last_{n}" for n in last]
+        "_chunk", "_rows", *[f"_sum_{n}" for n in sums], *[f"_last_{n}" for n in last]
     )
 
 
+def scan_groups(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    *,
+    number: str | None = None,
+    sums: dict[str, Column] | None = None,
+    last: dict[str, Column] | None = None,
+    rows: int | None = None,
+    **remarks: bool,
+) -> DataFrame:
+    """Add, per group in order: a row number, running sums over rows, last non-NULL values so far.
+
+    The order must be unique within a group for the result to be determined.
+    """
+    return _scan(chunked(df, keys, order, rows, **remarks), number, sums or {}, last or {})
+
+
 def row_frames(
     df: DataFrame,
     keys: list[str],
@@ -193,9 +162,7 @@ def row_frames(
     after: int,
     columns: dict[str, Callable],
     rows: int | None = None,
-    *,
-    bounded: bool = False,
-    derived: bool = False,
+    **remarks: bool,
 ) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
@@ -203,14 +170,11 @@ def row_frames(
     groups are numbered and laid out in blocks of consecutive rows; the few rows a
     neighbouring block needs are copied to it, and dropped again afterwards.
     """
-    keys = list(keys)
     size = max(rows or chunk_rows(df), before + after + 1)
-    plain = Window.partitionBy(*keys).orderBy(*sort_columns(order))
-    if bounded or large_groups(df, keys, size).isEmpty():
-        return df.withColumns({n: make(plain) for n, make in columns.items()})
-    if derived:
-        df = stored(df)
-    numbered = scan_groups(df, keys, order, number="_rn", rows=size).withColumn("_i", F.col("_rn") - 1)
+    c = chunked(df, keys, order, size, **remarks)
+    if c.cut is None:
+        return df.withColumns({n: make(c.window) for n, make in columns.items()})
+    numbered = _scan(c, "_rn", {}, {}).withColumn("_i", F.col("_rn") - 1)
     first = F.expr(f"greatest(_i - {after}, 0) div {size}")
     final = F.expr(f"(_i + {before}) div {size}")
     blocks = numbered.withColumn("_block", F.explode(F.sequence(first, final)))

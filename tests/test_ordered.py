@@ -44,9 +44,10 @@ def test_scan_groups(hot, keys, order):
 @pytest.mark.parametrize("keys", [["o_custkey"], []])
 def test_chunks_are_bounded(hot, keys):
     c = chunked(hot, keys, ["o_orderdate", "o_orderkey"], rows=40)
-    assert c.cut
     sizes = [r["count"] for r in c.df.groupBy(*keys, "_chunk").count().collect()]
-    assert max(sizes) <= 80
+    assert max(sizes) <= 80 and c.df.count() == hot.count()
+    assert chunked(hot, keys, ["o_orderkey"]).cut is None
+    assert chunked(hot, keys, ["o_orderkey"], rows=1, bounded=True).cut is None
 
 
 @pytest.mark.parametrize("keys", [["o_custkey"], []])
