@@ -12,27 +12,43 @@ def col(c: str | Column) -> Column:
 
 
 # --- money -----------------------------------------------------------------
+# Amounts are doubles with two decimals. They are added as whole cents, so that a sum does
+# not depend on the order of the rows, and in a decimal that 10^28 cents fit into.
+
+def cents(c: str | Column) -> Column:
+    """An amount as whole cents; cheaper than a cast of the double to a decimal."""
+    return F.rint(col(c) * 100).cast("long")
 
-def money(c: str | Column) -> Column:
-    """Two-decimal exact amount; sums of it do not depend on row order."""
-    return col(c).cast("decimal(18,2)")
 
+def total(units: Column, digits: int) -> Column:
+    """Exact sum of whole units of 10^-digits."""
+    return F.sum(units.cast("decimal(18,0)")) * F.lit(10 ** -digits).cast(f"decimal({digits},{digits})")
 
-def rate(c: str | Column) -> Column:
-    return col(c).cast("decimal(4,2)")
+
+def money(c: str | Column) -> Column:
+    """An amount as an exact decimal."""
+    return cents(c).cast("decimal(18,0)") * F.lit(0.01).cast("decimal(2,2)")
 
 
-def revenue() -> Column:
-    """Discounted line price, exact to four decimals."""
-    return money("l_extendedprice") * (F.lit(1).cast("decimal(4,2)") - rate("l_discount"))
+def money_total(c: str | Column) -> Column:
+    return total(cents(c), 2)
 
 
 def exact_sum(c: str | Column) -> Column:
-    return F.sum(money(c)).cast("double")
+    return money_total(c).cast("double")
 
 
 def exact_avg(c: str | Column) -> Column:
-    return F.sum(money(c)).cast("double") / F.count(col(c))
+    return exact_sum(c) / F.count(col(c))
+
+
+def revenue_units() -> Column:
+    """Discounted line price in units of 10^-4, in which it is whole."""
+    return cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))
+
+
+def revenue_total() -> Column:
+    return total(revenue_units(), 4)
 
 
 # --- ratios and defaults ---------------------------------------------------

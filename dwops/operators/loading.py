@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dwops.functions.values import any_of, money
+from dwops.functions.values import any_of, money_total
 from dwops.operators.relational import not_exists_in
 from dwops.plans.ordered import scan_groups
 
@@ -96,7 +96,7 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFra
 def build_summary(df: DataFrame, keys: list, value: str) -> DataFrame:
     """Partial aggregates per group that can be refreshed: count, sum, min, max."""
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum(money(value)).cast("decimal(38,2)").alias("total_amount"),
+        F.count(F.lit(1)).alias("cnt"), money_total(value).cast("decimal(38,2)").alias("total_amount"),
         F.min(value).alias("min_amount"), F.max(value).alias("max_amount"),
     )
 
@@ -130,7 +130,7 @@ def periodic_snapshot(df: DataFrame, key: str, ts: str, value: str) -> DataFrame
 
     The calendar is unrolled per key from its own first year; a key has one row per year.
     """
-    yearly = df.groupBy(key, F.year(ts).alias("year")).agg(F.sum(money(value)).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    yearly = df.groupBy(key, F.year(ts).alias("year")).agg(money_total(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     last = df.agg(F.max(F.year(ts)).alias("y")).scalar()
     spans = yearly.groupBy(key).agg(F.min("year").alias("_first"))
     grid = spans.select(key, F.explode(F.sequence("_first", last)).alias("year"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dwops.functions.values import exact_avg, exact_sum, month_of, months_apart, pct
+from dwops.functions.values import exact_avg, exact_sum, month_of, months_apart, pct, total
 from dwops.plans.keyed import join_on_same, with_group_values
 from dwops.plans.ordered import scan_groups, sort_columns
 
@@ -79,12 +79,14 @@ def period_over_period(df: DataFrame, keys: list[str], period: str, value: str)
     )
 
 
-def year_over_year(df: DataFrame, keys: list[str], year: Column, value: Column, current: int) -> DataFrame:
+def year_over_year(df: DataFrame, keys: list[str], year: Column, units: Column, digits: int, current: int) -> DataFrame:
     """Totals of a year and of the year before per key, for keys with rows in that year.
 
+    ``units`` are whole units of 10^-digits.
+
     Both totals come from one grouping instead of two joined ones.
     """
-    of = lambda y: F.sum(F.when(year == y, value))
+    of = lambda y: total(F.when(year == y, units), digits)
     sums = df.groupBy(*keys).agg(
         F.count_if(year == current).alias("_n"), of(current).alias("_cy"), of(current - 1).alias("_py")
     ).where("_n > 0")
@@ -322,9 +324,9 @@ def global_stats(df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
     return df.agg(*[c.alias(n) for n, c in aggs.items()])
 
 
-def top_n_groups(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+def top_n_groups(df: DataFrame, keys: list[str], value: Column, n: int) -> DataFrame:
     """Groups by descending exact total, with their place."""
-    totals = df.groupBy(*keys).agg(F.sum(value).alias("total"))
+    totals = df.groupBy(*keys).agg(value.alias("total"))
     best = totals.orderBy(F.desc("total"), *keys).limit(n)
     # At most n rows are left to number.
     w = Window.partitionBy().orderBy(F.desc("total"), *keys)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dwops.functions.values import exact_avg, exact_sum, micros, money
+from dwops.functions.values import exact_avg, exact_sum, micros, money_total
 from dwops.operators.relational import top_per_key
 from dwops.plans.keyed import join_on_same, with_group_values
 from dwops.plans.ordered import (
@@ -20,7 +20,7 @@ from dwops.plans.ordered import (
 def daily(df: DataFrame, ts: str, value: str, name: str = "revenue") -> DataFrame:
     """One row per day: date, exact total and row count."""
     return df.groupBy(F.col(ts).cast("date").alias("day")).agg(
-        F.sum(money(value)).alias(name), F.count(F.lit(1)).alias("num_rows")
+        money_total(value).alias(name), F.count(F.lit(1)).alias("num_rows")
     )
 
 

@@ -18,7 +18,7 @@ select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(18,2))) a
 def group_agg(t: Tables) -> DataFrame:
     return rel.agg(t.lineitem, ["l_returnflag", "l_linestatus"], [
         v.exact_sum("l_quantity").alias("sum_qty"), v.exact_sum("l_extendedprice").alias("sum_base_price"),
-        F.sum(v.revenue()).cast("double").alias("sum_disc_price"), v.exact_avg("l_quantity").alias("avg_qty"),
+        v.revenue_total().cast("double").alias("sum_disc_price"), v.exact_avg("l_quantity").alias("avg_qty"),
         F.min("l_extendedprice").alias("min_price"), F.max("l_extendedprice").alias("max_price"), F.count(F.lit(1)).alias("count_order"),
     ])
 
@@ -96,7 +96,7 @@ with m as (select cast(year(o_orderdate) as bigint) as year, cast(date_trunc('mo
 select year, month, cast(s as double) as monthly_amount, cast(sum(s) over (partition by year order by month) as double) as ytd_cumulative from m""")
 def ytd_cumulative(t: Tables) -> DataFrame:
     monthly = t.orders.groupBy(v.year_of("o_orderdate").alias("year"), v.month_of("o_orderdate").alias("month")).agg(
-        F.sum(v.money("o_totalprice")).alias("monthly_amount"))
+        v.money_total("o_totalprice").alias("monthly_amount"))
     return rel.cumulative_of_agg(monthly, "year", "month", "monthly_amount", "ytd_cumulative").withColumn(
         "monthly_amount", F.col("monthly_amount").cast("double"))
 
@@ -107,7 +107,7 @@ select n_name, cast(total as double) as total_amount, round(cast(total as double
 def ratio_to_total(t: Tables) -> DataFrame:
     joined = rel.star_join(t("orders", "o_custkey", "o_totalprice"), [
         (t("customer", "c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey")), (t("nation", "n_nationkey", "n_name"), F.expr("c_nationkey = n_nationkey"))])
-    totals = joined.groupBy("n_name").agg(F.sum(v.money("o_totalprice")).alias("total_amount"))
+    totals = joined.groupBy("n_name").agg(v.money_total("o_totalprice").alias("total_amount"))
     return rel.ratio_to_total(totals, "total_amount", "pct_of_total").withColumn("total_amount", F.col("total_amount").cast("double"))
 
 

@@ -39,7 +39,7 @@ def star_join(t: Tables) -> DataFrame:
         (t("nation", "n_nationkey", "n_name"), F.expr("c_nationkey = n_nationkey")), (t("part", "p_partkey", "p_brand"), F.expr("l_partkey = p_partkey")),
     ])
     return joined.groupBy("n_name", "p_brand", v.year_of("o_orderdate").alias("order_year")).agg(
-        F.sum(v.revenue()).cast("double").alias("revenue"), F.count(F.lit(1)).alias("line_count")
+        v.revenue_total().cast("double").alias("revenue"), F.count(F.lit(1)).alias("line_count")
     )
 
 
@@ -50,7 +50,7 @@ select a.o_orderpriority, a.month, cast(a.total_amount as double) as total_amoun
   round(100.0::double * cast(a.total_amount - coalesce(b.total_amount, 0) as double) / nullif(cast(b.total_amount as double), 0), 2) as growth_pct
 from m a left join m b on a.o_orderpriority = b.o_orderpriority and a.month = b.month + interval 1 month""")
 def mom_growth(t: Tables) -> DataFrame:
-    monthly = t.orders.groupBy("o_orderpriority", v.month_of("o_orderdate").alias("month")).agg(F.sum(v.money("o_totalprice")).alias("total_amount"))
+    monthly = t.orders.groupBy("o_orderpriority", v.month_of("o_orderdate").alias("month")).agg(v.money_total("o_totalprice").alias("total_amount"))
     grown = rel.period_over_period(monthly, ["o_orderpriority"], "month", "total_amount")
     return grown.withColumn("total_amount", F.col("total_amount").cast("double"))
 

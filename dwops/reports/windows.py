@@ -14,7 +14,7 @@ SPEND = "spend as (select o_custkey, sum(cast(o_totalprice as decimal(18,2))) as
 
 
 def _spend(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(F.sum(v.money("o_totalprice")).alias("total_spent"))
+    return t.orders.groupBy("o_custkey").agg(v.money_total("o_totalprice").alias("total_spent"))
 
 
 @report("row_number", "select o_custkey, o_orderkey, o_orderdate, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey) as row_num from orders")
@@ -174,7 +174,7 @@ with m as (select cast(date_trunc('month', o_orderdate) as date) as month, sum(c
 cal as (select unnest(generate_series((select min(month) from m)::timestamp, (select max(month) from m)::timestamp, interval 1 month))::date as month)
 select month, cast(revenue as double) as revenue, cast(lag(revenue, 12) over (order by month) as double) as previous_value from cal left join m using (month)""")
 def yoy_lag12(t: Tables) -> DataFrame:
-    monthly = t.orders.groupBy(v.month_of("o_orderdate").alias("month")).agg(F.sum(v.money("o_totalprice")).alias("revenue"))
+    monthly = t.orders.groupBy(v.month_of("o_orderdate").alias("month")).agg(v.money_total("o_totalprice").alias("revenue"))
     out = win.yoy_lag(monthly, "month", "revenue")
     return out.select("month", F.col("revenue").cast("double").alias("revenue"), F.col("previous_value").cast("double").alias("previous_value"))
 
@@ -187,7 +187,7 @@ from (select * from s where y = 1997) c left join (select * from s where y = 199
 def yoy_join(t: Tables) -> DataFrame:
     orders = t("orders", "o_orderkey", "o_orderdate").where("o_orderdate >= timestamp_ntz '1996-01-01' and o_orderdate < timestamp_ntz '1998-01-01'")
     sold = t("lineitem", "l_orderkey", "l_partkey", "l_extendedprice", "l_discount").join(orders, F.expr("l_orderkey = o_orderkey"))
-    return rel.year_over_year(sold, ["l_partkey"], F.year("o_orderdate"), v.revenue(), 1997)
+    return rel.year_over_year(sold, ["l_partkey"], F.year("o_orderdate"), v.revenue_units(), 4, 1997)
 
 
 @report("dedup_priority", """
@@ -204,7 +204,7 @@ select * from (select n_name, cast(total as double) as total, row_number() over
 def top_n_groups(t: Tables) -> DataFrame:
     joined = rel.star_join(t("orders", "o_custkey", "o_totalprice"), [
         (t("customer", "c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey")), (t("nation", "n_nationkey", "n_name"), F.expr("c_nationkey = n_nationkey"))])
-    return rel.top_n_groups(joined.withColumn("amount", v.money("o_totalprice")), ["n_name"], "amount", 10)
+    return rel.top_n_groups(joined, ["n_name"], v.money_total("o_totalprice"), 10)
 
 
 @report("category_rank", """
@@ -232,7 +232,7 @@ def nation_year_revenue(t: Tables) -> DataFrame:
         (t("orders", "o_orderkey", "o_custkey", "o_orderdate"), F.expr("l_orderkey = o_orderkey")),
         (t("customer", "c_custkey", "c_nationkey"), F.expr("o_custkey = c_custkey")),
         (t("nation", "n_nationkey", "n_name"), F.expr("c_nationkey = n_nationkey"))])
-    sums = joined.groupBy("n_name", v.year_of("o_orderdate").alias("year")).agg(F.sum(v.revenue()).alias("revenue"))
+    sums = joined.groupBy("n_name", v.year_of("o_orderdate").alias("year")).agg(v.revenue_total().alias("revenue"))
     run = rel.cumulative_of_agg(sums, "n_name", "year", "revenue", "cumulative_revenue")
     of_year = F.sum("revenue").over(Window.partitionBy("year")).cast("double")
     share = F.round(F.col("revenue").cast("double") / of_year * 100, 2)
