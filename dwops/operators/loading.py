@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from dwops.functions.values import any_of, money_total
 from dwops.operators.relational import not_exists_in
 from dwops.plans.ordered import scan_groups
+from dwops.sources.files import write_partitioned
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[str, Column] | None = None,
@@ -156,8 +157,7 @@ def accumulating_snapshot(header: DataFrame, lines: DataFrame, key: str, line_ke
     })
 
 
-def split_by_type(df: DataFrame, column: str, values: list[str]) -> dict[str, DataFrame]:
-    """One table per type, without the type column."""
-    return {v: df.where(F.col(column) == v).drop(column) for v in values}
-
-
+def split_by_type(df: DataFrame, column: str, values: list[str], path: str) -> dict[str, DataFrame]:
+    """One table per type, without the type column, written in one pass and read one by one."""
+    typed = df.sparkSession.read.parquet(write_partitioned(df, path, column))
+    return {v: typed.where(F.col(column) == v).drop(column) for v in values}

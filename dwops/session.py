@@ -57,8 +57,11 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the shared folder for one written table."""
-    return f"{shared_root(spark).rstrip('/')}/dwops-{uuid4().hex}/{name}"
+    """A new, unused path under the shared folder for one written table.
+
+    All paths of an application lie in one folder, to be removed when it has ended.
+    """
+    return f"{shared_root(spark).rstrip('/')}/dwops-{spark.sparkContext.applicationId}/{uuid4().hex}/{name}"
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -435,3 +435,25 @@ def test_upsert_stream_keeps_the_last_batch(spark):
     spark.createDataFrame([(1, "z", 3)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
     assert rows(jobs.upserted(target, log, ["k"])) == [(1, "z"), (2, "b"), (3, "c")]
+
+
+def test_sessions_over_several_batches(spark, tiny):
+    events = spark.read.parquet(f"{tiny}/events.parquet").withColumn("user_id", F.col("user_id") % 3)
+    source, out, state = (fresh_path(spark, n) for n in ("in", "out", "state"))
+    for first in range(1, 31, 6):
+        events.where(F.dayofmonth("ts").between(first, first + 5)).coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.file_stream(spark, source, events.schema, "ts", files_per_batch=1)
+    jobs.stream_sessions(stream, "user_id", "ts", "30 minutes", "1 hour", out, state)
+    got = rows(spark.read.parquet(out), "user_id", "session_start", "session_end", "actions")
+    numbered = win.sessionize(events, "user_id", "ts", ["event_id"])
+    whole = numbered.groupBy("user_id", "session_id").agg(
+        F.min("ts").alias("a"), (F.max("ts") + F.expr("interval 30 minutes")).alias("b"), F.count(F.lit(1)).alias("n"))
+    ended = whole.where(F.col("b") <= events.agg(F.max("ts") - F.expr("interval 1 hour")).scalar())
+    assert got == rows(ended, "user_id", "a", "b", "n") and len(got) < whole.count()
+
+
+def test_tables_are_written_to_the_named_folder(spark):
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert fresh_path(spark, "x").startswith(f"{named}/dwops-")
+    kept = session.stored(spark.range(3))
+    assert all(named in f for f in kept.inputFiles()) and kept.count() == 3
