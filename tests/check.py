@@ -1,4 +1,8 @@
-"""Compare reports with their SQL: python tests/check.py [sf dir] [names...]"""
+"""Compare reports with their SQL: python tests/check.py [sf dir] [names...]
+
+CHUNK_ROWS sets the size beyond which groups are cut; NO_BROADCAST=1 makes Spark shuffle
+both sides of every join, as it does with large tables.
+"""
 
 import os
 import sys
@@ -36,8 +40,12 @@ def kinds(types):
     return [names.get(str(t).lower(), str(t).lower()) for t in types]
 
 
+# Joins that pair every row of one side with every row of the other.
+PAIRING = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
 def compare(df, con, sql):
-    """List of differences; empty when the results agree."""
+    """List of differences; empty when the results agree and no plan step pairs all rows."""
     cur = con.execute(sql)
     names, want = [d[0] for d in cur.description], cur.fetchall()
     types = dict(zip(names, kinds(r[1] for r in con.execute(f"describe {sql}").fetchall())))
@@ -48,6 +56,8 @@ def compare(df, con, sql):
     found += [f"type of {n}: {ours[n]} != {types[n]}" for n in names if ours[n] != types[n]]
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     want = rows_of(names, want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found += [f"plan has a {step}" for step in PAIRING if step in plan]
     if len(got) != len(want):
         found.append(f"rows {len(got)} != {len(want)}")
     if got != want:
@@ -68,6 +78,9 @@ if __name__ == "__main__":
                                          "spark.dwops.chunkRows": os.environ.get("CHUNK_ROWS", "5000000"),
                                          "spark.checkpoint.dir": tempfile.mkdtemp(prefix="dwops-check-")})
     spark.sparkContext.setLogLevel("ERROR")
+    if "NO_BROADCAST" in os.environ:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     con, queries, oracle = duck(sf_dir), entry.queries(), entry.oracle_sql()
     bad = 0
     for name in args or queries:
