@@ -68,6 +68,16 @@ def flag_when(condition: Column, yes=1, no=0) -> Column:
     return F.when(condition, F.lit(yes)).otherwise(F.lit(no))
 
 
+# Fixed spellings of a stored truth value.
+TRUE_VALUES, FALSE_VALUES = ["1", "Y", "TRUE", "T"], ["0", "N", "FALSE", "F"]
+
+
+def as_bool(c: str | Column) -> Column:
+    """Boolean from 0 / 1, 'Y' / 'N' or true / false; anything else is NULL."""
+    text = F.upper(F.trim(col(c).cast("string")))
+    return F.when(text.isin(TRUE_VALUES), True).when(text.isin(FALSE_VALUES), False)
+
+
 def band(c: str | Column, cuts: list[tuple[float, str]], last: str) -> Column:
     """CASE ladder: label of the first upper bound the value stays below."""
     expr = None

@@ -22,7 +22,7 @@ compute, so it is stored once if a group has to be cut and read from there.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
@@ -54,6 +54,7 @@ class Chunked:
     keys: list[str]
     order: list[str]
     cut: DataFrame | None     # the stored rows of the groups that were cut
+    rest: DataFrame | None    # the rows of the other groups, when there can be any
 
     @property
     def window(self) -> WindowSpec:
@@ -67,7 +68,7 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None =
     keys, rows = list(keys), rows or chunk_rows(df)
     large = [] if bounded else large_groups(df, keys, rows).collect()
     if not large:
-        return Chunked(df, keys, order, None)
+        return Chunked(df, keys, order, None, df)
     if derived:
         df = stored(df)
     many, rest = df, None
@@ -79,7 +80,7 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None =
     ranged = many.repartitionByRange(chunks, *[F.col(k) for k in keys], *sort_columns(order))
     cut = stored(ranged.withColumn("_chunk", F.spark_partition_id()))
     together = cut if rest is None else rest.withColumn("_chunk", F.lit(0)).unionByName(cut)
-    return Chunked(together, keys, order, cut)
+    return Chunked(together, keys, order, cut, rest)
 
 
 def _place(df: DataFrame, order: list[str]) -> Column:
@@ -172,15 +173,18 @@ def row_frames(
     """
     size = max(rows or chunk_rows(df), before + after + 1)
     c = chunked(df, keys, order, size, **remarks)
+    plain = Window.partitionBy(*keys).orderBy(*sort_columns(order))
+    small = None if c.rest is None else c.rest.withColumns({n: make(plain) for n, make in columns.items()})
     if c.cut is None:
-        return df.withColumns({n: make(c.window) for n, make in columns.items()})
-    numbered = _scan(c, "_rn", {}, {}).withColumn("_i", F.col("_rn") - 1)
+        return small
+    numbered = _scan(replace(c, df=c.cut), "_rn", {}, {}).withColumn("_i", F.col("_rn") - 1)
     first = F.expr(f"greatest(_i - {after}, 0) div {size}")
     final = F.expr(f"(_i + {before}) div {size}")
     blocks = numbered.withColumn("_block", F.explode(F.sequence(first, final)))
     window = Window.partitionBy(*keys, "_block").orderBy("_rn")
     computed = blocks.withColumns({n: make(window) for n, make in columns.items()})
-    return computed.where(F.expr(f"_block = _i div {size}")).drop("_rn", "_i", "_block")
+    large = computed.where(F.expr(f"_block = _i div {size}")).drop("_rn", "_i", "_block")
+    return large if small is None else small.unionByName(large)
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, Column],

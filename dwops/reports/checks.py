@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from dwops.functions import values as v
 from dwops.operators import quality
 from dwops.reports import inputs
 from dwops.reports.registry import Tables, report

@@ -25,7 +25,7 @@ def duck(sf_dir):
 
 def cell(x):
     if isinstance(x, float):
-        return f"{x:.9g}"
+        return f"{x + 0.0:.9g}"  # -0.0 equals 0.0
     return repr(x)
 
 
