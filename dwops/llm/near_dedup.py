@@ -10,7 +10,7 @@
 4. Survivors are verified on the full shingle sets of their texts.
 5. Stars leave open only pairs of nodes that lie in one bucket but, after linking, in
    different components. Per bucket the nodes outside its largest component meet all
-   others, again pruned and verified, so that no link between components is missed.
+   others in blocks, again pruned and verified, so that no link between components is missed.
 """
 
 from __future__ import annotations
@@ -167,20 +167,122 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
     main = counts.groupBy("bucket").agg(F.max(F.struct("m", "component")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     open_rows = stored(placed.join(main.select("bucket", F.col("most.component").alias("main")), "bucket").join(sizes, "name"))
-    outside = open_rows.where("component <> main").select("bucket", F.col("name").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"))
-    others = open_rows.select("bucket", "main", F.col("name").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
-    condition = (outside["bucket"] == others["bucket"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b")))
-    crossing = outside.join(others, condition & _sizes_agree("na", "nb", percent) & may_link(F.col("sa"), F.col("sb"), threshold))
-    more = _verified(crossing.select("a", "b").distinct(), nodes, texts, percent)
-    final = components(links.unionByName(more)).withColumnRenamed("node", "name")
-
-    named = signed.select("doc_id", "name", "n").join(final, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    smallest = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(smallest, "component", "left")
+    more = _crossing(open_rows, nodes, texts, percent)
+    final = stored(components(links.unionByName(more)).withColumnRenamed("node", "name"))
+
+    # Ids meet components over nodes, of which a group of exact copies is one.
+    linked = nodes.select("name", "doc_id").join(final, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    smallest = linked.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    ids = linked.select("name", "component").join(smallest, "component").select("name", "component_id")
+    out = signed.select("doc_id", "name", "n").join(ids, "name", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
+U_ROWS, V_ROWS, BLOCK_SHINGLES = 256, 1024, 2_000_000
+
+
+def _crossing(open_rows: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links between nodes of one bucket that lie in different components.
+
+    The nodes outside a bucket's largest component meet all its nodes. A bucket is cut into
+    blocks of bounded size, and a block pair is decided inside a task: only links leave it.
+    """
+    places = open_rows.select("name").distinct().join(nodes.select("name", F.col("doc_id").alias("place")), "name")
+    found = places.join(texts, F.col("place").eqNullSafe(F.col("doc_id"))).select("name", "text")
+    outer = F.col("component") != F.col("main")
+    blocks = lambda rows, words, most: F.ceil(F.greatest(rows / most, words / BLOCK_SHINGLES, F.lit(1.0))).cast("int")
+    cuts = open_rows.groupBy("bucket").agg(
+        blocks(F.sum(outer.cast("int")), F.sum(F.when(outer, F.col("n")).otherwise(0)), U_ROWS).alias("us"),
+        blocks(F.count(F.lit(1)), F.sum("n"), V_ROWS).alias("vs"),
+    )
+    rows = open_rows.join(cuts, "bucket")
+    place = lambda n: F.pmod(F.xxhash64("name"), n).cast("int")
+    columns = ["bucket", "u", "v", "role", "name", "component", "main", "sig"]
+    left = rows.where(outer).withColumns({"u": place(F.col("us")), "v": F.explode(F.sequence(F.lit(0), F.col("vs") - 1)), "role": F.lit(0)}).select(columns)
+    right = rows.withColumns({"v": place(F.col("vs")), "u": F.explode(F.sequence(F.lit(0), F.col("us") - 1)), "role": F.lit(1)}).select(columns)
+    both = left.unionByName(right).join(found, "name").repartition("bucket", "u", "v").sortWithinPartitions("bucket", "u", "v")
+    return stored(both.select(*columns, "text").mapInArrow(_block_links(percent), "a binary, b binary").distinct())
+
+
+def _block_links(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)], axis=1)
+            if not len(keys):
+                continue
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+                if key is not None and tuple(keys[a]) != key:
+                    yield _links_within(held, percent)
+                    held = []
+                key = tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield _links_within(held, percent)
+
+    return run
+
+
+def _links_within(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """Links of one block pair; a pair is looked at in the first band it shares."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    # Each row's whole set; a text of the same id that is not the node asked for is left out.
+    rows, sets = [], []
+    name = table.column("name").to_pylist()
+    for first, data, documents in slices(table.column("text")):
+        w = words(data, documents)
+        offsets, values = shingles(w)
+        for i, own in enumerate(names(w)):
+            if own == name[first + i]:
+                rows.append(first + i)
+                sets.append(np.unique(values[offsets[i] : offsets[i + 1]]))
+    role = np.asarray(table.column("role"))[rows] if rows else np.zeros(0, int)
+    component, main = table.column("component").to_pylist(), table.column("main").to_pylist()
+    code = {c: k for k, c in enumerate(dict.fromkeys(component + main))}
+    order = {n: k for k, n in enumerate(sorted(set(name)))}
+    comp = np.array([code[component[r]] for r in rows], int)
+    middle = np.array([code[main[r]] for r in rows], int)
+    rank = np.array([order[name[r]] for r in rows], int)
+    size = np.array([len(s) for s in sets], int)
+    sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(len(table), -1)[rows] if rows else None
+    u, v = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    out: list[tuple[bytes, bytes]] = []
+    if len(u) and len(v):
+        owner = np.repeat(np.arange(len(u)), size[u])
+        joined = np.concatenate([sets[i] for i in u])
+        sort = np.argsort(joined, kind="stable")
+        joined, owner = joined[sort], owner[sort]
+        bucket_band = _common_band(sig[np.r_[u, v]])
+        need = needed_matches(percent / 100)
+        for j in v:
+            open_ = (comp[u] != comp[j]) & ((comp[j] == middle[j]) | (rank[u] < rank[j]))
+            open_ &= 100 * np.minimum(size[u], size[j]) >= percent * np.maximum(size[u], size[j])
+            some = np.flatnonzero(open_)
+            if not len(some):
+                continue
+            equal = sig[u[some]] == sig[j]
+            shared = equal.reshape(len(some), BANDS, ROWS).all(axis=2)
+            passed = shared.argmax(axis=1) >= bucket_band
+            for n, m in need:
+                passed &= equal[:, :n].sum(axis=1) >= m
+            some = some[passed]
+            if not len(some):
+                continue
+            lo, hi = np.searchsorted(joined, sets[j], "left"), np.searchsorted(joined, sets[j], "right")
+            hits = np.repeat(lo, hi - lo) + np.arange((hi - lo).sum()) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)
+            common = np.bincount(owner[hits], minlength=len(u))[some]
+            linked = some[100 * common >= percent * (size[u[some]] + size[j] - common)]
+            out += [(name[rows[u[i]]], name[rows[j]]) for i in linked]
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _common_band(sig: np.ndarray) -> int:
+    """The first band in which all rows of a bucket agree (they agree in the bucket's own)."""
+    return int((sig == sig[0]).reshape(len(sig), BANDS, ROWS).all(axis=(0, 2)).argmax())
+
+
 def _sizes_agree(a: str, b: str, percent: int) -> Column:
     """The smaller set holds at least the threshold's share of the larger one."""
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
