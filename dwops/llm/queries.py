@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwops.llm import near_dedup
+from dwops.llm import decontaminate, near_dedup, packing
 from dwops.session import prepare
 from dwops.sources.tables import load
 
@@ -35,3 +35,13 @@ def query(name: str, sql: str | None = None):
 @query("op10_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op2_decontaminate", decontaminate.SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"))
