@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dwops.llm import decontaminate, near_dedup, packing
+from dwops.llm import cotraining, decontaminate, near_dedup, packing, toxicity
 from dwops.session import prepare
 from dwops.sources.tables import load
 
@@ -45,3 +45,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op5_cotraining_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels"))
