@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dwops.llm import cotraining, decontaminate, near_dedup, packing, toxicity
+from dwops.llm import cotraining, decontaminate, near_dedup, packing, token_counts, topk, toxicity
 from dwops.session import prepare
 from dwops.sources.tables import load
 
@@ -55,3 +55,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels"))
+
+
+@query("op7_pivot_topk", topk.SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(topk.index(load(spark, sf_dir, "embeddings", "vec_id", "embedding")), F.col("vec_id") % 100 == 0)
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.report(load(spark, sf_dir, "documents", "doc_id", "text"))
