@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dwops.llm import cotraining, decontaminate, near_dedup, packing, token_counts, topk, toxicity
+from dwops.llm import cotraining, decontaminate, licenses, masked_lm, near_dedup, packing, token_counts, topk, toxicity
 from dwops.session import prepare
 from dwops.sources.tables import load
 
@@ -65,3 +65,13 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.report(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op3_masked_lm")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.report(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op6_license_scan", licenses.sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"), licenses.repository_path())
