@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dwops.llm import cotraining, decontaminate, licenses, masked_lm, near_dedup, packing, token_counts, topk, toxicity
+from dwops.llm import cotraining, decontaminate, licenses, masked_lm, near_dedup, packing, substring_dedup, token_counts, topk, toxicity
 from dwops.session import prepare
 from dwops.sources.tables import load
 
@@ -75,3 +75,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_license_scan", licenses.sql())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(load(spark, sf_dir, "documents"), licenses.repository_path())
+
+
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(load(spark, sf_dir, "documents", "doc_id", "text"))
