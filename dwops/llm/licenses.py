@@ -33,7 +33,10 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# Words without weight.
+STOP = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with"]
 WORD = re.compile(r"[a-z0-9]+")
+SHORT = 4  # letters below which a word is looked for between word ends only
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.\-_].*)?$"
 SENTENCE = r"\n+|(?<=[.!?;])\s+"
 
@@ -53,15 +56,16 @@ class Weights:
             raw = {t: n * self.idf[t] for t, n in counts.items()}
             norm = sqrt(sum(v * v for v in raw.values()))
             self.vectors[name] = {t: v / norm for t, v in raw.items()}
-            # The rarest words first, until what is left cannot reach the threshold.
-            left = sorted(self.vectors[name].items(), key=lambda x: (x[1] / raw[x[0]] * self.idf[x[0]], x[0]))
+            # Letters before digits and the longest words first, as texts seldom hold them, until what is left
+            # cannot reach the threshold.
+            left = sorted(self.vectors[name].items(), key=lambda x: (not x[0].isdigit(), len(x[0]), x[0]))
             while left and sqrt(sum(v * v for _, v in left)) >= threshold:
                 needed.add(left.pop()[0])
         self.needed = sorted(needed)
 
     @staticmethod
     def _counts(text: str) -> dict[str, int]:
-        words = WORD.findall(text.lower())
+        words = [w for w in WORD.findall(text.lower()) if w not in STOP]
         return {w: words.count(w) for w in words}
 
 
@@ -79,17 +83,23 @@ def _dot(words: str, factor: Column) -> Column:
 
 def statements(docs: DataFrame, keys: list[str], text_col: str = "text", threshold: float = THRESHOLD,
                templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """The keys and (license, cosine) of each sentence at or above the threshold.
-
-    Of equally good templates the first by name is taken.
-    """
+    """The keys and (license, cosine) of each sentence and template at or above the threshold."""
     w = Weights(templates, threshold)
-    mark = rf"(^|[^a-z0-9])({'|'.join(w.needed)})([^a-z0-9]|$)"
-    lowered = _lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+    short = "|".join(x for x in w.needed if len(x) < SHORT)
+    whole = rf"(?<![a-z0-9])(?:{'|'.join(w.needed)})(?![a-z0-9])"
+
+    def marked(text: Column) -> Column:
+        test = F.regexp_like(text, F.lit(rf"(?<![a-z0-9])(?:{short})(?![a-z0-9])")) if short else F.lit(False)
+        for word in w.needed:
+            test = F.contains(text, F.lit(word)) | test if len(word) >= SHORT else test
+        return test
+
     # The whole text first: most have no such word at all.
-    candidates = docs.select(*keys, lowered.alias("_text")).where(F.col("_text").rlike(mark))
-    parts = candidates.select(*keys, F.explode(F.filter(F.split("_text", SENTENCE), lambda s: s.rlike(mark))).alias("_s"))
-    words = parts.select(*keys, F.array_sort(F.regexp_extract_all("_s", F.lit("([a-z0-9]+)"), 1)).alias("_w"))
+    candidates = docs.where(marked(F.lower(F.col(text_col).cast("string"))))
+    parts = candidates.select(*keys, F.explode(F.split(_lower(F.col(text_col).cast("string")), SENTENCE)).alias("_s")).where(F.col("_s").rlike(whole))
+    found_words = F.filter(F.regexp_extract_all("_s", F.lit("([a-z0-9]+)"), 1), lambda t: ~t.isin(STOP))
+    words = parts.select(*keys, F.array_sort(found_words).alias("_w"))
     idf = _literal(w.idf)
     weight = lambda t: F.coalesce(F.element_at(idf, t), F.lit(w.unknown))
     # One pass over the sorted words: the run r of a word adds idf^2 (2 r + 1) to the squared norm.
@@ -104,9 +114,8 @@ def statements(docs: DataFrame, keys: list[str], text_col: str = "text", thresho
     for name, vector in sorted(w.vectors.items()):
         factor = _literal({t: v * w.idf[t] for t, v in vector.items()})
         scores.append(F.struct(F.round(_dot("_w", factor) / F.col("_norm"), 6).alias("cosine"), F.lit(name).alias("license")))
-    best = F.array_sort(F.array(*scores), lambda a, b: F.when(a["cosine"] > b["cosine"], -1).when(a["cosine"] < b["cosine"], 1).when(a["license"] < b["license"], -1).otherwise(1))
-    found = words.withColumn("_norm", norm).select(*keys, best[0].alias("_best"))
-    return found.where(F.col("_best.cosine") >= threshold).select(*keys, F.col("_best.license").alias("license"), F.col("_best.cosine").alias("cosine"))
+    scored = words.withColumn("_norm", norm).where("_norm > 0").select(*keys, F.explode(F.array(*scores)).alias("_best"))
+    return scored.where(F.col("_best.cosine") >= threshold).select(*keys, F.col("_best.license").alias("license"), F.col("_best.cosine").alias("cosine"))
 
 
 def directory(path: Column) -> Column:
@@ -162,18 +171,19 @@ def repository_path() -> Column:
 
 def sql() -> str:
     """The query in SQL; template weights are worked out there anew from the template texts."""
+    stop = ", ".join(f"'{t}'" for t in STOP)
     rows = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
 WITH tpl(license, body) AS (VALUES {rows}),
-tt AS (SELECT license, t, count(*) n FROM (SELECT license, unnest(regexp_extract_all({lower.format('body')}, '[a-z0-9]+')) t FROM tpl) GROUP BY ALL),
+tt AS (SELECT license, t, count(*) n FROM (SELECT license, unnest(regexp_extract_all({lower.format('body')}, '[a-z0-9]+')) t FROM tpl) WHERE t NOT IN ({stop}) GROUP BY ALL),
 idf AS (SELECT t, ln((1.0 + (SELECT count(*) FROM tpl)) / (1 + count(*))) + 1 w FROM tt GROUP BY t),
 tv AS (SELECT license, t, n * w / sqrt(sum(n * w * n * w) OVER (PARTITION BY license)) v FROM tt JOIN idf USING (t)),
 d AS (SELECT row_number() OVER () rid, doc_id, text, CASE WHEN doc_id % 7 = 0 THEN source || '/LICENSE.' || doc_id
         WHEN doc_id % 7 = 1 THEN source || '/' || lang || '/LICENSE.' || doc_id ELSE source || '/' || lang || '/' || doc_id || '.txt' END path FROM documents),
 s0 AS (SELECT rid, unnest(string_split_regex(regexp_replace({lower.format("coalesce(text, '')")}, '([.!?;])\\s+', '\\1' || chr(10), 'g'), '\\n+')) s FROM d),
 s AS (SELECT row_number() OVER () sid, rid, s FROM s0),
-sw AS (SELECT sid, rid, t, count(*) n FROM (SELECT sid, rid, unnest(regexp_extract_all(s, '[a-z0-9]+')) t FROM s) GROUP BY ALL),
+sw AS (SELECT sid, rid, t, count(*) n FROM (SELECT sid, rid, unnest(regexp_extract_all(s, '[a-z0-9]+')) t FROM s) WHERE t NOT IN ({stop}) GROUP BY ALL),
 sv AS (SELECT sid, rid, sw.t, n * coalesce(w, ln(1.0 + (SELECT count(*) FROM tpl)) + 1) x FROM sw LEFT JOIN idf ON sw.t = idf.t),
 nrm AS (SELECT sid, rid, sqrt(sum(x * x)) z FROM sv GROUP BY ALL),
 cs AS (SELECT nrm.rid, nrm.sid, license, round(sum(x * v) / any_value(z), 6) cosine FROM sv JOIN tv ON sv.t = tv.t JOIN nrm ON nrm.sid = sv.sid GROUP BY ALL),
