@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dwops.llm.models import BoostedTrees, Logistic
+from dwops.llm.models import BoostedTrees, Logistic, set_aside
 from dwops.llm.toxicity import labelled_sample
 
 SAMPLE = 8_000
@@ -90,9 +90,8 @@ class Model:
         return self.both.score(np.column_stack([self.text.raw(text), self.page.raw(page)]))
 
 
-def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``y`` labels the first rows; the pools are the unlabelled rows of the same views."""
-    aside = np.arange(len(y)) % 5 == 0
+def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, aside: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Labelled rows of both views (those ``aside`` calibrate), and the same views of the unlabelled pool."""
     ours, theirs = (text, pool_text), (page, pool_page)
     extra = {0: (np.zeros(0, int), np.zeros(0)), 1: (np.zeros(0, int), np.zeros(0))}
     views: list[Calibrated] = []
@@ -156,7 +155,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
         return None
     empty = np.zeros((0, len(labelled[0]["text"]))), np.zeros((0, len(labelled[0]["page"])))
     pools = (view("text", unlabelled), view("page", unlabelled)) if unlabelled else empty
-    return co_train(view("text", labelled), view("page", labelled), np.array([r["y"] for r in labelled], float), *pools, rounds)
+    y = np.array([r["y"] for r in labelled], float)
+    return co_train(view("text", labelled), view("page", labelled), y, set_aside([r["id"] for r in labelled], y), *pools, rounds)
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from dwops.llm.text import slices, words
+from dwops.llm.text import mix, slices, words
 
 DIGITS = 64
 RARE = 64                       # codes shared by words that are not among the most frequent
@@ -27,7 +27,7 @@ CODES = DIGITS * DIGITS
 KNOWN = CODES - RARE
 BOUNDARY = CODES
 SIDE, WIDTH, HIDDEN = 3, 16, 32
-MASK, ROUNDS, BATCH, RATE = 8, 2, 512, 0.05
+MASK, ROUNDS, BATCH, RATE = 8, 2, 128, 0.05
 AT_ONCE = 1 << 14
 OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
@@ -181,9 +181,9 @@ def _round(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> np.nda
             for _, data, documents in slices(batch.column(0)):
                 w = words(data, documents)
                 line, place = padded(vocabulary.codes(w.hashes), w.offsets)
-                # Each document's places 0, MASK, 2 MASK, ...: every document is learned from.
+                # The first and about one in MASK of each document's places, by a hash, so that no rhythm of a text hides words.
                 inside = np.arange(len(place)) - np.repeat(w.offsets[:-1], np.diff(w.offsets))
-                masked = place[inside % MASK == 0]
+                masked = place[mix(inside.astype(np.uint64)) % np.uint64(MASK) == 0]
                 learn(own, line, masked)
                 seen += len(masked)
         if seen:

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from dwops.llm.models import BoostedTrees, Isotonic
+from dwops.llm.models import BoostedTrees, Isotonic, set_aside
 
 SAMPLE = 8_000
 TERMS = 500
@@ -100,11 +100,6 @@ class Model:
         return 0.98 * self.steps(p) + 0.02 * p if self.steps else p
 
 
-def _held(share: int):
-    """The rows of a sample used for calibration, by the order of the sample."""
-    return lambda n: np.arange(n) % share == 0
-
-
 def labelled_sample(labels: DataFrame, id_col: str, label: str, rows: int, where: Column | None = None) -> DataFrame:
     """At most ``rows`` distinct ids with a 0/1 label, those of smallest hash; a local table.
 
@@ -154,8 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     rows = sorted(chosen.select("id", "text", "y").mapInArrow(run, "id long, y int, x array<double>").collect())
-    x, y = np.array([r["x"] for r in rows], float).reshape(len(rows), -1), np.array([r["y"] for r in rows], float)
-    aside = np.arange(len(rows)) % 5 == 0
+    x, y = np.array([r["x"] for r in rows], float).reshape(len(rows), len(features("", Lexicon({})))), np.array([r["y"] for r in rows], float)
+    aside = set_aside([r["id"] for r in rows], y)
     trees = BoostedTrees().fit(x[~aside], y[~aside])
     steps = Isotonic().fit(trees.score(x[aside]), y[aside]) if aside.any() and trees.nodes else None
     return Model(odds, trees, steps)
