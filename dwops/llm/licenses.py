@@ -18,7 +18,9 @@ from __future__ import annotations
 import re
 from math import log, sqrt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from dwops.session import stored
 
 THRESHOLD = 0.6
 
@@ -138,7 +140,8 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), path.alias("path"), F.col(text_col).alias("text"))
     first = F.struct((-F.col("cosine")).alias("c"), "license")
     own = statements(rows, keys, "text", threshold).groupBy(*keys).agg(F.min(first).alias("b"))
-    own = own.select(*keys, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
+    # Read twice below, and small beside the texts.
+    own = stored(own.select(*keys, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine")))
 
     is_file = F.regexp_extract("path", r"([^/]*)$", 1).rlike(LICENCE_FILE)
     granted = own.where(is_file).groupBy(directory(F.col("path")).alias("dir")).agg(F.min(first).alias("b")).select("dir", F.col("b.license").alias("granted"))
