@@ -19,13 +19,16 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[s
     """MERGE: matched rows take the ``update`` columns, unmatched source rows are inserted.
 
     In ``update`` and ``insert`` the expressions see ``t`` (target row) and ``s`` (source
-    row). By default all common columns come from the source. A NULL in the source
+    row). By default all common columns come from the source; an empty dict changes
+    nothing in matched rows, or leaves inserted columns NULL. A NULL in the source
     overwrites: presence is told by the row, not by its values. Source keys are unique.
     """
     columns = target.columns
     common = [c for c in source.columns if c in columns]
-    update = update or {c: F.col(f"s.{c}") for c in common if c not in keys}
-    insert = insert or {c: F.col(f"s.{c}") for c in common}
+    if update is None:
+        update = {c: F.col(f"s.{c}") for c in common if c not in keys}
+    if insert is None:
+        insert = {c: F.col(f"s.{c}") for c in common}
     t = target.select(*keys, F.struct(*columns).alias("t"))
     s = source.select(*keys, F.struct(*source.columns).alias("s"))
     both = t.join(s, keys, "full")

@@ -463,3 +463,11 @@ def test_tables_are_written_to_the_named_folder(spark):
     assert fresh_path(spark, "x").startswith(f"{named}/dwops-")
     kept = session.stored(spark.range(3))
     assert all(named in f for f in kept.inputFiles()) and kept.count() == 3
+
+
+def test_upsert_without_updates_keeps_matched_rows(spark):
+    from dwops.operators.loading import upsert
+
+    target = spark.createDataFrame([(1, "old")], "k int, v string")
+    source = spark.createDataFrame([(1, "new"), (2, "added")], "k int, v string")
+    assert sorted(map(tuple, upsert(target, source, ["k"], update={}).collect())) == [(1, "old"), (2, "added")]
