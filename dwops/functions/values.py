@@ -34,12 +34,13 @@ def money_total(c: str | Column) -> Column:
     return total(cents(c), 2)
 
 
-def exact_sum(c: str | Column) -> Column:
-    return money_total(c).cast("double")
+def exact_sum(c: str | Column, digits: int = 2) -> Column:
+    """Sum of values that have ``digits`` decimals; further ones are rounded away."""
+    return total(F.rint(col(c) * 10 ** digits).cast("long"), digits).cast("double")
 
 
-def exact_avg(c: str | Column) -> Column:
-    return exact_sum(c) / F.count(col(c))
+def exact_avg(c: str | Column, digits: int = 2) -> Column:
+    return exact_sum(c, digits) / F.count(col(c))
 
 
 def revenue_units() -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, product
 import re
 
 from pyspark.sql import DataFrame, functions as F
@@ -17,6 +17,14 @@ def plain_name(column: str) -> str:
     return re.sub(r"^[A-Z]{1,2}_", "", column.upper())
 
 
+def _by_name(columns: list[str], clean) -> dict[str, list[str]]:
+    """Columns under their cleaned name, which several may share."""
+    names: dict[str, list[str]] = {}
+    for c in columns:
+        names.setdefault(clean(c), []).append(c)
+    return names
+
+
 def propose_joins(columns: dict[str, list[str]], normalise: bool = True) -> list[tuple]:
     """(table1, column1, table2, column2, rule, confidence) for every table pair, from names alone.
 
@@ -25,17 +33,19 @@ def propose_joins(columns: dict[str, list[str]], normalise: bool = True) -> list
     clean = plain_name if normalise else str.upper
     found = []
     for (t1, cols1), (t2, cols2) in combinations(columns.items(), 2):
-        names1, names2 = {clean(c): c for c in cols1}, {clean(c): c for c in cols2}
+        names1, names2 = _by_name(cols1, clean), _by_name(cols2, clean)
         for n in sorted(names1.keys() & names2.keys()):
-            found.append((t1, names1[n], t2, names2[n], "COMMON_COLUMN", "HIGH" if n.endswith(KEY_ENDINGS) else "MEDIUM"))
+            confidence = "HIGH" if n.endswith(KEY_ENDINGS) else "MEDIUM"
+            found += [(t1, c1, t2, c2, "COMMON_COLUMN", confidence) for c1, c2 in product(names1[n], names2[n])]
         for owner, own, other, theirs in ((t1, names1, t2, names2), (t2, names2, t1, names1)):
             for n in sorted(theirs):
                 ending = next((e for e in REFERENCE_ENDINGS if n.endswith(e)), None)
                 if ending is None or not n.startswith(owner.upper()) or n in own or ending[1:] not in own:
                     continue
-                pair = (owner, own[ending[1:]], other, theirs[n])
-                ordered = pair if owner == t1 else pair[2:] + pair[:2]
-                found.append((*ordered, "NAMING_CONVENTION", "MEDIUM"))
+                for key, reference in product(own[ending[1:]], theirs[n]):
+                    pair = (owner, key, other, reference)
+                    ordered = pair if owner == t1 else pair[2:] + pair[:2]
+                    found.append((*ordered, "NAMING_CONVENTION", "MEDIUM"))
     return found
 
 

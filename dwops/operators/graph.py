@@ -70,11 +70,11 @@ def explode_bom(edges: DataFrame, root, max_levels: int = 100) -> DataFrame:
     return paths.groupBy("component_id").agg(F.sum("quantity").alias("total_quantity"), F.max("level").alias("max_depth"))
 
 
-def trace_lineage(sources: dict[str, DataFrame], start: DataFrame, direction: str = "up", max_rounds: int = 10) -> DataFrame:
+def trace_lineage(sources: dict[str, DataFrame], start: DataFrame, direction: str = "up", max_rounds: int | None = None) -> DataFrame:
     """Names reached from a start set over several edge sources: (node, round, via).
 
     Each round follows all edge sources from the newly found names and keeps the unseen
-    ones; it ends when none appear or at the round limit. ``via`` is the (first) source
+    ones; it ends when none appear, or after ``max_rounds`` if that is given. ``via`` is the (first) source
     that led there, NULL for the start.
     """
     if direction not in ("up", "down"):

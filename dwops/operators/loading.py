@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dwops.functions.values import any_of, money_total
+from dwops.functions.values import all_of, any_of, money_total
 from dwops.operators.relational import not_exists_in
 from dwops.plans.ordered import scan_groups
 from dwops.sources.files import write_partitioned
@@ -21,7 +21,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[s
     In ``update`` and ``insert`` the expressions see ``t`` (target row) and ``s`` (source
     row). By default all common columns come from the source; an empty dict changes
     nothing in matched rows, or leaves inserted columns NULL. A NULL in the source
-    overwrites: presence is told by the row, not by its values. Source keys are unique.
+    overwrites: presence is told by the row, not by its values. A key that comes twice in
+    the source fails the job, as in MERGE; a key with a NULL in it matches nothing.
     """
     columns = target.columns
     common = [c for c in source.columns if c in columns]
@@ -30,7 +31,10 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[s
     if insert is None:
         insert = {c: F.col(f"s.{c}") for c in common}
     t = target.select(*keys, F.struct(*columns).alias("t"))
-    s = source.select(*keys, F.struct(*source.columns).alias("s"))
+    # Sorted by key as the join wants it, so the check adds no exchange.
+    twice = (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1) & all_of([F.col(k).isNotNull() for k in keys])
+    s = source.select(*keys, F.struct(*source.columns).alias("s"), twice.alias("_twice")).select(
+        *keys, F.when(F.col("_twice"), F.raise_error(F.lit("a key comes more than once in the source"))).otherwise(F.col("s")).alias("s"))
     both = t.join(s, keys, "full")
     types = target.schema
     matched, inserted = F.col("t").isNotNull() & F.col("s").isNotNull(), F.col("t").isNull()
@@ -50,10 +54,16 @@ def scd1_merge(dim: DataFrame, stage: DataFrame, key: str) -> DataFrame:
 
 
 def assign_keys(dim: DataFrame, stage: DataFrame, natural_key: str, surrogate: str) -> DataFrame:
-    """Members unknown to the dimension, numbered on from its highest surrogate key."""
-    new = not_exists_in(stage, dim.select(natural_key), natural_key)
+    """Members unknown to the dimension, numbered on from its highest surrogate key.
+
+    A member staged several times comes once, with its smallest row.
+    """
+    rest = [c for c in stage.columns if c != natural_key]
+    unknown = not_exists_in(stage, dim.select(natural_key), natural_key)
+    new = unknown.groupBy(natural_key).agg(F.min(F.struct(*rest)).alias("_row")).select(natural_key, "_row.*") if rest else unknown.distinct()
+    new = new.select(*stage.columns)
     top = dim.agg(F.coalesce(F.max(surrogate), F.lit(0)).cast("long").alias("top"))
-    return scan_groups(new, [], [natural_key], number="_n").withColumn(surrogate, top.scalar() + F.col("_n")).drop("_n")
+    return scan_groups(new, [], [natural_key], number="_n", derived=True).withColumn(surrogate, top.scalar() + F.col("_n")).drop("_n")
 
 
 def incremental(source: DataFrame, control: DataFrame, table: str, ts: str) -> DataFrame:
@@ -85,14 +95,17 @@ def audit_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def changed_rows(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
-    """Added, removed and changed rows by the MD5 of a text column; only hashes are shuffled."""
-    o = old.select(key, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("old_hash"))
-    n = new.select(key, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("new_hash"))
+    """Added, removed and changed rows by the MD5 of a text column; only hashes are shuffled.
+
+    NULL has no hash and differs from the empty text.
+    """
+    side = lambda df, name: df.select(key, F.md5(text).alias(f"{name}_hash"), F.lit(True).alias(f"_{name}"))
     status = (
-        F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "removed")
-        .when(F.col("old_hash") != F.col("new_hash"), "changed")
+        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
+        .when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), "changed")
     )
-    return o.join(n, key, "full").withColumn("status", status).where(F.col("status").isNotNull())
+    both = side(old, "old").join(side(new, "new"), key, "full").withColumn("status", status)
+    return both.where(F.col("status").isNotNull()).drop("_old", "_new")
 
 
 # --- summaries -------------------------------------------------------------
@@ -160,7 +173,13 @@ def accumulating_snapshot(header: DataFrame, lines: DataFrame, key: str, line_ke
     })
 
 
-def split_by_type(df: DataFrame, column: str, values: list[str], path: str) -> dict[str, DataFrame]:
-    """One table per type, without the type column, written in one pass and read one by one."""
-    typed = df.sparkSession.read.parquet(write_partitioned(df, path, column))
-    return {v: typed.where(F.col(column) == v).drop(column) for v in values}
+def split_by_type(df: DataFrame, column: str, path: str, values: list[str] | None = None) -> dict[str, DataFrame]:
+    """One table per type, without the type column, written in one pass and read one by one.
+
+    All types of the data unless ``values`` names some; one folder each, so they are few.
+    A NULL type comes under None.
+    """
+    typed = df.sparkSession.read.schema(df.schema).parquet(write_partitioned(df, path, column))
+    if values is None:
+        values = [r[0] for r in typed.select(column).distinct().orderBy(column).collect()]
+    return {v: typed.where(F.col(column).eqNullSafe(F.lit(v))).drop(column) for v in values}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -138,9 +139,9 @@ def lookup_agg(df: DataFrame, other: DataFrame, on: list[str], aggs: list[Column
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in zeros})
 
 
-def above_group_avg(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rows whose value exceeds their group's mean (which is exact for money)."""
-    means = with_group_values(df, keys, {"group_avg": exact_avg(value)})
+def above_group_avg(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> DataFrame:
+    """Rows whose value exceeds their group's mean (which is exact for ``digits`` decimals)."""
+    means = with_group_values(df, keys, {"group_avg": exact_avg(value, digits)})
     return means.where(F.col(value) > F.col("group_avg"))
 
 
@@ -260,12 +261,12 @@ def lifetime_value(entities: DataFrame, facts: DataFrame, on: list[str], value:
     return left_default(entities, totals, on, {"order_count": 0, "lifetime_value": 0.0})
 
 
-def slowest_groups(df: DataFrame, keys: list[str], value: str, n: int = 20) -> DataFrame:
-    """The ``n`` groups with the highest mean."""
+def slowest_groups(df: DataFrame, keys: list[str], value: str, n: int = 20, digits: int = 6) -> DataFrame:
+    """The ``n`` groups with the highest mean, over values taken to ``digits`` decimals."""
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("calls"),
-        exact_sum(value).alias("total_time"),
-        exact_avg(value).alias("mean_time"),
+        exact_sum(value, digits).alias("total_time"),
+        exact_avg(value, digits).alias("mean_time"),
         F.max(value).alias("max_time"),
     )
     return stats.orderBy(F.desc("mean_time"), *keys).limit(n)
@@ -309,7 +310,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, continuous: dict[str
         aggs += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"),
                  F.max(place - F.floor(place)).alias(f"_part_{name}")]
     for name, p in discrete.items():
-        aggs.append(at(F.greatest(F.ceil(F.col("_total") * F.lit(float(p))) - 1, F.lit(0))).alias(name))
+        aggs.append(at(F.greatest(F.ceil(F.col("_total") * F.lit(Decimal(str(p)))) - 1, F.lit(0))).alias(name))
     out = placed.groupBy(*keys).agg(*aggs)
     lo = lambda n: F.col(f"_lo_{n}")
     return out.select(

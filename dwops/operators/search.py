@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from dwops.functions.values import any_of, matches
 from dwops.operators.relational import top_per_key
-from dwops.plans.keyed import spread
+from dwops.plans.keyed import join_on_same, spread
 
 
 def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,11 +31,11 @@ def search_lines(df: DataFrame, key: str, text: str, pattern: str, regex: bool =
 
 
 def search_objects(df: DataFrame, key: str, text: str, a: str | None, b: str | None, regex: bool = False,
-                   limit: int = 100, keep_lines: int = 100) -> DataFrame:
+                   limit: int | None = None, keep_lines: int | None = None) -> DataFrame:
     """Documents with a line for each given term (not necessarily the same one).
 
-    Lines matching either count; the first ``keep_lines`` line numbers are listed. The
-    first ``limit`` documents by key are reported.
+    Lines matching either count. All documents come with all their line numbers, unless
+    ``limit`` asks for the first documents by key, ``keep_lines`` for the first lines only.
     """
     terms = [t for t in (a, b) if t]
     if not terms:
@@ -43,14 +43,14 @@ def search_objects(df: DataFrame, key: str, text: str, a: str | None, b: str | N
     whole = reduce(lambda x, y: x & y, [_may_match(text, t, regex) for t in terms])
     flags = {f"_m{i}": matches("line_text", t, regex) for i, t in enumerate(terms)}
     hits = lines_of(df.where(whole), key, text).withColumns(flags).where(any_of([F.col(f) for f in flags]))
-    found = hits.groupBy(key).agg(F.count(F.lit(1)).alias("match_count"), *[F.max(f).alias(f) for f in flags])
-    kept = found.where(reduce(lambda x, y: x & y, [F.col(f) for f in flags])).select(key, "match_count").orderBy(key).limit(limit)
-    # ``kept`` has at most ``limit`` rows.
-    listed = hits.select(key, "line").join(F.broadcast(kept.select(key)), key, "left_semi")
-    first = top_per_key(listed, [key], ["line"], keep_lines).groupBy(key).agg(
-        F.array_join(F.sort_array(F.collect_list("line")), ",").alias("matching_lines")
+    # A document's own line numbers, so the array is shorter than its text.
+    lines = F.sort_array(F.collect_list("line"))
+    listed = F.slice(lines, 1, keep_lines) if keep_lines else lines
+    found = hits.groupBy(key).agg(
+        F.count(F.lit(1)).alias("match_count"), F.array_join(listed, ",").alias("matching_lines"), *[F.max(f).alias(f) for f in flags]
     )
-    return kept.join(first, key)
+    kept = found.where(reduce(lambda x, y: x & y, [F.col(f) for f in flags])).select(key, "match_count", "matching_lines")
+    return kept.orderBy(key).limit(limit) if limit else kept
 
 
 def fetch_objects(df: DataFrame, key: str, text: str, names: list | DataFrame, owner: str | None = None,
@@ -78,15 +78,11 @@ def search_fields(df: DataFrame, columns: list[str], pattern: str, regex: bool =
     return df.withColumn("matched_fields", F.array_join(hit, ",")).where(F.col("matched_fields") != "")
 
 
-# Context shows this many of the first columns, and at most so many filled ones.
-CONTEXT_COLUMNS, CONTEXT_PARTS = 12, 8
-
-
 def search_cells(df: DataFrame, table: str, key: str, pattern: str, regex: bool = True) -> DataFrame:
     """Cells matching a pattern: where they are, and the row as ``name=value | name=value``."""
     text = {c: F.col(c).cast("string") for c in df.columns}
-    filled = [F.when(F.length(text[c]) > 0, F.concat(F.lit(f"{c}="), text[c])) for c in df.columns[:CONTEXT_COLUMNS]]
-    context = F.array_join(F.slice(F.filter(F.array(*filled), lambda x: x.isNotNull()), 1, CONTEXT_PARTS), " | ")
+    filled = [F.when(F.length(text[c]) > 0, F.concat(F.lit(f"{c}="), text[c])) for c in df.columns]
+    context = F.concat_ws(" | ", *filled)
     cells = F.array(*[F.struct(F.lit(c).alias("field"), text[c].alias("cell")) for c in df.columns])
     rows = df.where(any_of([matches(text[c], pattern, regex) for c in df.columns]))
     out = rows.select(F.lit(table).alias("table_name"), text[key].alias("row_key"), context.alias("context"), F.inline(cells))
@@ -110,7 +106,8 @@ def tag_terms(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str,
     A short glossary (counted first) travels to the texts as one array value, so the
     texts are read once and never shuffled. For a long one the texts meet the terms
     through an equality join: a term can only occur where its first three characters do,
-    and the substring test then decides.
+    and the substring test then decides. There equal rows are counted first and given
+    back at the end, so the result is the same, also for repeated and NULL keys.
     """
     low = spread(docs.select(key, text)).select(key, F.lower(F.col(text)).alias("_text")).where(F.length("_text") > 0)
     words = terms.where(F.length(term) > 0).withColumn("_term", F.lower(F.col(term)))
@@ -121,10 +118,13 @@ def tag_terms(docs: DataFrame, key: str, text: str, terms: DataFrame, term: str,
         return low.withColumn("_glossary", glossary).select(key, F.explode(F.transform(found, lambda w: w["_entry"])).alias("_entry")).select(key, "_entry.*")
     words = words.withColumn("_size", F.least(F.length("_term"), F.lit(GRAM))).withColumn("_gram", F.substring("_term", 1, GRAM))
     sizes = sorted(r["_size"] for r in words.select("_size").distinct().collect())
-    parts = [low.select(key, F.lit(n).alias("_size"), F.explode(_grams(F.col("_text"), n)).alias("_gram")) for n in sizes]
+    low = low.withColumn("_hash", F.md5("_text")).groupBy(key, "_hash").agg(
+        F.first("_text").alias("_text"), F.count(F.lit(1)).cast("int").alias("_copies"))
+    parts = [low.select(key, "_hash", F.lit(n).alias("_size"), F.explode(_grams(F.col("_text"), n)).alias("_gram")) for n in sizes]
     starts = reduce(DataFrame.unionByName, parts)
-    pairs = starts.join(words, ["_size", "_gram"]).select(key, *columns, "_term")
-    return pairs.join(low, key).where(F.contains("_text", "_term")).select(key, *columns)
+    pairs = starts.join(words, ["_size", "_gram"]).select(key, "_hash", *columns, "_term")
+    found = join_on_same(pairs, low, [key, "_hash"], "inner").where(F.contains("_text", "_term"))
+    return found.select(key, *columns, F.explode(F.array_repeat(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
 
 
 def union_canonical(parts: dict[str, DataFrame], aliases: dict[str, str], tag: str = "origin") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dwops.functions.values import any_of
-from dwops.plans.ordered import scan_groups
+from dwops.plans.ordered import row_frames, scan_groups
 
 OPEN_END = "9999-12-31"
 
@@ -22,15 +22,20 @@ def asof_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: st
 
     ``dim`` holds non-overlapping versions per key. Facts and versions are laid on one
     time line per key and the latest version so far is carried along, so a fact never
-    meets all versions of its key, as it would in a join on the key alone.
+    meets all versions of its key, as it would in a join on the key alone. Times are
+    compared to the instant; a date stands for its midnight. Facts of one key and time
+    are told apart by a hash of their values, so that they need not share a chunk.
     """
+    instant = lambda c: F.col(c).cast("timestamp_ntz").alias("_t")
+    hashed = [f.name for f in fact.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
     version = F.struct(*attributes, valid_from, valid_to)
-    versions = dim.select(F.col(key).alias("_key"), F.col(valid_from).cast("date").alias("_t"), F.lit(0).alias("_kind"),
-                          version.alias("_version"), F.lit(None).cast(fact.schema).alias("_fact"))
-    facts = fact.select(F.col(key).alias("_key"), F.col(ts).cast("date").alias("_t"), F.lit(1).alias("_kind"),
+    versions = dim.select(F.col(key).alias("_key"), instant(valid_from), F.lit(0).alias("_kind"),
+                          F.lit(0).cast("long").alias("_tie"), version.alias("_version"), F.lit(None).cast(fact.schema).alias("_fact"))
+    facts = fact.select(F.col(key).alias("_key"), instant(ts), F.lit(1).alias("_kind"), F.xxhash64(*hashed).alias("_tie"),
                         F.lit(None).cast(versions.schema["_version"].dataType).alias("_version"),
                         F.struct(*fact.columns).alias("_fact"))
-    line = scan_groups(versions.unionByName(facts), ["_key"], ["_t", "_kind"], last={"_seen": F.col("_version")}, derived=True)
+    line = scan_groups(versions.unionByName(facts), ["_key"], ["_t", "_kind", "_tie"],
+                       last={"_seen": F.col("_version")}, derived=True)
     met = line.where((F.col("_kind") == 1) & F.col("_seen").isNotNull() & (F.col("_t") < open_ended(F.col(f"_seen.{valid_to}"))))
     return met.select("_fact.*", "_seen.*")
 
@@ -38,36 +43,41 @@ def asof_join(fact: DataFrame, dim: DataFrame, key: str, ts: str, valid_from: st
 def overlap_conflicts(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Rows whose interval ``[start, end)`` overlaps others of the same key, with how many.
 
-    Others that overlap = those started before this one ends, minus those ended by its
-    start, minus itself. Both counts are running sums over the key's distinct points in
-    time, so no pairs are formed.
+    Two rows overlap when each starts before the other ends. Others that overlap = those
+    started before this one ends, minus those ended by its start, minus itself. An empty
+    interval (``start = end``) does not start before its own end, so for an empty row those
+    at the same point are not among the first and are left out of the second. All counts
+    are running sums over the key's distinct points in time, so no pairs are formed.
     """
-    point = lambda c, s, e: df.select(F.col(key), F.col(c).alias("_t"), F.lit(s).alias("_s"), F.lit(e).alias("_e"))
+    empty = (F.col(start) == F.col(end)).cast("int")
+    point = lambda c, s, e: df.select(
+        F.col(key), F.col(c).alias("_t"), F.lit(s).alias("_s"), F.lit(e).alias("_e"), (F.lit(s) * empty).alias("_z"))
     points = (
         point(start, 1, 0).unionByName(point(end, 0, 1)).groupBy(key, "_t")
-        .agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"))
+        .agg(F.sum("_s").alias("_s"), F.sum("_e").alias("_e"), F.sum("_z").alias("_z"))
     )
     line = scan_groups(points, [key], ["_t"], sums={"_started": F.col("_s"), "_ended": F.col("_e")}, derived=True)
     started = line.select(key, F.col("_t").alias(end), (F.col("_started") - F.col("_s")).alias("_started_before"))
-    ended = line.select(key, F.col("_t").alias(start), F.col("_ended").alias("_ended_by"))
+    ended = line.select(key, F.col("_t").alias(start), F.col("_ended").alias("_ended_by"), F.col("_z").alias("_empty_here"))
     counted = df.join(started, [key, end]).join(ended, [key, start])
-    conflicts = F.col("_started_before") - F.col("_ended_by") - 1
+    own = F.when(F.col(start) == F.col(end), F.col("_empty_here")).otherwise(F.lit(-1))
+    conflicts = F.col("_started_before") - F.col("_ended_by") + own
     return counted.withColumn("conflicts", conflicts).where("conflicts > 0").select(*df.columns, "conflicts")
 
 
 def scd2_from_changes(df: DataFrame, key: str, ts: str, columns: list[str], tail: str) -> DataFrame:
     """Version history from a change log: ``valid_from``, ``valid_to``, ``is_current``.
 
-    The last entry of a day wins, entries repeating the state before them are dropped,
-    and a version ends where the next begins.
+    ``valid_from`` keeps the type of ``ts``, so every instant counts (pass a date for one
+    version a day). Of several entries at one instant the last by ``tail`` wins, entries
+    repeating the state before them are dropped, and a version ends where the next begins.
     """
     state = F.struct(*columns)
-    per_day = df.groupBy(key, F.col(ts).cast("date").alias("valid_from")).agg(F.max_by(state, F.col(tail)).alias("_state"))
-    # One row per key and day: a group is as long as the calendar at most.
-    w = Window.partitionBy(key).orderBy("valid_from")
-    seen = per_day.withColumn("_before", F.lag("_state").over(w))
-    changed = seen.where(~F.col("_state").eqNullSafe(F.col("_before"))).drop("_before")
-    closed = changed.withColumn("valid_to", F.lead("valid_from").over(w))
+    entries = df.groupBy(key, F.col(ts).alias("valid_from")).agg(F.max_by(state, F.col(tail)).alias("_state"))
+    seen = row_frames(entries, [key], ["valid_from"], 1, 0, {"_before": lambda w: F.lag("_state").over(w)}, derived=True)
+    # A first state whose attributes are all NULL is a version too.
+    changed = seen.where(F.col("_before").isNull() | ~F.col("_state").eqNullSafe(F.col("_before"))).drop("_before")
+    closed = row_frames(changed, [key], ["valid_from"], 0, 1, {"valid_to": lambda w: F.lead("valid_from").over(w)}, derived=True)
     return closed.select(key, "_state.*", "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 
@@ -138,5 +148,3 @@ def first_versions(df: DataFrame, ts: str) -> DataFrame:
     return df.withColumns({
         "valid_from": F.lit(ts).cast("date"), "valid_to": F.lit(None).cast("date"), "is_current": F.lit(True),
     })
-
-

@@ -7,7 +7,7 @@ bounded by the calendar, not by the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dwops.functions.values import exact_avg, exact_sum, micros, money_total
 from dwops.operators.relational import top_per_key
@@ -91,11 +91,13 @@ def running(df: DataFrame, value: Column, order: list[str], keys: list[str] = ()
     """
     if frame == "rows":
         return scan_groups(df, keys, order, sums={name: value}, rows=rows)
+    kind = df.agg(F.sum(value)).schema[0].dataType
     if large_groups(df, keys, rows or chunk_rows(df)).isEmpty():
         return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*sort_columns(order))))
     peers = [*keys, *[o.lstrip("-") for o in order]]
     sums = df.groupBy(*peers).agg(F.sum(value).alias("_peer_sum"))
     totals = scan_groups(sums, keys, order, sums={name: F.col("_peer_sum")}, rows=rows, derived=True).drop("_peer_sum")
+    totals = totals.withColumn(name, F.col(name).cast(kind))
     return join_on_same(df, totals, peers, "left")
 
 
@@ -110,13 +112,27 @@ def moving_rows(df: DataFrame, order: list[str], before: int, after: int, column
 FRAME_ROWS = 10_000
 
 
+def _interval_spans(timed: DataFrame, keys: list[str], back: int, ahead: int, sums: dict[str, Column]) -> DataFrame:
+    """Interval sums per span of time; a row at ``_t`` is in the frames of ``_t - ahead`` to ``_t + back``."""
+    width = back + ahead + 1
+    span = lambda shift: F.expr(f"(_t + ({shift}) - pmod(_t + ({shift}), {width}L)) div {width}L")
+    reached = F.coalesce(F.sequence(span(-ahead), span(back)), F.array(F.lit(None).cast("long")))
+    copies = timed.withColumn("_home", span(0)).withColumn("_span", F.explode(reached))
+    w = Window.partitionBy(*keys, "_span").orderBy("_t").rangeBetween(-back, ahead)
+    summed = copies.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})
+    return summed.where(F.col("_span").eqNullSafe(F.col("_home"))).drop("_span", "_home")
+
+
 def moving_interval(df: DataFrame, ts: str, before: str, after: str, sums: dict[str, Column],
                     keys: list[str] = (), rows: int = FRAME_ROWS, bounded: bool = False) -> DataFrame:
     """Sums over a time interval around each row, e.g. ``7 days`` back.
 
-    In groups beyond ``rows`` rows a frame may hold very many of them. There, sums are
-    taken as differences of running sums: each distinct time of a group asks for the
-    running sum where its frame ends and just before it starts. Count with a sum of 1.
+    In groups beyond ``rows`` rows a frame may hold very many of them. There, sums of whole
+    numbers and decimals are taken as differences of running sums: each distinct time of a
+    group asks for the running sum where its frame ends and just before it starts.
+    Differences of double sums would lose digits; these groups are cut into spans of time
+    at least as long as a frame, and each row is copied to the neighbouring span whose
+    frames reach it. Count with a sum of 1.
     """
     keys = list(keys)
     back, ahead = (int(n) * DURATIONS[unit.rstrip("s")] for n, unit in (before.split(), after.split()))
@@ -125,6 +141,9 @@ def moving_interval(df: DataFrame, ts: str, before: str, after: str, sums: dict[
         w = Window.partitionBy(*keys).orderBy("_t").rangeBetween(-back, ahead)
         return timed.withColumns({n: F.sum(c).over(w) for n, c in sums.items()}).drop("_t")
     names = list(sums)
+    kinds = timed.agg(*[F.sum(c).alias(n) for n, c in sums.items()]).schema
+    if any(isinstance(k.dataType, T.DoubleType) for k in kinds):
+        return _interval_spans(timed, keys, back, ahead, sums).drop("_t")
     # A NULL sum means no value in the frame; counting values keeps that apart from 0.
     parts = {f"_s{i}": F.coalesce(F.sum(c), F.lit(0)) for i, c in enumerate(sums.values())}
     parts |= {f"_n{i}": F.count(c) for i, c in enumerate(sums.values())}
@@ -141,13 +160,13 @@ def moving_interval(df: DataFrame, ts: str, before: str, after: str, sums: dict[
     asked = line.where("_kind <> 1").groupBy(*keys, home.alias("_t")).agg(
         *[F.sum(sign * F.col(f"_run{n}")).alias(n) for n in parts]
     )
-    per_time = asked.select(*keys, "_t", *[F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}")).alias(n) for i, n in enumerate(names)])
+    per_time = asked.select(*keys, "_t", *[F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}")).cast(kinds[n].dataType).alias(n) for i, n in enumerate(names)])
     return join_on_same(timed, per_time, [*keys, "_t"], "left").drop("_t")
 
 
-def partition_share(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Mean of the group and share of the group's total, on every row."""
-    sized = with_group_values(df, keys, {"group_avg": exact_avg(value), "_sum": exact_sum(value)})
+def partition_share(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> DataFrame:
+    """Mean of the group and share of the group's total, on every row; exact for ``digits`` decimals."""
+    sized = with_group_values(df, keys, {"group_avg": exact_avg(value, digits), "_sum": exact_sum(value, digits)})
     return sized.withColumn("pct_of_total", F.col(value) / F.nullif(F.col("_sum"), F.lit(0.0))).drop("_sum")
 
 
@@ -208,16 +227,16 @@ def sequence_gaps(df: DataFrame, key: str) -> DataFrame:
     return ahead.withColumn("gap_size", F.col("next_id") - F.col("current_id") - 1).where("gap_size > 0")
 
 
-def fill_dates(df: DataFrame, day: str, lo: str, hi: str, value: str, before: int = 6) -> DataFrame:
+def fill_dates(df: DataFrame, day: str, value: str, before: int = 6, lo: str | None = None, hi: str | None = None) -> DataFrame:
     """One row per calendar day with the value (0 when missing) and the mean of the
     present values among the last ``before + 1`` days.
 
+    The calendar runs from the first to the last day of the data, or from ``lo`` to ``hi``.
     ``df`` has one row per day, as has the calendar, so the window is short.
     """
-    spark = df.sparkSession
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(lo).cast("date"), F.lit(hi).cast("date"), F.expr("interval 1 day"))).alias(day)
-    )
+    edge = lambda given, found: F.lit(given).cast("date") if given else found(F.col(day).cast("date"))
+    bounds = df.agg(edge(lo, F.min).alias("lo"), edge(hi, F.max).alias("hi"))
+    days = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias(day))
     w = Window.partitionBy().orderBy(day).rowsBetween(-before, 0)
     mean = F.sum(value).over(w).cast("double") / F.count(value).over(w)
     joined = days.join(df.select(day, value), day, "left").withColumn("ma_7day", mean)

@@ -83,8 +83,8 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None =
     return Chunked(together, keys, order, cut, rest)
 
 
-def _place(df: DataFrame, order: list[str]) -> Column:
-    """The order values as one ascending struct; descending ones enter negated."""
+def _place(df: DataFrame, order: list[str]) -> Column | None:
+    """The order values as one ascending struct; descending ones enter negated, None if one cannot."""
     parts = []
     for i, o in enumerate(order):
         name = o.lstrip("-")
@@ -97,7 +97,7 @@ def _place(df: DataFrame, order: list[str]) -> Column:
             elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
                 value = -micros(value)
             else:
-                raise ValueError(f"last values need an ascending or numeric order, not {o!r}")
+                return None
         parts.append(value.alias(f"o{i}"))
     return F.struct(*parts)
 
@@ -112,8 +112,12 @@ def _scan(c: Chunked, number: str | None, sums: dict[str, Column], last: dict[st
     if c.cut is None:
         return local
 
-    place = _place(c.cut, c.order) if last else None
-    per_chunk = c.cut.groupBy(*c.keys, "_chunk").agg(
+    kinds = local.schema
+    # The place of a row within its chunk; an order that no value can stand for is numbered.
+    cut, place = c.cut, _place(c.cut, c.order) if last else None
+    if last and place is None:
+        cut, place = cut.withColumn("_nth", F.row_number().over(c.window)), F.col("_nth")
+    per_chunk = cut.groupBy(*c.keys, "_chunk").agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()],
         *[F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_last_{n}") for n, v in last.items()],
@@ -128,7 +132,7 @@ def _scan(c: Chunked, number: str | None, sums: dict[str, Column], last: dict[st
     )
     # One row per chunk and large group in it: at most twice total rows / chunk rows.
     joined = join_on_same(local, F.broadcast(carried), [*c.keys, "_chunk"], "left")
-    final = {n: F.coalesce(F.col(n) + F.col(f"_sum_{n}"), F.col(n), F.col(f"_sum_{n}")) for n in sums}
+    final = {n: F.coalesce(F.col(n) + F.col(f"_sum_{n}"), F.col(n), F.col(f"_sum_{n}")).cast(kinds[n].dataType) for n in sums}
     final |= {n: F.coalesce(F.col(n), F.col(f"_last_{n}")) for n in last}
     if number:
         final[number] = F.col(number) + F.coalesce(F.col("_rows"), F.lit(0))

@@ -67,17 +67,17 @@ EDGES = """edges as (
 
 @report("lineage_upstream", f"""with recursive {EDGES},
 up as (select 'c:' || c_custkey as node, 0 as round, cast(null as varchar) as via from customer where c_mktsegment = 'BUILDING'
-  union select e.src, up.round + 1, e.via from up join edges e on e.dst = up.node where up.round < 10)
+  union select e.src, up.round + 1, e.via from up join edges e on e.dst = up.node )
 select node, cast(min(round) as bigint) as round, min(via) as via from up group by 1""")
 def lineage_upstream(t: Tables) -> DataFrame:
     start = t.customer.where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("node"))
-    return graph.trace_lineage(inputs.lineage_edges(t), start, "up", 10)
+    return graph.trace_lineage(inputs.lineage_edges(t), start, "up")
 
 
 @report("lineage_downstream", f"""with recursive {EDGES},
 down as (select 's:' || s_suppkey as node, 0 as round, cast(null as varchar) as via from supplier where s_acctbal > 9500
-  union select e.dst, down.round + 1, e.via from down join edges e on e.src = down.node where down.round < 2)
+  union select e.dst, down.round + 1, e.via from down join edges e on e.src = down.node)
 select node, cast(min(round) as bigint) as round, min(via) as via from down group by 1""")
 def lineage_downstream(t: Tables) -> DataFrame:
     start = t.supplier.where("s_acctbal > 9500").select(F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("node"))
-    return graph.trace_lineage(inputs.lineage_edges(t), start, "down", 2)
+    return graph.trace_lineage(inputs.lineage_edges(t), start, "down")

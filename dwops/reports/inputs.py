@@ -27,7 +27,8 @@ def cust_stage(t: Tables) -> DataFrame:
 def cust_versions(t: Tables) -> DataFrame:
     """Priority of each customer over time."""
     log = t("orders", "o_custkey", "o_orderkey", "o_orderdate", F.col("o_orderpriority").alias("priority"))
-    return scd2_from_changes(log, "o_custkey", "o_orderdate", ["priority"], "o_orderkey")
+    log = log.withColumn("day", F.col("o_orderdate").cast("date"))
+    return scd2_from_changes(log, "o_custkey", "day", ["priority"], "o_orderkey")
 
 
 def part_new(t: Tables) -> DataFrame:

@@ -162,12 +162,12 @@ def prefilter_join(t: Tables) -> DataFrame:
 
 @report("gap_fill", f"""
 with {DAILY},
-cal as (select unnest(generate_series(timestamp '1995-01-01', timestamp '2001-12-31', interval 1 day))::date as day)
+cal as (select unnest(generate_series(min(day)::timestamp, max(day)::timestamp, interval 1 day))::date as day from daily)
 select cal.day, coalesce(cast(revenue as double), 0.0) as revenue,
   cast(sum(revenue) over w as double) / nullif(count(revenue) over w, 0) as ma_7day
 from cal left join daily on cal.day = daily.day window w as (order by cal.day rows between 6 preceding and current row)""")
 def gap_fill(t: Tables) -> DataFrame:
-    return win.fill_dates(inputs.daily_revenue(t), "day", "1995-01-01", "2001-12-31", "revenue")
+    return win.fill_dates(inputs.daily_revenue(t), "day", "revenue")
 
 
 @report("hinted_join", "select c_mktsegment, count(*) as n_orders, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from orders join customer on o_custkey = c_custkey group by 1")

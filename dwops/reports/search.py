@@ -79,9 +79,9 @@ def search_lines_regex(t: Tables) -> DataFrame:
 
 @report("search_objects", f"""with {LINES},
 hits as (select doc_id, line, contains(lower(line_text), 'mail') as a, contains(lower(line_text), 'the') as b from lines),
-kept as (select doc_id, count(*) as match_count from hits where a or b group by 1 having bool_or(a) and bool_or(b) order by doc_id limit 100)
+kept as (select doc_id, count(*) as match_count from hits where a or b group by 1 having bool_or(a) and bool_or(b))
 select k.doc_id, match_count, string_agg(cast(line as varchar), ',' order by line) as matching_lines
-from kept k join (select *, row_number() over (partition by doc_id order by line) as rn from hits where a or b) h on k.doc_id = h.doc_id where rn <= 100 group by 1, 2""")
+from kept k join (select * from hits where a or b) h on k.doc_id = h.doc_id group by 1, 2""")
 def search_objects(t: Tables) -> DataFrame:
     return search.search_objects(t.documents, "doc_id", "text", "MAIL", "THE")
 

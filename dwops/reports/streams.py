@@ -39,7 +39,7 @@ def stream_sessions(t: Tables) -> DataFrame:
 
 @report("stream_incremental", "select event_id, ts, user_id, event_type, value from events")
 def stream_incremental(t: Tables) -> DataFrame:
-    path = jobs.stream_incremental(_events(t), "event_id", "ts", "1 hour", *_paths(t, "incremental"))
+    path = jobs.stream_incremental(_events(t), "event_id", *_paths(t, "incremental"))
     return t.spark.read.parquet(path).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value")
 
 
@@ -48,6 +48,7 @@ with l as (select user_id, event_type, value from events qualify row_number() ov
 select coalesce(c_custkey, user_id) as c_custkey, c_name, case when user_id is null then 'none' else event_type end as last_event from customer full join l on c_custkey = user_id""")
 def stream_upsert(t: Tables) -> DataFrame:
     changes = _events(t).select(F.col("user_id").alias("c_custkey"), F.col("event_type").alias("last_event"), "ts", "event_id")
-    log = jobs.stream_upsert(changes, ["c_custkey"], ["-ts", "-event_id"], *_paths(t, "changes"))
+    order = ["-ts", "-event_id"]
+    log = jobs.stream_upsert(changes, ["c_custkey"], order, *_paths(t, "changes"))
     target = t("customer", "c_custkey", "c_name").withColumn("last_event", F.lit("none"))
-    return jobs.upserted(target, log, ["c_custkey"])
+    return jobs.upserted(target, log, ["c_custkey"], order=order)

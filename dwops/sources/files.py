@@ -17,8 +17,10 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def read_csv(spark: SparkSession, path: str, like: DataFrame, multi_line: bool = False) -> DataFrame:
-    """``multi_line`` allows line breaks inside fields; files are then read whole, not in splits."""
+def read_csv(spark: SparkSession, path: str, like: DataFrame, multi_line: bool = True) -> DataFrame:
+    """Reads what ``write_csv`` wrote, line breaks inside fields included; each file is read
+    whole, and there are as many as tasks that wrote. Without ``multi_line`` files are
+    split, which only texts free of line breaks allow."""
     options = dict(header=True, nullValue="", emptyValue=EMPTY_MARK, escape='"', multiLine=multi_line)
     return spark.read.options(**options).schema(like.schema).csv(path).replace(EMPTY_MARK, "")
 

@@ -65,11 +65,22 @@ def stream_sessions(stream: DataFrame, key: str, ts: str, gap: str, watermark: s
     return path
 
 
-def stream_incremental(stream: DataFrame, key: str, ts: str, watermark: str, path: str, checkpoint: str) -> str:
-    """Load each new row once: the checkpoint remembers the files taken, and a row sent
-    again within the watermark is dropped by its key."""
-    fresh = stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
-    run_available(fresh.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint)
+def stream_incremental(stream: DataFrame, key: str, path: str, checkpoint: str) -> str:
+    """Load each new row once, however late it comes.
+
+    The checkpoint remembers the files taken; a row sent again is told by its key among
+    those loaded before, of which only the key column is read. A batch that is run again
+    overwrites its own part, column ``batch``. A NULL key is never a repeat.
+    """
+
+    def load(batch: DataFrame, number: int) -> None:
+        keyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        if number > 0:
+            before = batch.sparkSession.read.parquet(path).where(F.col("batch") < number)
+            keyed = keyed.join(before.select(key), key, "left_anti").select(*batch.columns)
+        keyed.unionByName(batch.where(F.col(key).isNull())).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    run_available(stream.writeStream.outputMode("append").foreachBatch(load), checkpoint)
     return path
 
 
@@ -88,8 +99,9 @@ def stream_upsert(stream: DataFrame, keys: list[str], order: list[str], log: str
 
 
 def upserted(target: DataFrame, log: str, keys: list[str], update: dict[str, Column] | None = None,
-             insert: dict[str, Column] | None = None) -> DataFrame:
-    """The target with the latest change per key merged in."""
+             insert: dict[str, Column] | None = None, order: list[str] = ()) -> DataFrame:
+    """The target with the latest change per key merged in: the first by ``order``, as in
+    ``stream_upsert``, whichever batch brought it, and of equal ones that of the last batch."""
     changes = target.sparkSession.read.parquet(log)
-    latest = top_per_key(changes, keys, ["-batch"], 1).drop("_rn", "batch")
+    latest = top_per_key(changes, keys, [*order, "-batch"], 1).drop("_rn", "batch")
     return upsert(target, latest, keys, update, insert)

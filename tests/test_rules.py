@@ -10,6 +10,7 @@ from pyspark.sql import Window, functions as F
 from dwops import session
 from dwops.functions import values as v
 from dwops.operators import discovery, graph, loading, quality, relational as rel, search, temporal, windows as win
+from dwops.plans import ordered
 from dwops.plans.frontier import expand
 from dwops.sources import files, tables
 from dwops.session import fresh_path
@@ -72,6 +73,110 @@ def test_asof_boundary_day(spark):
     assert rows(temporal.scd2_at(dim, "2024-02-01"), "name") == [("new",)]
 
 
+def test_asof_and_history_to_the_instant(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    log = spark.createDataFrame([(1, "a", at(8), 1), (1, "b", at(15), 2), (1, "a", at(20), 3)], "k int, name string, ts timestamp_ntz, n int")
+    dim = temporal.scd2_from_changes(log, "k", "ts", ["name"], "n")
+    assert rows(dim, "name", "valid_from") == [("a", at(20)), ("a", at(8)), ("b", at(15))]
+    fact = spark.createDataFrame([(1, at(10)), (1, at(15)), (1, at(23))], "k int, t timestamp_ntz")
+    got = temporal.asof_join(fact, dim, "k", "t", "valid_from", "valid_to", ["name"])
+    assert rows(got, "t", "name") == [(at(10), "a"), (at(15), "b"), (at(23), "a")]
+
+
+def test_asof_cuts_one_key_and_time(spark):
+    dim = spark.createDataFrame([(1, "a", day("2024-01-01"), None)], "k int, name string, valid_from date, valid_to date")
+    fact = spark.range(500).select(F.lit(1).alias("k"), F.lit("2024-01-02").cast("date").alias("d"), "id")
+    spark.conf.set("spark.dwops.chunkRows", "100")
+    try:
+        got = temporal.asof_join(fact, dim, "k", "d", "valid_from", "valid_to", ["name"])
+        assert got.where("name = 'a'").count() == 500
+    finally:
+        spark.conf.unset("spark.dwops.chunkRows")
+
+
+def test_overlap_with_empty_intervals(spark):
+    df = spark.createDataFrame([(1, 0, 10, "long"), (1, 5, 5, "empty"), (1, 5, 5, "twin"), (1, 10, 10, "end")], "k int, a int, b int, n string")
+    assert rows(temporal.overlap_conflicts(df, "k", "a", "b"), "n", "conflicts") == [("empty", 1), ("long", 2), ("twin", 1)]
+
+
+def test_discrete_percentile_position_is_decimal(spark):
+    df = spark.range(1, 101).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("v"))
+    assert rows(rel.percentiles(df, ["k"], "v", {}, {"p": 0.55}), "p") == [(55.0,)]
+
+
+def test_means_keep_the_digits_asked_for(spark):
+    df = spark.createDataFrame([("a", 0.0041), ("b", 0.0049)], "k string, v double")
+    assert rows(rel.slowest_groups(df, ["k"], "v"), "k", "mean_time") == [("a", 0.0041), ("b", 0.0049)]
+
+
+def test_upsert_refuses_a_key_staged_twice(spark):
+    target = spark.createDataFrame([(1, "a")], "k int, name string")
+    source = spark.createDataFrame([(1, "x"), (1, "y")], "k int, name string")
+    with pytest.raises(Exception, match="more than once"):
+        loading.upsert(target, source, ["k"]).collect()
+
+
+def test_surrogate_key_once_per_member(spark):
+    dim = spark.createDataFrame([(10, "a")], "sk int, nk string")
+    stage = spark.createDataFrame([("b", 2), ("b", 1), ("c", 3)], "nk string, x int")
+    assert rows(loading.assign_keys(dim, stage, "nk", "sk")) == [("b", 1, 11), ("c", 3, 12)]
+
+
+def test_null_text_is_not_the_empty_text(spark):
+    old, new = (spark.createDataFrame([(1, v), (2, None)], "k int, s string") for v in (None, ""))
+    assert rows(loading.changed_rows(old, new, "k", "s"), "k", "status") == [(1, "changed")]
+
+
+def test_split_by_type_finds_all_types(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "t string, v int")
+    got = loading.split_by_type(df, "t", fresh_path(spark, "typed"))
+    assert {k: rows(part) for k, part in got.items()} == {"a": [(1,)], "b": [(2,)], None: [(3,)]}
+
+
+def test_shared_column_names_are_all_proposed(spark):
+    found = discovery.propose_joins({"a": ["x_id", "y_id"], "b": ["id"]})
+    assert [(p[1], p[3]) for p in found if p[4] == "COMMON_COLUMN"] == [("x_id", "id"), ("y_id", "id")]
+
+
+def test_interval_sums_of_doubles_in_large_groups(spark):
+    values = [(1, dt.datetime(2024, 1, 1) + dt.timedelta(days=20 * i), v) for i, v in enumerate([1e17, 0.1, 0.2])]
+    df = spark.createDataFrame([*values, (1, None, 5.0)], "k int, ts timestamp_ntz, v double")
+    total = {"s": F.col("v")}
+    small = win.moving_interval(df, "ts", "7 days", "0 days", total, ["k"])
+    large = win.moving_interval(df, "ts", "7 days", "0 days", total, ["k"], rows=1)
+    assert rows(small, "v", "s") == rows(large, "v", "s") == [(0.1, 0.1), (0.2, 0.2), (1e17, 1e17), (5.0, 5.0)]
+    exact = df.withColumn("v", F.lit(1).cast("decimal(10,2)"))
+    assert win.moving_interval(exact, "ts", "7 days", "0 days", total, ["k"], rows=1).schema["s"] == \
+        win.moving_interval(exact, "ts", "7 days", "0 days", total, ["k"]).schema["s"]
+
+
+@pytest.mark.parametrize("frame", ["rows", "range"])
+def test_running_type_does_not_depend_on_size(spark, frame):
+    df = spark.range(30).select(F.lit(1).alias("k"), "id", F.lit(1).cast("decimal(21,2)").alias("v"))
+    small, large = (win.running(df, F.col("v"), ["id"], ["k"], frame, rows=n) for n in (None, 7))
+    assert small.schema["running_total"].dataType == large.schema["running_total"].dataType
+    assert rows(small, "id", "running_total") == rows(large, "id", "running_total")
+
+
+def test_last_value_by_descending_text_in_cut_groups(spark):
+    df = spark.range(20).select(F.lit(1).alias("k"), F.format_string("%02d", "id").alias("o"), F.when(F.col("id") % 6 == 5, F.col("id")).alias("v"))
+    small, large = (ordered.scan_groups(df, ["k"], ["-o"], last={"l": F.col("v")}, rows=n) for n in (None, 4))
+    assert rows(small, "o", "l") == rows(large, "o", "l")
+
+
+def test_lineage_runs_to_the_end(spark):
+    edges = {"x": spark.createDataFrame([(f"{i:02d}", f"{i + 1:02d}") for i in range(15)], "src string, dst string")}
+    start = spark.createDataFrame([("00",)], "node string")
+    assert graph.trace_lineage(edges, start, "down").count() == 16
+
+
+def test_tag_terms_with_repeated_and_null_keys(spark):
+    docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "two")], "id int, body string")
+    terms = spark.createDataFrame([("two",)], "term string")
+    few, many = (rows(search.tag_terms(docs, "id", "body", terms, "term", few=n), "id", "term") for n in (10, 0))
+    assert few == many and len(few) == 3
+
+
 def test_asof_respects_a_closed_end(spark):
     dim = spark.createDataFrame([(1, "a", day("2024-01-01"), day("2024-01-10"))], "k int, name string, valid_from date, valid_to date")
     fact = spark.createDataFrame([(1, day("2024-01-09")), (1, day("2024-01-10"))], "k int, d date")
@@ -407,7 +512,7 @@ def test_as_bool(spark):
 def test_incremental_stream_takes_new_files_once(spark, tiny):
     events = spark.read.parquet(f"{tiny}/events.parquet")
     source, out, state = (fresh_path(spark, n) for n in ("in", "out", "state"))
-    run = lambda: jobs.stream_incremental(jobs.file_stream(spark, source, events.schema, "ts"), "event_id", "ts", "1 day", out, state)
+    run = lambda: jobs.stream_incremental(jobs.file_stream(spark, source, events.schema, "ts"), "event_id", out, state)
     first, second = events.where("event_id < 600"), events.where("event_id >= 590")
     first.write.mode("append").parquet(source)
     run()
@@ -419,6 +524,12 @@ def test_incremental_stream_takes_new_files_once(spark, tiny):
     run()
     loaded = spark.read.parquet(out)
     assert loaded.count() == loaded.select("event_id").distinct().count() == events.count()
+    # A row much older than all before is loaded too.
+    late = events.limit(1).withColumns({"event_id": F.lit(-1).cast(events.schema["event_id"].dataType),
+                                        "ts": F.lit("1970-01-02").cast(events.schema["ts"].dataType)})
+    late.write.mode("append").parquet(source)
+    run()
+    assert spark.read.parquet(out).where("event_id = -1").count() == 1
 
 
 def test_summary_over_several_batches_equals_one(spark, tiny):
@@ -441,6 +552,10 @@ def test_upsert_stream_keeps_the_last_batch(spark):
     spark.createDataFrame([(1, "z", 3)], schema).coalesce(1).write.mode("append").parquet(source)
     run()
     assert rows(jobs.upserted(target, log, ["k"])) == [(1, "z"), (2, "b"), (3, "c")]
+    # An older change that comes later does not win when the order is given.
+    spark.createDataFrame([(1, "old", 0)], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert rows(jobs.upserted(target, log, ["k"], order=["-ts"])) == [(1, "z"), (2, "b"), (3, "c")]
 
 
 def test_sessions_over_several_batches(spark, tiny):
