@@ -233,6 +233,31 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(documents(spark, [])).count() == 0
 
 
+def similarity_of(a, b):
+    return len(a & b) / len(a | b)
+
+
+def test_edited_passages_are_verified():
+    """Brute force: a passage that reaches 0.75 is found whole, whatever words were changed, added or left out."""
+    cases = [(n, [at]) for n in range(51, 101) for at in range(n)] + [(int(n), RANDOM.choice(int(n), k, replace=False)) for k in range(2, 6) for n in RANDOM.integers(50, 101, 100)]
+    cases += [(200, [20, 60, 100, 140, 180])]
+    fresh = iter(range(10**9, 2 * 10**9))
+    for kind in range(3):
+        for n, places in cases:
+            own = [next(fresh) for _ in range(n)]
+            other = [x for k, w in enumerate(own) for x in ([w] if k not in places else [next(fresh)] if kind == 0 else [] if kind == 1 else [w, next(fresh)])]
+            sets = [[hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)] for w in (own, other)]
+            if len(other) < 50 or similarity_of(*map(set, sets)) < 0.75:
+                continue
+            around = [[next(fresh) for _ in range(60)] for _ in range(4)]
+            mine, theirs = (np.array([hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)]) for w in (around[0] + own + around[1], around[2] + other + around[3]))
+            common = np.flatnonzero(np.isin(mine, theirs))
+            found = substring_dedup.passages(mine, theirs)
+            assert any(a <= common[0] and common[-1] <= b for a, b, *_ in found), (kind, n, places)
+            for a, b, a2, b2, both, share in found:
+                assert b - a >= 45 and b2 - a2 >= 45 and share == similarity_of({*mine[a : b + 1]}, {*theirs[a2 : b2 + 1]}) >= 0.75
+
+
 def test_passage_of_many_documents(spark):
     passage = prose(70)
     rows = [(i, f"{prose(20)} {passage} {prose(20)}") for i in range(40)]
