@@ -258,6 +258,37 @@ def test_edited_passages_are_verified():
                 assert b - a >= 45 and b2 - a2 >= 45 and share == similarity_of({*mine[a : b + 1]}, {*theirs[a2 : b2 + 1]}) >= 0.75
 
 
+def test_cells_are_the_compact_windows():
+    offsets = np.array([0, 30, 150, 150, 400])
+    values = RANDOM.integers(0, 1 << 60, 400).astype(np.uint64)
+    values[200:230] = values[300:330]
+    values[360:380] = values[360]
+    want = {}
+    for a, b in zip(offsets, offsets[1:]):
+        for salt in substring_dedup._SALTS:
+            # Equal shingles have equal hashes, of which the leftmost counts.
+            for left, c, r in substring_dedup.compact_windows(substring_dedup.mix(values[a:b] * salt) & ~substring_dedup._LOW) if b - a >= 46 else []:
+                begin, end = max(left, c - 45), min(c, r - 45)
+                if begin <= end:
+                    least, most = want.get(a + c, (1 << 30, -1))
+                    want[a + c] = min(least, a + begin), max(most, a + end)
+    got = {c: (begin, end) for c, begin, end in zip(*(x.tolist() for x in substring_dedup.cells(offsets, values)))}
+    assert got == want
+
+
+def test_edited_passages_are_reported(spark):
+    """Passages of 50 words at a similarity near 0.75: few have no common signature."""
+    rows, near = [], 0
+    for i in range(400):
+        passage = prose(50)
+        w = passage.split()
+        w[20 + i % 11] = "changed%d" % i
+        rows += [(2 * i, f"{prose(30)} {passage} {prose(30)}"), (2 * i + 1, f"{prose(30)} {' '.join(w)} {prose(30)}")]
+        near += similarity_of(shingle_set(passage), shingle_set(" ".join(w))) >= 0.75
+    got = {(r["doc_id"], r["of_doc_id"]) for r in substring_dedup.repeated_passages(documents(spark, rows)).collect()}
+    assert near == 400 and len(got & {(2 * i + 1, 2 * i) for i in range(400)}) >= 396
+
+
 def test_passage_of_many_documents(spark):
     passage = prose(70)
     rows = [(i, f"{prose(20)} {passage} {prose(20)}") for i in range(40)]
