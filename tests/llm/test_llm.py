@@ -289,6 +289,33 @@ def test_edited_passages_are_reported(spark):
     assert near == 400 and len(got & {(2 * i + 1, 2 * i) for i in range(400)}) >= 396
 
 
+def test_common_line_hides_no_passage(spark, monkeypatch):
+    """The line's cells agree with every document's; the one pair that goes on alike is found, in blocks too."""
+    line = prose(30)
+    passage = f"{line} {prose(24)}"
+    w = passage.split()
+    w[12] = "other"
+    rows = [(i, f"{prose(60)} {line} {prose(60)}") for i in range(60)] + [(70, f"{prose(60)} {passage} {prose(60)}"), (71, f"{prose(60)} {' '.join(w)} {prose(60)}")]
+    # Each has something else before and after the line than the first holder.
+    rows += [(-1 - i, f"{prose(60)} {' '.join(w[k : k + 30])} {prose(60)}") for i, k in enumerate(range(0, 24, 3))]
+    for block in (4096, 16):
+        monkeypatch.setattr(substring_dedup, "BLOCK", block)
+        got = {(r["doc_id"], r["of_doc_id"]) for r in substring_dedup.repeated_passages(documents(spark, rows)).collect()}
+        assert got == {(71, 70)}
+
+
+def test_rhythms_and_long_texts_are_verified():
+    """A few words repeated many times are one stretch; a text of many edits is judged without trying all pairs of runs."""
+    rhythm = np.tile(np.arange(3), 60)
+    mine, theirs = np.r_[np.arange(100, 160), rhythm, np.arange(200, 260)], np.r_[np.arange(300, 390), rhythm, np.arange(400, 430)]
+    (a, b, a2, b2, both, share), = substring_dedup.passages(mine, theirs)
+    assert (a, b, both, share) == (60, 239, 3, 1.0) and a2 >= 90 and b2 < 270
+    long = np.arange(40_000)
+    edited = np.where(long % 20 < 5, long + 10**6, long)  # 15 found for 5 lost: below the similarity
+    edited[[7, 40_000 - 1]] = edited[8]                   # a repeated shingle
+    assert substring_dedup.passages(long, edited) == []
+
+
 def test_passage_of_many_documents(spark):
     passage = prose(70)
     rows = [(i, f"{prose(20)} {passage} {prose(20)}") for i in range(40)]
