@@ -6,7 +6,7 @@ context), so a word costs two short softmaxes. The context is the ``SIDE`` words
 side; places beyond the text are a boundary code. Embeddings, one hidden layer and both
 softmaxes are trained in numpy by parallel averaging: in each round every task starts from
 the shared weights, learns from the masked places (one in ``MASK``) of all its documents, and
-Spark averages the tasks' weights by their numbers of places. The model's size is fixed.
+the masks of ``MASK`` rounds hold every place once. Spark averages the tasks' weights by their numbers of places. The model's size is fixed.
 
 A document's score is the sum of log P(word | both sides) over all its words.
 """
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from dwops.llm.text import mix, slices, words
+from dwops.session import stored
 
 DIGITS = 64
 RARE = 64                       # codes shared by words that are not among the most frequent
@@ -27,7 +28,8 @@ CODES = DIGITS * DIGITS
 KNOWN = CODES - RARE
 BOUNDARY = CODES
 SIDE, WIDTH, HIDDEN = 3, 16, 32
-MASK, ROUNDS, BATCH, RATE = 8, 2, 128, 0.05
+MASK, BATCH, RATE = 8, 128, 0.05
+ROUNDS = MASK                   # so that every word is predicted once
 AT_ONCE = 1 << 14
 OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
@@ -162,30 +164,41 @@ class Model:
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
     """Vocabulary and weights from all documents."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counts = count_words(texts)
+    counts = stored(count_words(texts))
     # As many rows as there are codes, whatever the corpus.
     top = counts.orderBy(F.desc("n"), "hash").limit(KNOWN).collect()
     vocabulary = Vocabulary.ranked(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
     share = np.ones(CODES)
     share[: len(top)] = [r["n"] for r in top]
+    # A shared code has the count of all its words: those of its bucket without the known ones.
+    share[KNOWN:] = 0
+    bucket = F.col("hash").bitwiseAND(RARE - 1)
+    for r in counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        share[KNOWN + r["bucket"]] = r["n"]
+    for r in top:
+        share[KNOWN + (r["hash"] & (RARE - 1))] -= r["n"]
     flat = start_weights(share)
-    for _ in range(rounds if top else 0):
-        flat = _round(texts, vocabulary, flat)
+    for k in range(rounds if top else 0):
+        flat = _round(texts, vocabulary, flat, k)
     return Model(vocabulary, flat)
 
 
-def _round(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray) -> np.ndarray:
+def masked(offsets: np.ndarray, k: int) -> np.ndarray:
+    """Which words round k masks: about one in MASK of each document's, by a hash, so that no rhythm of a text hides words."""
+    inside = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+    return mix(inside.astype(np.uint64)) % np.uint64(MASK) == k % MASK
+
+
+def _round(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, k: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = flat.copy(), 0
         for batch in batches:
             for _, data, documents in slices(batch.column(0)):
                 w = words(data, documents)
                 line, place = padded(vocabulary.codes(w.hashes), w.offsets)
-                # The first and about one in MASK of each document's places, by a hash, so that no rhythm of a text hides words.
-                inside = np.arange(len(place)) - np.repeat(w.offsets[:-1], np.diff(w.offsets))
-                masked = place[mix(inside.astype(np.uint64)) % np.uint64(MASK) == 0]
-                learn(own, line, masked)
-                seen += len(masked)
+                chosen = place[masked(w.offsets, k)]
+                learn(own, line, chosen)
+                seen += len(chosen)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(own.astype(np.float64) * seen), pa.array(np.full(SIZE, float(seen)))],
                                              names=["i", "value", "seen"])

@@ -377,6 +377,17 @@ def test_masked_lm(spark):
     assert masked_lm.report(documents(spark, [])).count() == 0
 
 
+def test_masked_lm_counts_and_masks_every_word(spark):
+    n = 3 * masked_lm.KNOWN
+    docs = documents(spark, [(1, " ".join(f"v{i}" for i in range(n)))])
+    head = masked_lm.unpack(masked_lm.train(docs, rounds=0).flat)["head0"]
+    # The last class holds the shared codes, with two thirds of all words; each code counts half a word more.
+    assert abs(np.exp(head)[-1] / np.exp(head).sum() - (n * 2 / 3 + 32) / (n + masked_lm.CODES / 2)) < 0.001
+    offsets = np.array([0, 7, 7, 500, 3000])
+    assert masked_lm.ROUNDS >= masked_lm.MASK
+    assert (sum(masked_lm.masked(offsets, k).astype(int) for k in range(masked_lm.MASK)) == 1).all()
+
+
 def test_licenses(spark):
     rows = [("a/LICENSE", 1, "Released under the MIT License."), ("a/x.py", 2, "code"), ("a/b/y.py", 3, None), ("a/b/c/z.py", 4, "Licensed under the Apache License, Version 2.0.\nmore"),
             ("d/x.py", 5, "released under the mit license"), ("d/e/COPYING.txt", 6, "This work is licensed under the GNU General Public License, version 3."), ("d/e/q", 7, ""),
