@@ -21,6 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from dwops.llm.components import components
 from dwops.llm.text import SHINGLE, names, shingles, slices, words
@@ -146,6 +147,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest non-NULL id linked to it, or NULL. An empty table gives no rows. Other
     columns are ignored.
     """
+    return _judged(docs, id_col, text_col, percent).drop("name")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """``near_duplicates`` with the name of each row's text."""
     threshold = percent / 100
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stored(texts.mapInArrow(_sign, "doc_id long, name binary, n long, sig array<int>"))
@@ -176,7 +182,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = linked.select("name", "component").join(smallest, "component").select("name", "component_id")
     out = signed.select("doc_id", "name", "n").join(ids, "name", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "name", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 U_ROWS, V_ROWS, BLOCK_SHINGLES = 256, 1024, 2_000_000
@@ -298,9 +304,21 @@ def _pruned(pairs: DataFrame, sizes: DataFrame, threshold: float, percent: int)
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The input rows that stay when of each group of near copies only the smallest id is kept.
 
-    Rows with a NULL id stay. Of rows that repeat an id with texts in the same group all stay,
-    since nothing tells them apart by id. All columns of the input are returned.
+    Rows that repeat an id are judged by their own texts. Rows with a NULL id stay. Of rows that
+    repeat an id with texts in the same group all stay, since nothing tells them apart by id.
+    All columns of the input are returned.
     """
-    judged = near_duplicates(docs, id_col, text_col, percent)
-    gone = judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    gone = _judged(docs, id_col, text_col, percent).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("name").alias("__gone_name")).distinct()
+    at = docs.columns.index(text_col)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: list[bytes] = []
+            for _, data, documents in slices(batch.column(at).cast(pa.string())):
+                own += names(words(data, documents))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=[*batch.schema.names, "__name"])
+
+    rows = docs.mapInArrow(named, StructType([*docs.schema.fields, StructField("__name", BinaryType())]))
+    same = (F.col(id_col).cast("long") == F.col("__gone")) & (F.col("__name") == F.col("__gone_name"))
+    return rows.join(gone, same, "left_anti").select(docs.columns)

@@ -86,6 +86,12 @@ def test_near_duplicates_null_and_repeated_ids(spark):
     assert near_dedup.keep_first(documents(spark, rows)).count() == 5
 
 
+def test_keep_first_judges_rows_by_their_text(spark):
+    a, b, c = prose(60), prose(60), prose(60)
+    rows = [(3, a), (5, a), (5, b), (7, changed(c, 1)), (3, c)]
+    assert sorted((r["doc_id"], r["text"]) for r in near_dedup.keep_first(documents(spark, rows)).collect()) == sorted([(3, a), (5, b), (3, c)])
+
+
 def test_posterior_bound_keeps_likely_pairs():
     (n1, m1), *_, (n, m) = near_dedup.needed_matches(0.75)
     assert n1 == 32 and n == 128 and m < 0.65 * n and m1 < 0.5 * n1
