@@ -146,8 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str =
                 lists = [pa.array(list(v), pa.list_(pa.float64())) for v in (text, page)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *lists], names=["id", "y", "text", "page"])
 
-    # The samples' bounds bound the broadcast and what comes back.
-    found = rows.join(F.broadcast(wanted), "id").mapInArrow(run, "id long, y int, text array<double>, page array<double>").collect()
+    # The samples' bounds bound the broadcast and, with one row an id, what comes back.
+    chosen = rows.join(F.broadcast(wanted), "id").groupBy("id", "y").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("id", "row.*", "y")
+    found = chosen.mapInArrow(run, "id long, y int, text array<double>, page array<double>").collect()
     found.sort(key=lambda r: r["id"])
     view = lambda name, rows: np.array([r[name] for r in rows], float).reshape(len(rows), -1)
     labelled, unlabelled = [r for r in found if r["y"] >= 0], [r for r in found if r["y"] < 0]

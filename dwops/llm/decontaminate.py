@@ -98,6 +98,8 @@ def _scan(blocks: list[Broadcast], window: int, text_at: int):
             items: list[set[str | None]] = [set() for _ in range(n)]
             counts = np.zeros(n, np.int64)
             spots: list[tuple[list[int], list[int]]] = [([], []) for _ in range(n)]
+            for first, data, documents in slices(batch.column(text_at)) if not blocks else []:
+                counts[first : first + len(documents) - 1] = np.diff(words(data, documents, ALNUM).offsets)
             for k in range(len(blocks)):
                 machine = _automaton(blocks, k, window)
                 for first, data, documents in slices(batch.column(text_at)):

@@ -138,8 +138,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``sample`` labelled rows of ``docs``; ``where`` restricts labels by ``id``."""
     ids = labelled_sample(labels, id_col, label, sample, where)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # The sample's bound bounds the broadcast.
-    chosen = texts.join(F.broadcast(ids), "id")
+    # The sample's bound bounds the broadcast and, with one row an id, what comes back.
+    chosen = texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
     odds = learn_terms(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

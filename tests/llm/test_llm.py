@@ -112,6 +112,23 @@ def test_decontaminate(spark):
     assert "Exactly  three-words!".encode()[spans["from_byte"][0] : spans["to_byte"][0]] == b"Exactly  three-words"
 
 
+def test_words_are_counted_without_items(spark):
+    none = spark.createDataFrame([(1, None)], "item_id long, text string")
+    for items in (none, none.limit(0)):
+        assert sorted((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontaminate.report(documents(spark, [(1, "a b, c"), (2, None)]), items).collect()) == [(1, 3, 0), (2, 0, 0)]
+
+
+def test_one_row_of_a_repeated_id_is_fitted(spark, monkeypatch):
+    rows = [(i, prose(20)) for i in range(20)] + [(0, prose(20))] * 30
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(20)], "doc_id long, quality int, toxic int")
+    seen = []
+    for module in (cotraining, toxicity):
+        monkeypatch.setattr(module, "set_aside", lambda ids, y, f=module.set_aside: seen.append(sorted(ids)) or f(ids, y))
+    cotraining.fit(documents(spark, rows), labels)
+    toxicity.fit(documents(spark, rows), labels)
+    assert seen == [list(range(20))] * 2
+
+
 def test_item_blocks_give_the_same(spark, monkeypatch):
     items = spark.createDataFrame([(i, prose(30)) for i in range(12)], "item_id long, text string")
     docs = documents(spark, [(i, f"{prose(20)} {r['text']} {prose(3)}") for i, r in enumerate(items.collect())])
