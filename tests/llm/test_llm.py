@@ -339,6 +339,13 @@ def test_rhythms_and_long_texts_are_verified():
     assert substring_dedup.passages(long, edited) == []
 
 
+def test_needed_shingles_of_a_rhythm():
+    near = np.r_[np.arange(30), np.tile([100, 101], 30)]
+    for at in (10, 50, 80):
+        starts = [k for k in range(len(near) - 45) if k <= at < k + 46]
+        assert substring_dedup._needed(near, at) == min(40, -(-3 * min(len({*near[k : k + 46]}) for k in starts) // 4))
+
+
 def test_passage_of_many_documents(spark):
     passage = prose(70)
     rows = [(i, f"{prose(20)} {passage} {prose(20)}") for i in range(40)]
