@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dwops.llm import cotraining, decontaminate, licenses, masked_lm, near_dedup, packing, substring_dedup, token_counts, topk, toxicity
+from dwops.llm import cotraining, decontaminate, licenses, masked_lm, near_dedup, packing, substring_dedup, token_counts, token_output, topk, toxicity
 from dwops.session import prepare
 from dwops.sources.tables import load
 
@@ -80,3 +80,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_substring_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op13_token_output")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.report(load(spark, sf_dir, "documents", "doc_id", "text"))
