@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from dwops.llm import cotraining, decontaminate, licenses, masked_lm, near_dedup, packing, substring_dedup, token_counts, token_output, topk, toxicity
+from dwops.llm import alignment, collocations, cotraining, decontaminate, licenses, masked_lm, near_dedup, packing, substring_dedup, token_counts, token_output, topk, toxicity
 from dwops.session import prepare
 from dwops.sources.tables import load
 
@@ -85,3 +85,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_output")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.report(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(load(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op12_collocations", collocations.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.collocations(load(spark, sf_dir, "documents", "text", "lang"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
