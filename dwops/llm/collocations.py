@@ -41,7 +41,7 @@ SLICE_BYTES = 4 << 20
 _CHANGE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0a\x0b\x0c\x0d", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 10)
 
 SHARDS = "shard long, lang string, lead int, ids binary, words array<string>, counts array<long>"
-INDEX = "shard long, lead_rows array<int>, bwt binary"
+INDEX = "shard long, words int, lead_rows array<int>, bwt binary"
 GROWN = "place long, shard long, size int, n long, first long, last long"
 
 
@@ -174,11 +174,11 @@ def _index(shards: pa.Table, words: pa.Table) -> pa.Table:
     lead_rows = np.flatnonzero(order < lead)
     lead_rows = lead_rows[np.argsort(order[lead_rows])]
     kind = "<u2" if len(known) < 1 << 16 else "<u4"
-    return pa.table({"shard": shards["shard"], "lead_rows": pa.array([lead_rows], pa.list_(pa.int32())), "bwt": pa.array([bwt.astype(kind).tobytes()], pa.binary())})
+    return pa.table({"shard": shards["shard"], "words": pa.array([len(known)], pa.int32()), "lead_rows": pa.array([lead_rows], pa.list_(pa.int32())), "bwt": pa.array([bwt.astype(kind).tobytes()], pa.binary())})
 
 
 def build_index(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """shard, lead_rows (rows of the words taken over from the shard before), bwt; stored."""
+    """shard, words (how many frequent ones), lead_rows (rows of the words taken over from the shard before), bwt; stored."""
     chosen = shards.select("shard", "lead", "ids", F.size("words").alias("known"))
     return stored(chosen.groupBy("shard").cogroup(words.select("shard", "k").groupBy("shard")).applyInArrow(_index, INDEX))
 
@@ -215,8 +215,7 @@ def _grow(length: int):
         if not len(index) or not len(known):
             return pa.table({n: pa.array([], pa.int32() if n == "size" else pa.int64()) for n in ("place", "shard", "size", "n", "first", "last")})
         shard, raw = index["shard"][0].as_py(), index["bwt"][0].as_buffer()
-        words = known["words"][0].as_py()
-        bwt = np.frombuffer(raw, "<u2" if words < 1 << 16 else "<u4").astype(np.int64)
+        bwt = np.frombuffer(raw, "<u2" if index["words"][0].as_py() < 1 << 16 else "<u4").astype(np.int64)
         order = np.argsort(known["place"].to_numpy())
         place, ids = known["place"].to_numpy()[order] & ((1 << PLACES) - 1), known["id"].to_numpy()[order]
         if length == 2:  # words: their rows follow those of the ends, in order
@@ -269,12 +268,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words = frequent_words(shards, least)
     index = build_index(shards, words)
-    in_shard = words.groupBy("shard").agg(F.count(F.lit(1)).alias("words"))
     one = words.where("place = id").select("id", "lang", "word", "a")
 
-    found = [grow(index, words.select("shard", "place", "id").join(in_shard, "shard"), 2, least)]
+    found = [grow(index, words.select("shard", "place", "id"), 2, least)]
     for length in (3, 4):
-        found.append(grow(index, found[-1].select("shard", "place", "id", "size").join(in_shard, "shard"), length, least))
+        found.append(grow(index, found[-1].select("shard", "place", "id", "size"), length, least))
     two, three, four = (f.where("place = id").select("id", "first", "last", "a") for f in found)
 
     def with_parts(longer: DataFrame, shorter: DataFrame, kept_first: dict[str, str], kept_last: dict[str, str]) -> DataFrame:
