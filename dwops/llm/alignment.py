@@ -29,6 +29,7 @@ from dwops.session import stored
 
 BLOCK_BYTES = 8 << 20
 WINDOWS_KEPT = 400_000
+HIGH = 1 << 31
 SPACE = "▁"  # stands for a space in B's pieces
 
 CODED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary, "
@@ -51,7 +52,8 @@ class Sides:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in pieces]
-        self.a_length, self.b_length = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.a_sizes, self.b_sizes = ([len(t) for t in side] for side in (self.a_bytes, self.b_bytes))
+        self.a_length, self.b_length = np.array(self.a_sizes, np.int64), np.array(self.b_sizes, np.int64)
         self.a_marked, self.b_marked = (np.array([t[:1] == b" " for t in side]) for side in (self.a_bytes, self.b_bytes))
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -65,19 +67,30 @@ class Sides:
             return None
         return a, np.array(b, "<u4")
 
-    def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
-        """Where windows begin in both id lists, and where the last ends."""
+    def windows(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
+        """The id tuples of the windows: 32 bits an id, A's before B's, the latter with the highest bit set."""
         a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         a_cuts, b_cuts = a_ends[:-1][self.a_marked[a[1:]]], b_ends[:-1][self.b_marked[b[1:]]]
         anchors = np.intersect1d(a_cuts, b_cuts, assume_unique=True)
-        at_a, at_b = np.searchsorted(a_ends, anchors) + 1, np.searchsorted(b_ends, anchors) + 1
-        return [0, *at_a.tolist(), len(a)], [0, *at_b.tolist(), len(b)]
-
-    def align(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
+        a_at = np.concatenate([[0], np.searchsorted(a_ends, anchors) + 1, [len(a)]])
+        b_at = np.concatenate([[0], np.searchsorted(b_ends, anchors) + 1, [len(b)]])
+        both = np.empty(len(a) + len(b), np.uint32)
+        both[np.arange(len(a)) + np.repeat(b_at[:-1], np.diff(a_at))] = a
+        both[np.arange(len(b)) + np.repeat(a_at[1:], np.diff(b_at))] = b | np.uint32(HIGH)
+        raw, cuts = both.tobytes(), (4 * (a_at + b_at)).tolist()
+        return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
+
+    def align(self, window: bytes) -> tuple[str, int, list[int]]:
         """Groups of one window as text, how many, and its links as pairs (A id in the upper 32 bits)."""
+        ids = memoryview(window).cast("I").tolist()  # small, so plain lists
+        a = [x for x in ids if x < HIGH]
+        b = [x - HIGH for x in ids[len(a) :]]
+        if len(a) == 1 or len(b) == 1:  # a token that covers the window meets all of the other side
+            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, [x << 32 | y for x in a for y in b]
         groups, links = [], []
         i = j = first_a = first_b = 0
-        a_end, b_end = self.a_length[a[0]], self.b_length[b[0]]
+        a_size, b_size = self.a_sizes, self.b_sizes
+        a_end, b_end = a_size[a[0]], b_size[b[0]]
         while True:
             links.append(a[i] << 32 | b[j])
             if a_end == b_end:
@@ -86,13 +99,13 @@ class Sides:
                 if i == len(a):
                     return ";".join(groups), len(groups), links
                 first_a, first_b = i, j
-                a_end, b_end = a_end + self.a_length[a[i]], b_end + self.b_length[b[j]]
+                a_end, b_end = a_end + a_size[a[i]], b_end + b_size[b[j]]
             elif a_end < b_end:
                 i += 1
-                a_end += self.a_length[a[i]]
+                a_end += a_size[a[i]]
             else:
                 j += 1
-                b_end += self.b_length[b[j]]
+                b_end += b_size[b[j]]
 
 
 def sides(shared_a: Broadcast, shared_b: Broadcast) -> Sides:
@@ -105,7 +118,8 @@ def _code(shared_a: Broadcast, shared_b: Broadcast, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = sides(shared_a, shared_b)
         part, sequence = TaskContext.get().partitionId(), 0
-        kept: dict[tuple[bytes, bytes], int] = {}
+        kept: dict[bytes, int] = {}
+        known = kept.get
         texts: list[str] = []           # of each kept window: its groups,
         n_groups: list[int] = []        # their number
         links: list[list[int]] = []     # and its links
@@ -146,18 +160,19 @@ def _code(shared_a: Broadcast, shared_b: Broadcast, block_bytes: int):
                     rows.append((doc_id, 0, 0, 0, 0, "", 0))
                 else:
                     a, b = found
-                    a_at, b_at = both.windows(a, b)
-                    a_raw, b_raw, codes = a.tobytes(), b.tobytes(), []
-                    for a0, a1, b0, b1 in zip(a_at, a_at[1:], b_at, b_at[1:]):
-                        key = a_raw[4 * a0 : 4 * a1], b_raw[4 * b0 : 4 * b1]
-                        code = kept.get(key)
-                        if code is None:
-                            code = kept[key] = len(texts)
-                            groups, n, own = both.align(a[a0:a1].tolist(), b[b0:b1].tolist())
-                            texts.append(groups)
-                            n_groups.append(n)
-                            links.append(own)
-                        codes.append(code)
+                    windows = both.windows(a, b)
+                    codes = [known(w) for w in windows]
+                    if None in codes:
+                        for k, code in enumerate(codes):
+                            if code is None:
+                                code = known(windows[k])
+                                if code is None:
+                                    code = kept[windows[k]] = len(texts)
+                                    groups, n, own = both.align(windows[k])
+                                    texts.append(groups)
+                                    n_groups.append(n)
+                                    links.append(own)
+                                codes[k] = code
                     total = sum([n_groups[c] for c in codes])
                     digest = hashlib.sha256(";".join([texts[c] for c in codes]).encode()).hexdigest()
                     rows.append((doc_id, len(a), len(b), total, len(a) + len(b) - total, digest, len(codes)))
@@ -168,6 +183,7 @@ def _code(shared_a: Broadcast, shared_b: Broadcast, block_bytes: int):
                     sequence, rows, seen, size = sequence + 1, [], [], 0
                     if len(kept) > WINDOWS_KEPT:  # only here, as an open block refers to them
                         kept, texts, n_groups, links = {}, [], [], []
+                        known = kept.get
         if rows:
             yield close()
 
