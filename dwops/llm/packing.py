@@ -1,7 +1,7 @@
 """Best-fit packing of token sequences with large-item matching.
 
 A bin (sequence) holds ``capacity`` tokens. Documents longer than that are cut into full
-pieces, which fill a bin each, and one shorter rest. Of pieces longer than a third of the
+pieces, which fill a bin each, and a first one that may be shorter. Of pieces longer than a third of the
 capacity at most two fit one bin: greedily, from the longest down, each is matched with the
 longest other one that still fits. Shorter pieces go, from the longest down, into the
 fullest bin that still has room (best fit), or a new bin.
@@ -43,8 +43,9 @@ def _cut(shared: Broadcast, capacity: int, end_id: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = memoryview((encode(text.as_py()) if text.is_valid else b"") + end)
                 n = len(ids) // ID.itemsize
-                for piece, start in enumerate(range(0, n, capacity)):
-                    length = min(capacity, n - start)
+                # What is over goes into the first piece, the others are full.
+                over = (n - 1) % capacity + 1
+                for piece, (start, length) in enumerate([(0, over), *((s, capacity) for s in range(over, n, capacity))]):
                     part = ids[start * ID.itemsize : (start + length) * ID.itemsize]
                     rows.append((doc_id, piece, start, length, zlib.crc32(part), seen[length]))
                     seen[length] += 1

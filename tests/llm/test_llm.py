@@ -178,8 +178,12 @@ def test_packing_round_trip(spark):
     rows = [(1, prose(900)), (2, None), (3, ""), (4, "x"), (4, "x"), (None, prose(40)), (5, prose(3000))]
     got = packing.pack(documents(spark, rows), capacity=256).collect()
     encode = tokens.Encoder(tokens.default_path())
-    want = sorted((i or 0, zlib.crc32(ids[s : s + 1024]), s // 4, len(ids[s : s + 1024]) // 4) for i, t in rows
-                  for ids in [encode(t or "") + np.array([2], tokens.ID).tobytes()] for s in range(0, len(ids), 1024))
+    want = []
+    for i, t in rows:
+        ids = encode(t or "") + np.array([2], tokens.ID).tobytes()
+        ends = sorted(range(len(ids), 0, -1024))  # full pieces of 256 ids from the end; only the first may be shorter
+        want += [(i or 0, zlib.crc32(ids[s:e]), s // 4, (e - s) // 4) for s, e in zip([0, *ends], ends)]
+    want.sort()
     assert sorted((r["doc_id"] or 0, r["ids_crc32"], r["start"], r["length"]) for r in got) == want
     by_bin = {}
     for r in got:
@@ -189,6 +193,14 @@ def test_packing_round_trip(spark):
     assert packing.pack(documents(spark, [])).count() == 0
 
 
+def test_long_documents_are_cut_as_stated(spark):
+    word = " the"  # one id
+    sizes = {1: 2499, 2: 1023, 3: 1024, 4: 2047, 5: 0}
+    got = packing.pack(documents(spark, [(i, word * n) for i, n in sizes.items()])).orderBy("doc_id", "piece").collect()
+    assert [(r["doc_id"], r["piece"], r["start"], r["length"]) for r in got] == [
+        (1, 0, 0, 452), (1, 1, 452, 1024), (1, 2, 1476, 1024), (2, 0, 0, 1024), (3, 0, 0, 1), (3, 1, 1, 1024), (4, 0, 0, 1024), (4, 1, 1024, 1024), (5, 0, 0, 1)]
+
+
 def test_topk_edge_rows(spark):
     rows = [(0, [1.0, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, []), (7, [1.0, 2.0, 3.0]),
             (100, [0.5, 0.5]), (200, [-0.25, 0.0]), (None, [0.5, 0.5])]
