@@ -43,6 +43,15 @@ def exact_avg(c: str | Column, digits: int = 2) -> Column:
     return exact_sum(c, digits) / F.count(col(c))
 
 
+def amount_total(c: str | Column, digits: int | None = None) -> Column:
+    """Sum in the column's own type; with ``digits``, exactly in units of 10^-digits, which the caller says the values have."""
+    return F.sum(col(c)) if digits is None else total(F.rint(col(c) * 10 ** digits).cast("long"), digits)
+
+
+def amount_avg(c: str | Column, digits: int | None = None) -> Column:
+    return amount_total(c, digits).cast("double") / F.nullif(F.count(col(c)), F.lit(0).cast("long"))
+
+
 def revenue_units() -> Column:
     """Discounted line price in units of 10^-4, in which it is whole."""
     return cents("l_extendedprice") * (F.lit(100) - cents("l_discount"))

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dwops.functions.values import all_of, any_of, money_total
+from dwops.functions.values import amount_total, any_of
 from dwops.operators.relational import not_exists_in
+from dwops.plans.keyed import APART, apart, once_per_key
 from dwops.plans.ordered import scan_groups
 from dwops.sources.files import write_partitioned
 
@@ -30,12 +31,8 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], update: dict[s
         update = {c: F.col(f"s.{c}") for c in common if c not in keys}
     if insert is None:
         insert = {c: F.col(f"s.{c}") for c in common}
-    t = target.select(*keys, F.struct(*columns).alias("t"))
-    # Sorted by key as the join wants it, so the check adds no exchange.
-    twice = (F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1) & all_of([F.col(k).isNotNull() for k in keys])
-    s = source.select(*keys, F.struct(*source.columns).alias("s"), twice.alias("_twice")).select(
-        *keys, F.when(F.col("_twice"), F.raise_error(F.lit("a key comes more than once in the source"))).otherwise(F.col("s")).alias("s"))
-    both = t.join(s, keys, "full")
+    t = target.select(*keys, apart(target, keys), F.struct(*columns).alias("t"))
+    both = t.join(once_per_key(source, keys, "s"), [*keys, APART], "full")
     types = target.schema
     matched, inserted = F.col("t").isNotNull() & F.col("s").isNotNull(), F.col("t").isNull()
 
@@ -110,10 +107,14 @@ def changed_rows(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFra
 
 # --- summaries -------------------------------------------------------------
 
-def build_summary(df: DataFrame, keys: list, value: str) -> DataFrame:
-    """Partial aggregates per group that can be refreshed: count, sum, min, max."""
+def build_summary(df: DataFrame, keys: list, value: str, digits: int | None = None) -> DataFrame:
+    """Partial aggregates per group that can be refreshed: count, sum, min, max; sums as in ``amount_total``.
+
+    Give ``digits`` for doubles: sums of plain doubles depend on the order of the rows in their last bits.
+    """
+    total = amount_total(value, digits)
     return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("cnt"), money_total(value).cast("decimal(38,2)").alias("total_amount"),
+        F.count(F.lit(1)).alias("cnt"), (total if digits is None else total.cast(f"decimal(38,{digits})")).alias("total_amount"),
         F.min(value).alias("min_amount"), F.max(value).alias("max_amount"),
     )
 
@@ -121,11 +122,11 @@ def build_summary(df: DataFrame, keys: list, value: str) -> DataFrame:
 def refresh_summary(summary: DataFrame, delta: DataFrame) -> DataFrame:
     """Merge the partials of new rows into a summary; equal to rebuilding it.
 
-    Means are sum / count; distinct counts cannot be refreshed this way.
+    Means are sum / count; distinct counts are kept as bitmaps beside it (``operators.distinct``).
     """
     keys = [c for c in summary.columns if c not in ("cnt", "total_amount", "min_amount", "max_amount")]
     return summary.unionByName(delta).groupBy(*keys).agg(
-        F.sum("cnt").alias("cnt"), F.sum("total_amount").cast("decimal(38,2)").alias("total_amount"),
+        F.sum("cnt").alias("cnt"), F.sum("total_amount").cast(summary.schema["total_amount"].dataType).alias("total_amount"),
         F.min("min_amount").alias("min_amount"), F.max("max_amount").alias("max_amount"),
     )
 
@@ -142,12 +143,12 @@ def transaction_fact(df: DataFrame, keys: dict[str, Column], measures: list[str]
     return df.select(*[c.alias(n) for n, c in keys.items()], *measures)
 
 
-def periodic_snapshot(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """Balance per key at each year's end, from the key's first year to the last year of the data.
+def periodic_snapshot(df: DataFrame, key: str, ts: str, value: str, digits: int | None = None) -> DataFrame:
+    """Balance per key at each year's end, from the key's first year to the last year of the data; sums as in ``amount_total``.
 
     The calendar is unrolled per key from its own first year; a key has one row per year.
     """
-    yearly = df.groupBy(key, F.year(ts).alias("year")).agg(money_total(value).alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    yearly = df.groupBy(key, F.year(ts).alias("year")).agg(amount_total(value, digits).alias("_sum"), F.count(F.lit(1)).alias("_n"))
     last = df.agg(F.max(F.year(ts)).alias("y")).scalar()
     spans = yearly.groupBy(key).agg(F.min("year").alias("_first"))
     grid = spans.select(key, F.explode(F.sequence("_first", last)).alias("year"))
@@ -155,7 +156,7 @@ def periodic_snapshot(df: DataFrame, key: str, ts: str, value: str) -> DataFrame
     return grid.join(yearly, [key, "year"], "left").select(
         key, F.col("year").cast("long").alias("year"),
         F.sum(F.coalesce("_n", F.lit(0))).over(w).alias("orders_to_date"),
-        F.sum(F.coalesce("_sum", F.lit(0).cast("decimal(18,2)"))).over(w).cast("double").alias("balance"),
+        F.sum(F.coalesce("_sum", F.lit(0).cast(yearly.schema["_sum"].dataType))).over(w).cast("double").alias("balance"),
     )
 
 

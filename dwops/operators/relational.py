@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from dwops.functions.values import exact_avg, exact_sum, month_of, months_apart, pct, total
+from dwops.functions.values import amount_avg, amount_total, exact_avg, exact_sum, month_of, months_apart, pct, total
 from dwops.plans.keyed import join_on_same, with_group_values
 from dwops.plans.ordered import scan_groups, sort_columns
 
@@ -246,18 +246,19 @@ def ratio_to_total(df: DataFrame, value: str, name: str, digits: int = 2) -> Dat
     return df.withColumn(name, F.round(F.col(value).cast("double") / total * 100, digits))
 
 
-def daily_summary(df: DataFrame, ts: str, value: str, entity: str) -> DataFrame:
+def daily_summary(df: DataFrame, ts: str, value: str, entity: str, digits: int | None = None) -> DataFrame:
+    """Rows, total, mean and distinct entities per day; totals as in ``amount_total``."""
     return df.groupBy(F.col(ts).cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("order_count"),
-        exact_sum(value).alias("revenue"),
-        exact_avg(value).alias("avg_order_value"),
+        amount_total(value, digits).cast("double").alias("revenue"),
+        amount_avg(value, digits).alias("avg_order_value"),
         F.count_distinct(entity).alias("unique_customers"),
     )
 
 
-def lifetime_value(entities: DataFrame, facts: DataFrame, on: list[str], value: str) -> DataFrame:
-    """Order count and total value per entity, 0 for entities without facts."""
-    totals = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("order_count"), exact_sum(value).alias("lifetime_value"))
+def lifetime_value(entities: DataFrame, facts: DataFrame, on: list[str], value: str, digits: int | None = None) -> DataFrame:
+    """Order count and total value per entity, 0 for entities without facts; totals as in ``amount_total``."""
+    totals = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("order_count"), amount_total(value, digits).cast("double").alias("lifetime_value"))
     return left_default(entities, totals, on, {"order_count": 0, "lifetime_value": 0.0})
 
 

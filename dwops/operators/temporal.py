@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from dwops.functions.values import any_of
-from dwops.plans.ordered import row_frames, scan_groups
+from dwops.functions.values import all_of, any_of, micros
+from dwops.plans.keyed import APART, apart, once_per_key
+from dwops.plans.ordered import all_small, chunk_rows, row_frames, scan_groups
+from dwops.session import stored, stored_counted
 
 OPEN_END = "9999-12-31"
 
@@ -65,6 +67,44 @@ def overlap_conflicts(df: DataFrame, key: str, start: str, end: str) -> DataFram
     return counted.withColumn("conflicts", conflicts).where("conflicts > 0").select(*df.columns, "conflicts")
 
 
+def overlap_pairs(df: DataFrame, key: str, start: str, end: str, row_id: str) -> DataFrame:
+    """The conflicting pairs of an exclusion constraint: rows of one key whose intervals ``[start, end)`` overlap.
+
+    Returns (key, first_id, second_id, overlap_start, overlap_end), a pair once with the smaller id first.
+
+    Intervals of like length form a level, and time is cut into buckets as wide as a level's
+    intervals at most are long, so an interval covers two buckets of its own level or of a
+    coarser one. A pair is looked for at the coarser level of the two, by an equality join on key,
+    level and bucket, and is reported in the first bucket both cover. A busy key is spread over its buckets, a
+    year-long interval costs no more rows than a short one, and levels are few: at most one
+    per doubling of the length, of which the driver sees the numbers. NULL keys, ids and ends match nothing.
+    """
+    complete = all_of([F.col(c).isNotNull() for c in (key, start, end, row_id)])
+    timed = df.where(complete).select(
+        F.col(key).alias("_key"), F.col(row_id).alias("_id"), F.col(start).alias("_from"), F.col(end).alias("_to"), micros(start).alias("_s"), micros(end).alias("_e"))
+    length = F.greatest(F.col("_e") - F.col("_s"), F.lit(1).cast("long"))
+    # Wide enough whatever the logarithm rounds to.
+    timed = timed.withColumn("_level", F.ceil(F.log2(length)).cast("int") + 1)
+    levels = sorted(r[0] for r in timed.select("_level").distinct().collect())
+    if not levels:
+        levels = [0]
+
+    def buckets(level: str) -> dict[str, Column]:
+        # The last instant inside; an empty interval covers the bucket of its point.
+        return {"_first": F.expr(f"shiftright(_s, {level})"), "_last": F.expr(f"shiftright(greatest(_e - 1, _s), {level})")}
+
+    own = timed.withColumns(buckets("_level"))
+    reach = timed.withColumnRenamed("_level", "_own").withColumn("_level", F.explode(F.filter(F.array(*[F.lit(n) for n in levels]), lambda n: n >= F.col("_own"))))
+    side = lambda df, name: df.withColumn("_bucket", F.explode(F.sequence("_first", "_last"))).select(
+        F.col("_key"), "_level", "_bucket", F.struct(*[c for c in df.columns if c not in ("_key", "_level")]).alias(name))
+    coarse, other = side(own, "a"), side(reach.withColumns(buckets("_level")), "b")
+    met = coarse.join(other, ["_key", "_level", "_bucket"]).where("a._from < b._to and b._from < a._to and _bucket = greatest(a._first, b._first)")
+    # Of one level, both orders meet; of two, only this one.
+    met = met.where((F.col("b._own") < F.col("_level")) & (F.col("a._id") != F.col("b._id")) | (F.col("b._own") == F.col("_level")) & (F.col("a._id") < F.col("b._id")))
+    return met.select(F.col("_key").alias(key), F.least("a._id", "b._id").alias("first_id"), F.greatest("a._id", "b._id").alias("second_id"),
+                      F.greatest("a._from", "b._from").alias("overlap_start"), F.least("a._to", "b._to").alias("overlap_end"))
+
+
 def scd2_from_changes(df: DataFrame, key: str, ts: str, columns: list[str], tail: str) -> DataFrame:
     """Version history from a change log: ``valid_from``, ``valid_to``, ``is_current``.
 
@@ -73,11 +113,13 @@ def scd2_from_changes(df: DataFrame, key: str, ts: str, columns: list[str], tail
     repeating the state before them are dropped, and a version ends where the next begins.
     """
     state = F.struct(*columns)
-    entries = df.groupBy(key, F.col(ts).alias("valid_from")).agg(F.max_by(state, F.col(tail)).alias("_state"))
-    seen = row_frames(entries, [key], ["valid_from"], 1, 0, {"_before": lambda w: F.lag("_state").over(w)}, derived=True)
+    entries, found = stored_counted(df.groupBy(key, F.col(ts).alias("valid_from")).agg(F.max_by(state, F.col(tail)).alias("_state")))
+    # One look at the sizes: the second step has the same groups, or fewer rows of them.
+    small = found <= chunk_rows(df) or all_small(entries, [key])
+    seen = row_frames(entries, [key], ["valid_from"], 1, 0, {"_before": lambda w: F.lag("_state").over(w)}, bounded=small)
     # A first state whose attributes are all NULL is a version too.
     changed = seen.where(F.col("_before").isNull() | ~F.col("_state").eqNullSafe(F.col("_before"))).drop("_before")
-    closed = row_frames(changed, [key], ["valid_from"], 0, 1, {"valid_to": lambda w: F.lead("valid_from").over(w)}, derived=True)
+    closed = row_frames(changed, [key], ["valid_from"], 0, 1, {"valid_to": lambda w: F.lead("valid_from").over(w)}, bounded=small, derived=True)
     return closed.select(key, "_state.*", "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 
@@ -96,44 +138,58 @@ def _same(columns: list[str], old: str, new: str) -> Column:
 
 
 def scd2_apply(dim: DataFrame, stage: DataFrame, key: str, columns: list[str], ts: str,
-               close_missing: bool = False) -> DataFrame:
-    """Next state of a version table ``(key, columns, valid_from, valid_to, is_current)``.
-
-    A changed key gets its current version closed at ``ts`` and a new one opened, an
-    unknown key a first version. Keys missing from the stage stay open, or are closed
-    with ``close_missing`` (a full snapshot).
+               close_missing: bool = False, surrogate: str | None = None) -> DataFrame:
+    """Next state of a version table with ``valid_from``, ``valid_to`` and ``is_current``.
+
+    A key whose tracked ``columns`` changed gets its current version closed at ``ts`` and a new
+    one opened, an unknown key a first version. Keys missing from the stage stay open, or are
+    closed with ``close_missing`` (a full snapshot). All columns of the dimension are carried:
+    untracked ones keep their values in the versions there are, and a new version takes them
+    from the stage, or from the version before where the stage has no such column. New
+    versions are numbered on from the highest ``surrogate`` key, in order of their key. A key
+    staged twice fails the job; rows without a key match nothing and open a version each.
     """
     when = F.lit(ts).cast("date")
-    fields = [key, *columns, "valid_from", "valid_to", "is_current"]
-    history = dim.where(~F.col("is_current")).select(*fields)
-    current = dim.where("is_current").select(F.col(key).alias("_k"), F.struct(*fields).alias("_old"))
-    staged = stage.select(F.col(key).alias("_k"), F.struct(key, *columns).alias("_new"))
-    both = current.join(staged, "_k", "full")
+    fields, types = dim.columns, dim.schema
+    fixed = {"valid_from": when, "valid_to": F.lit(None), "is_current": F.lit(True)}
+    history = dim.where(~F.col("is_current"))
+    old_rows = dim.where("is_current")
+    current = old_rows.select(F.col(key).alias("_k"), apart(old_rows, [key]), F.struct(*fields).alias("_old"))
+    staged = once_per_key(stage.withColumn("_k", F.col(key)), ["_k"], "_new")
+    both = current.join(staged, ["_k", APART], "full")
     is_old, is_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
     keep = is_old & (is_new & _same(columns, "_old", "_new") | ~is_new & F.lit(not close_missing))
-    types = dim.schema
-    row = lambda values: F.struct(*[v.cast(types[f].dataType).alias(f) for f, v in zip(fields, values)])
-    old_values = [F.col(f"_old.{c}") for c in (key, *columns, "valid_from")]
-    new_values = [F.col(f"_new.{c}") for c in (key, *columns)]
-    closed = row([*old_values, when, F.lit(False)])
-    opened = row([*new_values, when, F.lit(None), F.lit(True)])
-    kept = row([*old_values, F.col("_old.valid_to"), F.lit(True)])
-    rows = F.array(F.when(keep, kept), F.when(is_old & ~keep, closed), F.when(is_new & ~keep, opened))
-    moved = both.select(F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("_r")).select("_r.*")
-    return history.unionByName(moved)
+    row = lambda values: F.struct(*[values[f].cast(types[f].dataType).alias(f) for f in fields])
+    old_values = {f: F.col(f"_old.{f}") for f in fields}
+    new_values = {f: F.col(f"_new.{f}") if f in stage.columns else F.col(f"_old.{f}") for f in fields} | fixed
+    if surrogate:
+        new_values[surrogate] = F.lit(None)
+    closed = row(old_values | {"valid_to": when, "is_current": F.lit(False)})
+    rows = F.array(F.when(keep, row(old_values)), F.when(is_old & ~keep, closed), F.when(is_new & ~keep, row(new_values)))
+    moved = both.select(F.posexplode(F.filter(rows, lambda r: r.isNotNull())).alias("_i", "_r"), (is_new & ~keep).alias("_opens")).select(
+        "_r.*", (F.col("_opens") & F.col("_r.is_current")).alias("_opened"))
+    if not surrogate:
+        return history.unionByName(moved.drop("_opened"))
+    moved = stored(moved)
+    top = dim.agg(F.coalesce(F.max(surrogate), F.lit(0)).cast("long").alias("top")).scalar()
+    numbered = scan_groups(moved.where("_opened"), [], [key], number="_n").withColumn(surrogate, (top + F.col("_n")).cast(types[surrogate].dataType))
+    return history.unionByName(moved.where("not _opened").drop("_opened")).unionByName(numbered.select(*fields))
 
 
 def scd3_apply(dim: DataFrame, stage: DataFrame, key: str, column: str) -> DataFrame:
-    """Overwrite one attribute, keeping the value it replaces in ``previous_<column>``."""
-    new = stage.select(F.col(key), F.col(column).alias("_new"), F.lit(True).alias("_staged"))
+    """Overwrite one attribute, keeping the value it replaces in ``previous_<column>``.
+
+    A key staged twice fails the job; keys the dimension does not have, and NULL ones, change nothing.
+    """
+    new = once_per_key(stage.where(F.col(key).isNotNull()).select(key, column), [key], "_new").drop(APART)
     joined = dim.join(new, key, "left")
-    changed = F.coalesce(F.col("_staged"), F.lit(False)) & ~F.col(column).eqNullSafe(F.col("_new"))
+    changed = F.col("_new").isNotNull() & ~F.col(column).eqNullSafe(F.col(f"_new.{column}"))
     previous = f"previous_{column}"
     kept = F.col(previous) if previous in dim.columns else F.lit(None).cast(dim.schema[column].dataType)
     return (
         joined.withColumn(previous, F.when(changed, F.col(column)).otherwise(kept))
-        .withColumn(column, F.when(changed, F.col("_new")).otherwise(F.col(column)))
-        .drop("_new", "_staged")
+        .withColumn(column, F.when(changed, F.col(f"_new.{column}")).otherwise(F.col(column)))
+        .drop("_new")
     )
 
 

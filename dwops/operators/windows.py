@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from dwops.functions.values import exact_avg, exact_sum, micros, money_total
+from dwops.functions.values import amount_total, exact_avg, exact_sum, micros, money_total
 from dwops.operators.relational import top_per_key
 from dwops.plans.keyed import join_on_same, with_group_values
 from dwops.plans.ordered import (
-    chunk_rows, large_groups, ntile_from_number, previous_value, rank_values, row_frames, scan_groups, sort_columns,
+    all_small, chunk_rows, large_groups, ntile_from_number, previous_value, rank_values, row_frames, scan_groups, sort_columns,
 )
+from dwops.session import stored, stored_counted
 
 
 def daily(df: DataFrame, ts: str, value: str, name: str = "revenue") -> DataFrame:
@@ -42,16 +43,22 @@ def dedup(df: DataFrame, keys: list[str], priority: list[str]) -> DataFrame:
 
 def rank_all(df: DataFrame, keys: list[str], value: str, tail: list[str]) -> DataFrame:
     """RANK, DENSE_RANK and ROW_NUMBER by a value, numbered within ties by ``tail``."""
-    ranked = rank_values(df, keys, value).withColumnsRenamed({"_rank": "rank", "_dense": "dense_rank"})
-    return scan_groups(ranked.drop("_upto", "_total"), keys, [value, *tail], number="row_num")
+    small = all_small(df, keys)
+    ranked = rank_values(df, keys, value, bounded=small).withColumnsRenamed({"_rank": "rank", "_dense": "dense_rank"})
+    return scan_groups(ranked.drop("_upto", "_total"), keys, [value, *tail], number="row_num", bounded=small, derived=True)
 
 
 def ntile_by(df: DataFrame, tiles: dict[str, int], order: list[str], keys: list[str] = ()) -> DataFrame:
-    """NTILE buckets; several bucket counts share one ordering."""
-    numbered = scan_groups(df, keys, order, number="_rn", derived=True)
-    sized = with_group_values(numbered, keys, {"_size": F.count(F.lit(1))}) if keys else numbered.withColumn(
-        "_size", df.agg(F.count(F.lit(1))).scalar()
-    )
+    """NTILE buckets; several bucket counts share one ordering. The input is computed once."""
+    df, found = stored_counted(df)
+    small = found <= chunk_rows(df)
+    numbered = scan_groups(df, keys, order, number="_rn", bounded=small)
+    if not keys:
+        sized = numbered.withColumn("_size", F.lit(found).cast("long"))
+    elif small:
+        sized = numbered.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    else:
+        sized = with_group_values(numbered, keys, {"_size": F.count(F.lit(1))})
     cells = {name: ntile_from_number(F.col("_rn"), F.col("_size"), n) for name, n in tiles.items()}
     return sized.withColumns(cells).drop("_rn", "_size")
 
@@ -70,8 +77,10 @@ def percent_ranks(df: DataFrame, value: str, keys: list[str] = ()) -> DataFrame:
 
 def category_rank(df: DataFrame, category: str, value: str) -> DataFrame:
     """RANK within a category and PERCENT_RANK over everything, both by descending value."""
-    inside = rank_values(df, [category], f"-{value}").withColumnRenamed("_rank", "category_rank")
-    overall = rank_values(inside.drop("_dense", "_upto", "_total"), [], f"-{value}")
+    df, found = stored_counted(df)
+    small = found <= chunk_rows(df)
+    inside = rank_values(df, [category], f"-{value}", bounded=small).withColumnRenamed("_rank", "category_rank").drop("_dense", "_upto", "_total")
+    overall = rank_values(inside if small else stored(inside), [], f"-{value}", bounded=small)
     share = (F.col("_rank") - 1) / F.greatest(F.col("_total") - 1, F.lit(1))
     return overall.withColumn("overall_percentile", share).drop("_rank", "_dense", "_upto", "_total")
 
@@ -164,15 +173,75 @@ def moving_interval(df: DataFrame, ts: str, before: str, after: str, sums: dict[
     return join_on_same(timed, per_time, [*keys, "_t"], "left").drop("_t")
 
 
+# Aggregates of an interval frame: the parts kept of it, each with how two parts are put together.
+FRAME_PARTS = {"sum": ["sum"], "count": ["count"], "avg": ["sum", "count"], "min": ["min"], "max": ["max"]}
+_OF_ROWS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+_OF_PARTS = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def interval_frames(df: DataFrame, ts: str, before: str, after: str, columns: dict[str, tuple[str, Column]],
+                    keys: list[str] = (), rows: int | None = None) -> DataFrame:
+    """Aggregates over a time interval around each row: name -> (sum, count, avg, min or max; of what).
+
+    Time is cut into blocks as long as a frame, so a frame is the end of one block and the
+    beginning of the next. Running aggregates forward and backward within the blocks give both
+    parts, and every frame is put together from two of them, however many rows it holds. Rows of
+    one time are summed up first. Blocks too large for a task are cut in chunks like any group.
+    Nothing is subtracted, so sums of doubles lose no digits to other frames.
+
+    As in SQL, NULL values are not counted, a frame without values has a NULL sum, and rows
+    without a time are one another's frame.
+    """
+    keys = list(keys)
+    unknown = {fn for fn, _ in columns.values()} - set(FRAME_PARTS)
+    if unknown:
+        raise ValueError(f"unknown aggregates {sorted(unknown)}")
+    back, ahead = (int(n) * DURATIONS[unit.rstrip("s")] for n, unit in (before.split(), after.split()))
+    width = back + ahead + 1
+    timed = df.withColumn("_t", micros(ts))
+    parts = {f"_{part}{i}": (part, value) for i, (fn, value) in enumerate(columns.values()) for part in FRAME_PARTS[fn]}
+    times = stored(timed.groupBy(*keys, "_t").agg(*[_OF_ROWS[part](value).alias(n) for n, (part, value) in parts.items()]))
+    kinds = {n: times.schema[n].dataType for n in parts}
+
+    def scanned(asked: DataFrame, kind: int, order: list[str]) -> DataFrame:
+        """Running parts at the asked places; rows of one place come before (kind 2) or after (0) the asking one."""
+        place = lambda df, at, kind: df.withColumns({"_at": at, "_kind": F.lit(kind)}).withColumn("_block", F.expr(f"(_at - pmod(_at, {width}L)) div {width}L"))
+        values = place(times.where("_t is not null"), F.col("_t"), 1)
+        nothing = asked.withColumns({n: F.lit(None).cast(k) for n, k in kinds.items()})
+        shift = ahead if kind == 2 else -back
+        line = values.unionByName(place(nothing, F.col("_t") + shift, kind))
+        runs = {how: {f"_run{n}": F.col(n) for n, (part, _) in parts.items() if part in of} for how, of in
+                (("sums", ("sum", "count")), ("lowest", ("min",)), ("highest", ("max",)))}
+        line = scan_groups(line, [*keys, "_block"], order, rows=rows, derived=True, **runs)
+        return line.where(F.col("_kind") == kind).select(*keys, "_t", *[F.col(f"_run{n}").alias(n) for n in parts])
+
+    asked = times.where("_t is not null").select(*keys, "_t")
+    ends = scanned(asked, 0, ["-_at", "-_kind"])
+    # A frame that starts where a block starts is that whole block, which its first part covers.
+    starts = scanned(asked.where(F.expr(f"pmod(_t - {back}L, {width}L) <> 0")), 2, ["_at", "_kind"])
+    # A row without a time has only the rows of its own group and no time.
+    alone = times.where("_t is null").select(*keys, "_t", *parts)
+    frames = ends.unionByName(starts).unionByName(alone).groupBy(*keys, "_t").agg(*[_OF_PARTS[part](n).alias(n) for n, (part, _) in parts.items()])
+    out = {}
+    for i, (name, (fn, value)) in enumerate(columns.items()):
+        if fn == "avg":
+            out[name] = F.col(f"_sum{i}").cast("double") / F.nullif(F.col(f"_count{i}"), F.lit(0).cast("long"))
+        else:
+            got = F.col(f"_{fn}{i}")
+            out[name] = F.coalesce(got, F.lit(0).cast("long")) if fn == "count" else got.cast(kinds[f"_{fn}{i}"])
+    per_time = frames.select(*keys, "_t", *[c.alias(n) for n, c in out.items()])
+    return join_on_same(timed, per_time, [*keys, "_t"], "left").drop("_t")
+
+
 def partition_share(df: DataFrame, keys: list[str], value: str, digits: int = 2) -> DataFrame:
     """Mean of the group and share of the group's total, on every row; exact for ``digits`` decimals."""
     sized = with_group_values(df, keys, {"group_avg": exact_avg(value, digits), "_sum": exact_sum(value, digits)})
     return sized.withColumn("pct_of_total", F.col(value) / F.nullif(F.col("_sum"), F.lit(0.0))).drop("_sum")
 
 
-def period_total(df: DataFrame, period: Column, value: str, name: str) -> DataFrame:
-    """Total of the derived period each row falls into."""
-    return with_group_values(df.withColumn("period", period), ["period"], {name: exact_sum(value)})
+def period_total(df: DataFrame, period: Column, value: str, name: str, digits: int | None = None) -> DataFrame:
+    """Total of the derived period each row falls into, as in ``amount_total``."""
+    return with_group_values(df.withColumn("period", period), ["period"], {name: amount_total(value, digits).cast("double")})
 
 
 def lag_lead(df: DataFrame, value: str, order: list[str], keys: list[str] = (), n: int = 1, **remarks: bool) -> DataFrame:
@@ -209,12 +278,13 @@ def sessionize(df: DataFrame, key: str, ts: str, tail: list[str], gap_minutes: i
 
     A user's first action has no previous one: flag 0, session 0.
     """
-    seen = previous_value(df, [key], [ts, *tail], {"prev_action": F.col(ts)})
+    small = all_small(df, [key])
+    seen = previous_value(df, [key], [ts, *tail], {"prev_action": F.col(ts)}, bounded=small)
     seconds = (micros(ts) - micros("prev_action")) / F.lit(1_000_000.0)
     flagged = seen.withColumn("minutes_since_last", seconds / 60).withColumn(
         "new_session", F.when(F.col("minutes_since_last") > gap_minutes, F.lit(1)).otherwise(0).cast("long")
     )
-    return scan_groups(flagged, [key], [ts, *tail], sums={"session_id": F.col("new_session")}, derived=True)
+    return scan_groups(flagged, [key], [ts, *tail], sums={"session_id": F.col("new_session")}, bounded=small, derived=True)
 
 
 def sequence_gaps(df: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from dwops.functions.values import all_of
+from dwops.functions.values import all_of, any_of
 
 
 def join_on_same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -32,6 +32,28 @@ def with_group_values(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -
     return join_on_same(df, grouped, list(keys), "left")
 
 
+APART = "_apart"
+
+
+def apart(df: DataFrame, keys: list[str]) -> Column:
+    """A second join key that spreads rows without a complete key, which can match nothing, over all tasks."""
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.when(any_of([F.col(k).isNull() for k in keys]), F.xxhash64(*hashed)).otherwise(F.lit(0).cast("long")).alias(APART)
+
+
+def once_per_key(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, _apart, the row as struct ``name``); a complete key that comes twice fails the job.
+
+    Rows are laid out by key as a join on (keys, _apart) wants them, so the check adds no exchange to it.
+    """
+    complete = all_of([F.col(k).isNotNull() for k in keys])
+    rows = df.select(*keys, apart(df, keys), F.struct(*df.columns).alias(name))
+    twice = complete & (F.count(F.lit(1)).over(Window.partitionBy(*keys, APART)) > 1)
+    # The check is part of the row that the caller uses, so that it is not optimised away.
+    checked = F.when(F.col("_twice"), F.raise_error(F.lit("a key comes more than once in the source"))).otherwise(F.col(name))
+    return rows.withColumn("_twice", twice).select(*keys, APART, checked.alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out over all cores when the scan has fewer partitions than those.
 

@@ -15,8 +15,9 @@ chunk rows of them.
 Order columns are names, a leading ``-`` meaning descending; NULLs sort first.
 
 Two remarks callers can make: ``bounded`` says that groups are known to be small (one
-row per day, say), so nothing is counted; ``derived`` says that the input is costly to
-compute, so it is stored once if a group has to be cut and read from there.
+row per day, say, or because ``all_small`` has looked), so nothing is counted; ``derived``
+says that the input is costly to compute, so it is stored first, which also tells its number
+of rows: if that is small no group can be large, and groups need not be counted either.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, t
 
 from dwops.functions.values import micros
 from dwops.plans.keyed import join_on_same
-from dwops.session import stored
+from dwops.session import stored, stored_counted
 
 CHUNK_ROWS_KEY = "spark.dwops.chunkRows"
 DEFAULT_CHUNK_ROWS = 5_000_000
@@ -48,6 +49,11 @@ def large_groups(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows)
 
 
+def all_small(df: DataFrame, keys: list[str], rows: int | None = None) -> bool:
+    """Whether no group is large: one pass that several steps over the same groups can share."""
+    return large_groups(df, list(keys), rows or chunk_rows(df)).isEmpty()
+
+
 @dataclass
 class Chunked:
     df: DataFrame             # the input, plus ``_chunk`` when some group was cut
@@ -66,11 +72,12 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], rows: int | None =
             derived: bool = False) -> Chunked:
     """Cut the groups with more than ``rows`` rows into ordered chunks."""
     keys, rows = list(keys), rows or chunk_rows(df)
+    if derived and not bounded:
+        df, found = stored_counted(df)
+        bounded = found <= rows
     large = [] if bounded else large_groups(df, keys, rows).collect()
     if not large:
         return Chunked(df, keys, order, None, df)
-    if derived:
-        df = stored(df)
     many, rest = df, None
     if keys:
         listed = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in large], df.select(*keys).schema)
@@ -102,9 +109,13 @@ def _place(df: DataFrame, order: list[str]) -> Column | None:
     return F.struct(*parts)
 
 
-def _scan(c: Chunked, number: str | None, sums: dict[str, Column], last: dict[str, Column]) -> DataFrame:
+def _scan(c: Chunked, number: str | None, sums: dict[str, Column], last: dict[str, Column],
+          highest: dict[str, Column] | None = None, lowest: dict[str, Column] | None = None) -> DataFrame:
     upto = c.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = {n: F.sum(v).over(upto) for n, v in sums.items()}
+    # name -> (aggregate over rows, the same of two values, what it is taken of)
+    extremes = {n: (F.max, F.greatest, v) for n, v in (highest or {}).items()} | {n: (F.min, F.least, v) for n, v in (lowest or {}).items()}
+    columns |= {n: of_rows(v).over(upto) for n, (of_rows, _, v) in extremes.items()}
     columns |= {n: F.last(v, ignorenulls=True).over(upto) for n, v in last.items()}
     if number:
         columns[number] = F.row_number().over(c.window).cast("long")
@@ -121,6 +132,7 @@ def _scan(c: Chunked, number: str | None, sums: dict[str, Column], last: dict[st
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(v).alias(f"_sum_{n}") for n, v in sums.items()],
         *[F.max_by(v, F.when(v.isNotNull(), place)).alias(f"_last_{n}") for n, v in last.items()],
+        *[of_rows(v).alias(f"_far_{n}") for n, (of_rows, _, v) in extremes.items()],
     )
     before = Window.partitionBy(*c.keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_chunk.select(
@@ -129,15 +141,17 @@ def _scan(c: Chunked, number: str | None, sums: dict[str, Column], last: dict[st
         F.sum("_rows").over(before).alias("_rows"),
         *[F.sum(f"_sum_{n}").over(before).alias(f"_sum_{n}") for n in sums],
         *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_last_{n}") for n in last],
+        *[of_rows(f"_far_{n}").over(before).alias(f"_far_{n}") for n, (of_rows, _, _) in extremes.items()],
     )
     # One row per chunk and large group in it: at most twice total rows / chunk rows.
     joined = join_on_same(local, F.broadcast(carried), [*c.keys, "_chunk"], "left")
     final = {n: F.coalesce(F.col(n) + F.col(f"_sum_{n}"), F.col(n), F.col(f"_sum_{n}")).cast(kinds[n].dataType) for n in sums}
     final |= {n: F.coalesce(F.col(n), F.col(f"_last_{n}")) for n in last}
+    final |= {n: of_two(F.col(n), F.col(f"_far_{n}")) for n, (_, of_two, _) in extremes.items()}
     if number:
         final[number] = F.col(number) + F.coalesce(F.col("_rows"), F.lit(0))
     return joined.withColumns(final).drop(
-        "_chunk", "_rows", *[f"_sum_{n}" for n in sums], *[f"_last_{n}" for n in last]
+        "_chunk", "_rows", *[f"_sum_{n}" for n in sums], *[f"_last_{n}" for n in last], *[f"_far_{n}" for n in extremes]
     )
 
 
@@ -149,14 +163,16 @@ def scan_groups(
     number: str | None = None,
     sums: dict[str, Column] | None = None,
     last: dict[str, Column] | None = None,
+    highest: dict[str, Column] | None = None,
+    lowest: dict[str, Column] | None = None,
     rows: int | None = None,
     **remarks: bool,
 ) -> DataFrame:
-    """Add, per group in order: a row number, running sums over rows, last non-NULL values so far.
+    """Add, per group in order: a row number, running sums over rows, last non-NULL values and extremes so far.
 
     The order must be unique within a group for the result to be determined.
     """
-    return _scan(chunked(df, keys, order, rows, **remarks), number, sums or {}, last or {})
+    return _scan(chunked(df, keys, order, rows, **remarks), number, sums or {}, last or {}, highest, lowest)
 
 
 def row_frames(
@@ -198,7 +214,7 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], columns: di
     return row_frames(df, keys, order, 1, 0, lags, rows, **remarks)
 
 
-def rank_values(df: DataFrame, keys: list[str], value: str, rows: int | None = None) -> DataFrame:
+def rank_values(df: DataFrame, keys: list[str], value: str, rows: int | None = None, *, bounded: bool = False) -> DataFrame:
     """Add per row, for the position of ``value`` in its group (``-value`` = descending):
 
     ``_rank``, ``_dense``, ``_upto`` (rows at or before it) and ``_total`` (rows in the group).
@@ -208,7 +224,7 @@ def rank_values(df: DataFrame, keys: list[str], value: str, rows: int | None = N
     """
     keys, name, limit = list(keys), value.lstrip("-"), rows or chunk_rows(df)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    if sizes.where(F.col("_total") > limit).isEmpty():
+    if bounded or sizes.where(F.col("_total") > limit).isEmpty():
         ordered = Window.partitionBy(*keys).orderBy(*sort_columns([value]))
         return df.withColumns({
             "_rank": F.rank().over(ordered).cast("long"),

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from dwops.functions import values as v
 from dwops.operators import quality, relational as rel
+from dwops.reports import inputs
 from dwops.reports.registry import Tables, report
-from dwops.reports.sql import REVENUE
+from dwops.reports.sql import NET_LINES, REVENUE
 
 
 @report("group_agg", f"""
@@ -117,14 +118,28 @@ DAILY_SUMMARY_SQL = """select cast(o_orderdate as date) as day, count(*) as orde
 
 @report("daily_summary", DAILY_SUMMARY_SQL)
 def daily_summary(t: Tables) -> DataFrame:
-    return rel.daily_summary(t.orders, "o_orderdate", "o_totalprice", "o_custkey")
+    return rel.daily_summary(t.orders, "o_orderdate", "o_totalprice", "o_custkey", 2)
+
+
+@report("daily_summary_net", f"""with {NET_LINES} select cast(l_shipdate as date) as day, count(*) as order_count, cast(sum(net) as double) as revenue,
+  sum(net)::double / count(net) as avg_order_value, count(distinct l_suppkey) as unique_customers from net_lines group by 1""")
+def daily_summary_net(t: Tables) -> DataFrame:
+    """Shipped lines per day over amounts of four decimals, all of which count."""
+    return rel.daily_summary(inputs.net_lines(t), "l_shipdate", "net", "l_suppkey", 4)
 
 
 @report("lifetime_value", "select c_custkey, c_name, coalesce(n, 0) as order_count, coalesce(s, 0.0) as lifetime_value from customer left join ("
                           "select o_custkey, count(*) as n, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as s from orders group by 1) on o_custkey = c_custkey")
 def lifetime_value(t: Tables) -> DataFrame:
     facts = t("orders", F.col("o_custkey").alias("c_custkey"), "o_totalprice")
-    return rel.lifetime_value(t("customer", "c_custkey", "c_name"), facts, ["c_custkey"], "o_totalprice")
+    return rel.lifetime_value(t("customer", "c_custkey", "c_name"), facts, ["c_custkey"], "o_totalprice", 2)
+
+
+@report("lifetime_value_net", f"""with {NET_LINES} select s_suppkey, s_name, coalesce(n, 0) as order_count, coalesce(s, 0.0) as lifetime_value
+from supplier left join (select l_suppkey, count(*) as n, cast(sum(net) as double) as s from net_lines group by 1) on l_suppkey = s_suppkey""")
+def lifetime_value_net(t: Tables) -> DataFrame:
+    facts = inputs.net_lines(t).withColumnRenamed("l_suppkey", "s_suppkey")
+    return rel.lifetime_value(t("supplier", "s_suppkey", "s_name"), facts, ["s_suppkey"], "net", 4)
 
 
 @report("slowest_groups", """

@@ -96,3 +96,9 @@ def daily_revenue(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("revenue")
     )
+
+
+def net_lines(t: Tables) -> DataFrame:
+    """Order lines with their discounted price, which has four decimals."""
+    lines = t("lineitem", "l_orderkey", "l_suppkey", "l_shipdate", "l_extendedprice", "l_discount")
+    return lines.withColumn("net", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4)).drop("l_extendedprice", "l_discount")

@@ -152,6 +152,14 @@ def interval_overlap(t: Tables) -> DataFrame:
     return temporal.overlap_conflicts(inputs.bookings(t), "o_custkey", "start_day", "end_day")
 
 
+@report("interval_pairs", """
+with b as (select o_orderkey, o_custkey, cast(o_orderdate as date) as start_day, cast(o_orderdate as date) + 30 as end_day from orders)
+select x.o_custkey, x.o_orderkey as first_id, y.o_orderkey as second_id, greatest(x.start_day, y.start_day) as overlap_start, least(x.end_day, y.end_day) as overlap_end
+from b x join b y on x.o_custkey = y.o_custkey and x.start_day < y.end_day and y.start_day < x.end_day and x.o_orderkey < y.o_orderkey""")
+def interval_pairs(t: Tables) -> DataFrame:
+    return temporal.overlap_pairs(inputs.bookings(t), "o_custkey", "start_day", "end_day", "o_orderkey")
+
+
 @report("prefilter_join", "select c_custkey, c_name, o_orderkey, o_totalprice from customer join orders on o_custkey = c_custkey "
                           "where c_mktsegment = 'BUILDING' and o_orderdate >= timestamp '2000-01-01'")
 def prefilter_join(t: Tables) -> DataFrame:

@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from dwops.functions import values as v
-from dwops.operators import loading, temporal
+from dwops.operators import distinct, loading, temporal
 from dwops.reports import inputs
 from dwops.reports.registry import Tables, report
-from dwops.reports.sql import CUST_STAGE, CUST_VERSIONS, PART_NEW
+from dwops.reports.sql import CUST_STAGE, CUST_VERSIONS, NET_LINES, PART_NEW
 from dwops.session import fresh_path
 
 
@@ -138,7 +138,7 @@ SUMMARY_SQL = """select cast(date_trunc('month', l_shipdate) as date) as month,
 
 
 def _summary(df: DataFrame) -> DataFrame:
-    return loading.build_summary(df, [v.month_of("l_shipdate").alias("month"), "l_partkey"], "l_extendedprice")
+    return loading.build_summary(df, [v.month_of("l_shipdate").alias("month"), "l_partkey"], "l_extendedprice", 2)
 
 
 @report("summary_build", SUMMARY_SQL)
@@ -154,6 +154,57 @@ def summary_refresh(t: Tables) -> DataFrame:
     return out.withColumn("total_amount", F.col("total_amount").cast("double"))
 
 
+NET_SUMMARY_SQL = f"""with {NET_LINES} select cast(date_trunc('month', l_shipdate) as date) as month, l_suppkey, count(*) as cnt,
+  cast(sum(net) as double) as total_amount, cast(min(net) as double) as min_amount, cast(max(net) as double) as max_amount from net_lines group by 1, 2"""
+
+
+@report("summary_refresh_net", NET_SUMMARY_SQL)
+def summary_refresh_net(t: Tables) -> DataFrame:
+    """A summary of amounts with four decimals, refreshed: equal to a rebuild, nothing rounded away."""
+    lines, early = inputs.net_lines(t), F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz")
+    parts = [loading.build_summary(lines.where(p), [v.month_of("l_shipdate").alias("month"), "l_suppkey"], "net", 4) for p in (early, ~early)]
+    return loading.refresh_summary(*parts).withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
+# Who bought a part in a month: a summary whose distinct counts are refreshed and rolled up, too.
+BUYERS_SQL = """with bought as (
+  select cast(date_trunc('month', l_shipdate) as date) as month, l_partkey, l_extendedprice, o_custkey from lineitem join orders on l_orderkey = o_orderkey)"""
+
+
+def _bought(t: Tables) -> DataFrame:
+    lines = t("lineitem", "l_orderkey", "l_partkey", "l_shipdate", "l_extendedprice")
+    joined = lines.join(t("orders", "o_orderkey", "o_custkey"), F.expr("l_orderkey = o_orderkey"))
+    return joined.select(v.month_of("l_shipdate").alias("month"), "l_partkey", "l_extendedprice", "o_custkey")
+
+
+def _two_loads(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What shipped before July 1999, and the rest with that June once more, as late rows come."""
+    cut, again = (F.lit(d).cast("date") for d in ("1999-07-01", "1999-06-01"))
+    return df.where(F.col("month") < cut), df.where(F.col("month") >= again)
+
+
+@report("summary_refresh_distinct", f"""{BUYERS_SQL}
+select month, l_partkey, count(*) as cnt, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as total_amount, min(l_extendedprice) as min_amount,
+  max(l_extendedprice) as max_amount, count(distinct o_custkey) as customers from bought group by 1, 2""")
+def summary_refresh_distinct(t: Tables) -> DataFrame:
+    """The refreshed summary with exact counts of distinct customers, as a rebuild gives them."""
+    bought, keys = _bought(t), ["month", "l_partkey"]
+    cut = F.lit("1999-07-01").cast("date")
+    first, second = (bought.where(F.col("month") < cut), bought.where(F.col("month") >= cut))
+    summary = loading.refresh_summary(*[loading.build_summary(part, keys, "l_extendedprice", 2) for part in (first, second)])
+    bits = distinct.merge_bits(*[distinct.id_bits(part, keys, "o_custkey") for part in (first, second)])
+    return distinct.with_distinct(summary, bits, "customers").withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
+@report("distinct_rollup", f"""{BUYERS_SQL}
+select year(month) as year, l_partkey % 25 as part_group, count(distinct o_custkey) as customers from bought group by 1, 2""")
+def distinct_rollup(t: Tables) -> DataFrame:
+    """Distinct customers per year and group of parts from the monthly sets; rows loaded twice count once."""
+    bits = distinct.merge_bits(*[distinct.id_bits(part, ["month", "l_partkey"], "o_custkey") for part in _two_loads(_bought(t))])
+    yearly = distinct.roll_up_bits(bits, [v.year_of("month").alias("year"), (F.col("l_partkey") % 25).alias("part_group")])
+    return distinct.count_bits(yearly, "customers")
+
+
 @report("fact_transaction", """
 select cast(strftime(l_shipdate, '%Y%m%d') as bigint) as ship_date_key, cast(strftime(o_orderdate, '%Y%m%d') as bigint) as order_date_key, o_custkey as customer_key,
   l_partkey as part_key, l_suppkey as supplier_key, l_quantity, l_extendedprice, l_discount from lineitem join orders on l_orderkey = o_orderkey""")
@@ -170,7 +221,16 @@ g as (select o_custkey, unnest(generate_series(min(year), (select max(year) from
 select o_custkey, cast(g.year as bigint) as year, cast(sum(coalesce(n, 0)) over w as bigint) as orders_to_date, cast(sum(coalesce(s, 0)) over w as double) as balance
 from g left join y using (o_custkey, year) window w as (partition by o_custkey order by g.year)""")
 def fact_snapshot(t: Tables) -> DataFrame:
-    return loading.periodic_snapshot(t.orders, "o_custkey", "o_orderdate", "o_totalprice")
+    return loading.periodic_snapshot(t.orders, "o_custkey", "o_orderdate", "o_totalprice", 2)
+
+
+@report("fact_snapshot_net", f"""with {NET_LINES},
+y as (select l_suppkey, year(l_shipdate) as year, sum(net) as s, count(*) as n from net_lines group by 1, 2),
+g as (select l_suppkey, unnest(generate_series(min(year), (select max(year) from y))) as year from y group by 1)
+select l_suppkey, cast(g.year as bigint) as year, cast(sum(coalesce(n, 0)) over w as bigint) as orders_to_date, cast(sum(coalesce(s, 0)) over w as double) as balance
+from g left join y using (l_suppkey, year) window w as (partition by l_suppkey order by g.year)""")
+def fact_snapshot_net(t: Tables) -> DataFrame:
+    return loading.periodic_snapshot(inputs.net_lines(t), "l_suppkey", "l_shipdate", "net", 4)
 
 
 @report("fact_accumulating", """

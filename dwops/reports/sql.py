@@ -32,3 +32,5 @@ PART_TREE = """part_tree as (
 
 DAILY = """daily as (
   select cast(o_orderdate as date) as day, sum(cast(o_totalprice as decimal(18,2))) as revenue from orders group by 1)"""
+
+NET_LINES = f"""net_lines as (select l_orderkey, l_suppkey, l_shipdate, {REVENUE} as net from lineitem)"""

@@ -37,6 +37,19 @@ def stream_sessions(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+@report("stream_sessions_all", """
+with p as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as prev from events),
+f as (select user_id, ts, sum(case when prev is null or ts - prev > interval 30 minutes then 1 else 0 end) over (partition by user_id order by ts) as s from p),
+w as (select user_id, min(ts) as session_start, max(ts) + interval 30 minutes as session_end, count(*) as actions from f group by user_id, s)
+select *, session_end > (select max(ts) - interval 1 hour from events) as is_open from w""")
+def stream_sessions_all(t: Tables) -> DataFrame:
+    """Written and still open sessions together: what a batch job finds."""
+    out, checkpoint = _paths(t, "sessions")
+    closed = t.spark.read.parquet(jobs.stream_sessions(_events(t), "user_id", "ts", "30 minutes", "1 hour", out, checkpoint))
+    still_open = jobs.open_sessions(t.spark, "user_id", checkpoint)
+    return closed.withColumn("is_open", F.lit(False)).unionByName(still_open.withColumn("is_open", F.lit(True)))
+
+
 @report("stream_incremental", "select event_id, ts, user_id, event_type, value from events")
 def stream_incremental(t: Tables) -> DataFrame:
     path = jobs.stream_incremental(_events(t), "event_id", *_paths(t, "incremental"))

@@ -8,7 +8,7 @@ from dwops.functions import values as v
 from dwops.operators import relational as rel, windows as win
 from dwops.reports import inputs
 from dwops.reports.registry import Tables, report
-from dwops.reports.sql import DAILY, REVENUE
+from dwops.reports.sql import DAILY, NET_LINES, REVENUE
 
 SPEND = "spend as (select o_custkey, sum(cast(o_totalprice as decimal(18,2))) as total_spent from orders group by 1)"
 
@@ -73,6 +73,18 @@ def moving_avg_range(t: Tables) -> DataFrame:
     return out.withColumn("value_7d", F.col("value_7d").cast("double")).drop("value")
 
 
+@report("moving_extremes", """
+select event_id, user_id, ts, min(value) over back as min_7d, max(value) over back as max_7d, cast(sum(cast(value as decimal(18,2))) over back as double) / count(value) over back as avg_7d,
+  min(value) over around as min_around, max(value) over around as max_around, count(*) over around as events_around
+from events window back as (partition by user_id order by ts range between interval 7 days preceding and current row),
+  around as (partition by user_id order by ts range between interval 12 hours preceding and interval 12 hours following)""")
+def moving_extremes(t: Tables) -> DataFrame:
+    events, value = t("events", "event_id", "user_id", "ts", "value"), F.col("value")
+    back = win.interval_frames(events, "ts", "7 days", "0 days", {"min_7d": ("min", value), "max_7d": ("max", value), "avg_7d": ("avg", v.money("value"))}, ["user_id"])
+    around = {"min_around": ("min", value), "max_around": ("max", value), "events_around": ("count", F.lit(1))}
+    return win.interval_frames(back, "ts", "12 hours", "12 hours", around, ["user_id"]).drop("value")
+
+
 @report("centered_frames", f"""with {DAILY} select day, cast(sum(revenue) over (order by day rows between 2 preceding and 2 following) as double) as sum_5_rows,
   cast(sum(revenue) over (order by day range between interval 2 days preceding and interval 2 days following) as double) as sum_5_day_range,
   {MEAN.format(w='(order by day rows between 3 preceding and 3 following)')} as centered_ma_7 from daily""")
@@ -104,10 +116,17 @@ def running_qty_by_part(t: Tables) -> DataFrame:
 
 @report("yearly_total", "select o_orderkey, cast(year(o_orderdate) as bigint) as period, cast(sum(cast(o_totalprice as decimal(18,2))) over (partition by year(o_orderdate)) as double) as yearly_total from orders")
 def yearly_total(t: Tables) -> DataFrame:
-    out = win.period_total(t("orders", "o_orderkey", "o_orderdate", "o_totalprice"), v.year_of("o_orderdate"), "o_totalprice", "yearly_total")
+    out = win.period_total(t("orders", "o_orderkey", "o_orderdate", "o_totalprice"), v.year_of("o_orderdate"), "o_totalprice", "yearly_total", 2)
     return out.select("o_orderkey", "period", "yearly_total")
 
 
+@report("yearly_total_net", f"""with {NET_LINES} select l_orderkey, l_suppkey, cast(year(l_shipdate) as bigint) as period,
+  cast(sum(net) over (partition by year(l_shipdate)) as double) as yearly_total from net_lines""")
+def yearly_total_net(t: Tables) -> DataFrame:
+    out = win.period_total(inputs.net_lines(t), v.year_of("l_shipdate"), "net", "yearly_total", 4)
+    return out.select("l_orderkey", "l_suppkey", "period", "yearly_total")
+
+
 @report("lag_lead", f"""with {DAILY} select day, cast(revenue as double) as revenue, cast(lag(revenue) over (order by day) as double) as previous_value,
   cast(lead(revenue) over (order by day) as double) as next_value, cast(revenue - lag(revenue) over (order by day) as double) as change from daily""")
 def lag_lead(t: Tables) -> DataFrame:

@@ -6,10 +6,10 @@ last one stopped. All jobs run with ``availableNow``: they take what has arrived
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from dwops.operators.loading import upsert
-from dwops.operators.relational import top_per_key
+from dwops.streaming import changelog
 
 
 def file_stream(spark: SparkSession, path: str, schema, ts: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -52,7 +52,7 @@ def stream_sessions(stream: DataFrame, key: str, ts: str, gap: str, watermark: s
     """Sessions ended by ``gap`` without action, each written once it can no longer change.
 
     Sessions still open at the end of the input (their end not passed by the watermark)
-    are not written; they come with a later run.
+    are not written; they come with a later run, and ``open_sessions`` reads them until then.
     """
     sessions = (
         stream.withWatermark(ts, watermark).groupBy(key, F.session_window(ts, gap).alias("_w"))
@@ -65,34 +65,59 @@ def stream_sessions(stream: DataFrame, key: str, ts: str, gap: str, watermark: s
     return path
 
 
-def stream_incremental(stream: DataFrame, key: str, path: str, checkpoint: str) -> str:
+def open_sessions(spark: SparkSession, key: str, checkpoint: str) -> DataFrame:
+    """Sessions not yet written by ``stream_sessions``, as its last batch left them in Spark's state store.
+
+    Read between runs, they and the written ones are all sessions of the rows that were taken.
+    A session may still grow: its end is that of the rows so far.
+    """
+    state = spark.read.format("statestore").load(checkpoint)
+    ends = lambda side: F.col(f"value.session_window.{side}").cast("timestamp_ntz")
+    return state.select(F.col(f"value.{key}").alias(key), ends("start").alias("session_start"), ends("end").alias("session_end"), F.col("value.count").alias("actions"))
+
+
+def stream_incremental(stream: DataFrame, key: str, path: str, checkpoint: str, buckets: int = changelog.BUCKETS) -> str:
     """Load each new row once, however late it comes.
 
     The checkpoint remembers the files taken; a row sent again is told by its key among
-    those loaded before, of which only the key column is read. A batch that is run again
-    overwrites its own part, column ``batch``. A NULL key is never a repeat.
+    those loaded before. The sink lies in folders by bucket of the key and by batch, and a
+    batch reads the key column of the buckets its own keys fall into and no others. A batch
+    that is run again overwrites its own parts. A NULL key is never a repeat; such rows lie in
+    bucket -1, which is never looked up.
     """
+    bucket = F.when(F.col(key).isNotNull(), changelog.key_bucket([key], buckets)).otherwise(-1)
 
     def load(batch: DataFrame, number: int) -> None:
-        keyed = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+        placed = batch.withColumn("bucket", bucket)
+        keyed = placed.where(F.col(key).isNotNull()).dropDuplicates([key])
         if number > 0:
-            before = batch.sparkSession.read.parquet(path).where(F.col("batch") < number)
-            keyed = keyed.join(before.select(key), key, "left_anti").select(*batch.columns)
-        keyed.unionByName(batch.where(F.col(key).isNull())).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            # At most ``buckets`` numbers.
+            touched = [r[0] for r in placed.where("bucket >= 0").select("bucket").distinct().collect()]
+            keyed = keyed.join(loaded_keys(batch.sparkSession, path, batch.schema, key, touched, number), ["bucket", key], "left_anti").select(*placed.columns)
+        out = keyed.unionByName(placed.where(F.col(key).isNull())).withColumn("batch", F.lit(number).cast("long"))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
     run_available(stream.writeStream.outputMode("append").foreachBatch(load), checkpoint)
     return path
 
 
-def stream_upsert(stream: DataFrame, keys: list[str], order: list[str], log: str, checkpoint: str) -> str:
-    """Collect changes per batch, the last one per key (first by ``order``); returns the change log.
+def loaded_keys(spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: list[int], before: int) -> DataFrame:
+    """(bucket, key) of the rows that earlier batches put into the given buckets."""
+    known = T.StructType([schema[key], T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    return spark.read.schema(known).parquet(path).where(F.col("bucket").isin(buckets) & (F.col("batch") < before)).select("bucket", key)
+
+
+def stream_upsert(stream: DataFrame, keys: list[str], order: list[str], log: str, checkpoint: str, buckets: int = changelog.BUCKETS,
+                  fanout: int = changelog.FANOUT) -> str:
+    """Collect changes per batch, the winning one per key (first by ``order``); returns the change log.
 
-    Only the changes are written. A batch that is run again overwrites its own part.
+    Only the changes are written, each batch as a run of the log; full levels of runs are merged
+    after each batch (``streaming.changelog``). A batch that is run again overwrites its own run.
     """
 
     def collect(batch: DataFrame, number: int) -> None:
-        last = top_per_key(batch, keys, order, 1).drop("_rn")
-        last.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        changelog.add_batch(batch, number, log, keys, order, buckets)
+        changelog.merge_runs(batch.sparkSession, log, keys, order, fanout)
 
     run_available(stream.writeStream.outputMode("append").foreachBatch(collect), checkpoint)
     return log
@@ -102,6 +127,5 @@ def upserted(target: DataFrame, log: str, keys: list[str], update: dict[str, Col
              insert: dict[str, Column] | None = None, order: list[str] = ()) -> DataFrame:
     """The target with the latest change per key merged in: the first by ``order``, as in
     ``stream_upsert``, whichever batch brought it, and of equal ones that of the last batch."""
-    changes = target.sparkSession.read.parquet(log)
-    latest = top_per_key(changes, keys, [*order, "-batch"], 1).drop("_rn", "batch")
-    return upsert(target, latest, keys, update, insert)
+    changes = changelog.latest_changes(target.sparkSession, log, keys, list(order))
+    return target if changes is None else upsert(target, changes, keys, update, insert)
