@@ -1,6 +1,6 @@
 """Token alignment between two tokenizers of the same texts.
 
-Both tokenizers run over the whole text, with a space before it. Where a token of each ends at
+Both tokenizers run over the whole text, with a space before it (what they say of a word is kept). Where a token of each ends at
 the same byte and a token that begins with a space follows in both, the text is cut: these
 anchors are verified shared ends, and between two of them lies a short window, mostly a word.
 What a window's ids say (its groups and links) is worked out once per pair of id tuples and kept.
@@ -15,7 +15,8 @@ move are pairs per block, not per document, and no block is larger than its text
 from __future__ import annotations
 
 import hashlib
-import json
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,11 @@ from dwops.session import stored
 BLOCK_BYTES = 8 << 20
 WINDOWS_KEPT = 400_000
 HIGH = 1 << 31
+WORDS_KEPT = 400_000
 SPACE = "▁"  # stands for a space in B's pieces
 
+_WORD = re.compile(" +[^ ]*")
+
 CODED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary, "
          "pairs array<long>, pair_docs array<int>")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -52,23 +56,37 @@ class Sides:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in pieces]
+        # No piece goes on behind a space, so B's merges stay inside a word with the spaces before it.
+        joined = any(SPACE in p.lstrip(SPACE) for _, p in pieces)
+        probe = " a  b,c  \n d"
+        self.by_word = not joined and b"".join([self.b_bytes[i] for i in self.b.encode(probe)]) == (" " + probe).encode()
+        self.kept: dict[str, bytes] = {" ": array("I", [self.b.piece_to_id(SPACE)]).tobytes()}
         self.a_sizes, self.b_sizes = ([len(t) for t in side] for side in (self.a_bytes, self.b_bytes))
         self.a_length, self.b_length = np.array(self.a_sizes, np.int64), np.array(self.b_sizes, np.int64)
         self.a_marked, self.b_marked = (np.array([t[:1] == b" " for t in side]) for side in (self.a_bytes, self.b_bytes))
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of both sides, or None where either side's bytes are not the text's."""
-        raw = (" " + text).encode()
-        a = np.frombuffer(self.a(" " + text), "<u4")
-        if b"".join([self.a_bytes[i] for i in a.tolist()]) != raw:
-            return None
-        b = self.b.encode(text)
-        if b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        return a, np.array(b, "<u4")
+    def b_ids(self, text: str) -> bytes:
+        """B's ids, 32 bits each; each word (and the spaces before it) is encoded once and kept."""
+        if not self.by_word or SPACE in text:
+            return array("I", self.b.encode(text)).tobytes()
+        words, kept = _WORD.findall(" " + text), self.kept
+        found = [kept.get(w) for w in words]
+        if None in found:
+            new = list({w for w, ids in zip(words, found) if ids is None})
+            if len(kept) + len(new) > WORDS_KEPT:
+                self.kept = kept = {" ": kept[" "]}
+                new = list(set(words) - {" "})
+            # The tokenizer puts a space before each text itself.
+            for word, ids in zip(new, self.b.encode([w[1:] for w in new], num_threads=1)):
+                kept[word] = array("I", ids).tobytes()
+            found = [kept[w] for w in words]
+        return b"".join(found)
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
-        """The id tuples of the windows: 32 bits an id, A's before B's, the latter with the highest bit set."""
+        """The id tuples of the windows: 32 bits an id, A's before B's, the latter with the highest bit set.
+
+        Ends are taken from the tokens' sizes; whether their bytes are the text's shows when the windows' are put together.
+        """
         a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
         a_cuts, b_cuts = a_ends[:-1][self.a_marked[a[1:]]], b_ends[:-1][self.b_marked[b[1:]]]
         anchors = np.intersect1d(a_cuts, b_cuts, assume_unique=True)
@@ -80,13 +98,16 @@ class Sides:
         raw, cuts = both.tobytes(), (4 * (a_at + b_at)).tolist()
         return [raw[s:e] for s, e in zip(cuts, cuts[1:])]
 
-    def align(self, window: bytes) -> tuple[str, int, list[int]]:
-        """Groups of one window as text, how many, and its links as pairs (A id in the upper 32 bits)."""
+    def align(self, window: bytes) -> tuple[bytes | None, str, int, list[int]]:
+        """A window's bytes (None where both sides differ), its groups as text, how many, and its links (A id in the upper 32 bits)."""
         ids = memoryview(window).cast("I").tolist()  # small, so plain lists
         a = [x for x in ids if x < HIGH]
         b = [x - HIGH for x in ids[len(a) :]]
+        own = b"".join([self.a_bytes[x] for x in a])
+        if not a or not b or own != b"".join([self.b_bytes[x] for x in b]):
+            return None, "", 0, []
         if len(a) == 1 or len(b) == 1:  # a token that covers the window meets all of the other side
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, [x << 32 | y for x in a for y in b]
+            return own, f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, [x << 32 | y for x in a for y in b]
         groups, links = [], []
         i = j = first_a = first_b = 0
         a_size, b_size = self.a_sizes, self.b_sizes
@@ -97,7 +118,7 @@ class Sides:
                 i, j = i + 1, j + 1
                 groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
                 if i == len(a):
-                    return ";".join(groups), len(groups), links
+                    return own, ";".join(groups), len(groups), links
                 first_a, first_b = i, j
                 a_end, b_end = a_end + a_size[a[i]], b_end + b_size[b[j]]
             elif a_end < b_end:
@@ -120,7 +141,8 @@ def _code(shared_a: Broadcast, shared_b: Broadcast, block_bytes: int):
         part, sequence = TaskContext.get().partitionId(), 0
         kept: dict[bytes, int] = {}
         known = kept.get
-        texts: list[str] = []           # of each kept window: its groups,
+        spelled: list[bytes | None] = []  # of each kept window: its bytes,
+        texts: list[str] = []           # its groups,
         n_groups: list[int] = []        # their number
         links: list[list[int]] = []     # and its links
         rows, seen, size = [], [], 0
@@ -152,38 +174,45 @@ def _code(shared_a: Broadcast, shared_b: Broadcast, block_bytes: int):
                  pa.array([pairs if f else None for f in first], pa.list_(pa.int64())), pa.array([docs_of if f else None for f in first], pa.list_(pa.int32()))],
                 names=["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "codes", "times", "pairs", "pair_docs"])
 
+        def coded(text: str) -> tuple[int, int, list[int]] | None:
+            """Numbers of A and B tokens and the windows' codes, or None where either side's bytes are not the text's."""
+            a, b = np.frombuffer(both.a(" " + text), "<u4"), np.frombuffer(both.b_ids(text), "<u4")
+            if not len(a) or not len(b):
+                return None
+            windows = both.windows(a, b)
+            codes = [known(w) for w in windows]
+            if None in codes:
+                for k, code in enumerate(codes):
+                    if code is None:
+                        code = known(windows[k])
+                        if code is None:
+                            code = kept[windows[k]] = len(texts)
+                            for column, value in zip((spelled, texts, n_groups, links), both.align(windows[k])):
+                                column.append(value)
+                        codes[k] = code
+            own = [spelled[c] for c in codes]
+            return (len(a), len(b), codes) if None not in own and b"".join(own) == (" " + text).encode() else None
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
-                found = both.tokens(text) if text else None
+                found = coded(text) if text else None
                 if found is None:
                     rows.append((doc_id, 0, 0, 0, 0, "", 0))
                 else:
-                    a, b = found
-                    windows = both.windows(a, b)
-                    codes = [known(w) for w in windows]
-                    if None in codes:
-                        for k, code in enumerate(codes):
-                            if code is None:
-                                code = known(windows[k])
-                                if code is None:
-                                    code = kept[windows[k]] = len(texts)
-                                    groups, n, own = both.align(windows[k])
-                                    texts.append(groups)
-                                    n_groups.append(n)
-                                    links.append(own)
-                                codes[k] = code
+                    n_a, n_b, codes = found
                     total = sum([n_groups[c] for c in codes])
                     digest = hashlib.sha256(";".join([texts[c] for c in codes]).encode()).hexdigest()
-                    rows.append((doc_id, len(a), len(b), total, len(a) + len(b) - total, digest, len(codes)))
+                    rows.append((doc_id, n_a, n_b, total, n_a + n_b - total, digest, len(codes)))
                     seen.append(np.array(codes, np.int64))
                 size += len(text) + 64
                 if size >= block_bytes:
                     yield close()
                     sequence, rows, seen, size = sequence + 1, [], [], 0
                     if len(kept) > WINDOWS_KEPT:  # only here, as an open block refers to them
-                        kept, texts, n_groups, links = {}, [], [], []
-                        known = kept.get
+                        kept.clear()
+                        for column in (spelled, texts, n_groups, links):
+                            column.clear()
         if rows:
             yield close()
 

@@ -110,3 +110,15 @@ def test_empty_table_and_id_map(spark, tokenizers):
 def test_query_against_brute_force(spark, tokenizers):
     rows = [(r["doc_id"], r["text"]) for r in load(spark, SF, "documents").collect()]
     assert got(QUERIES["op11_token_alignment"](spark, SF)) == brute(tokenizers, rows)
+
+
+def test_ids_of_kept_words_are_the_tokenizers(tokenizers):
+    import random
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        sides = alignment.Sides(a.read(), b.read())
+    assert sides.by_word
+    draw = random.Random(11)
+    for _ in range(5000):
+        text = "".join(draw.choice(["the", "in", "a", "b", " ", " ", "  ", "\n", "\t", "é", "中", "▁", "1", "23", ".", ",", "\0", "<s>"]) for _ in range(draw.randint(0, 14)))
+        assert list(memoryview(sides.b_ids(text)).cast("I")) == (tokenizers[1].encode(text) if text else sides.b.encode("") or [sides.b.piece_to_id("▁")]), repr(text)
