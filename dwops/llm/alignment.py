@@ -18,6 +18,7 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,8 @@ class Sides:
         probe = " a  b,c  \n d"
         self.by_word = not joined and b"".join([self.b_bytes[i] for i in self.b.encode(probe)]) == (" " + probe).encode()
         self.kept: dict[str, bytes] = {" ": array("I", [self.b.piece_to_id(SPACE)]).tobytes()}
-        self.a_sizes, self.b_sizes = ([len(t) for t in side] for side in (self.a_bytes, self.b_bytes))
-        self.a_length, self.b_length = np.array(self.a_sizes, np.int64), np.array(self.b_sizes, np.int64)
+        self.digits = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        self.a_length, self.b_length = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.a_marked, self.b_marked = (np.array([t[:1] == b" " for t in side]) for side in (self.a_bytes, self.b_bytes))
 
     def b_ids(self, text: str) -> bytes:
@@ -76,9 +77,18 @@ class Sides:
             if len(kept) + len(new) > WORDS_KEPT:
                 self.kept = kept = {" ": kept[" "]}
                 new = list(set(words) - {" "})
-            # The tokenizer puts a space before each text itself.
-            for word, ids in zip(new, self.b.encode([w[1:] for w in new], num_threads=1)):
-                kept[word] = array("I", ids).tobytes()
+            # Words after one space go through the tokenizer together; each begins with the one token that holds a space.
+            plain = [w for w in new if len(w) > 1 and w[1] != " "]
+            ids = np.array(self.b.encode("".join(plain)[1:]), "<u4")
+            starts = np.flatnonzero(self.b_marked[ids]).tolist() if plain else []
+            if len(starts) != len(plain):
+                plain, starts = [], []
+            raw = ids.tobytes()
+            for word, start, end in zip(plain, starts, [*starts[1:], len(ids)]):
+                kept[word] = raw[4 * start : 4 * end]
+            for word in new:
+                if word not in kept:  # the tokenizer puts a space before each text itself
+                    kept[word] = array("I", self.b.encode(word[1:])).tobytes()
             found = [kept[w] for w in words]
         return b"".join(found)
 
@@ -103,30 +113,26 @@ class Sides:
         ids = memoryview(window).cast("I").tolist()  # small, so plain lists
         a = [x for x in ids if x < HIGH]
         b = [x - HIGH for x in ids[len(a) :]]
-        own = b"".join([self.a_bytes[x] for x in a])
-        if not a or not b or own != b"".join([self.b_bytes[x] for x in b]):
+        a_tokens, b_tokens = [self.a_bytes[x] for x in a], [self.b_bytes[x] for x in b]
+        own = b"".join(a_tokens)
+        if not a or not b or own != b"".join(b_tokens):
             return None, "", 0, []
+        digits = self.digits
+        a_text, b_text = [digits[x] for x in a], [digits[y] for y in b]
         if len(a) == 1 or len(b) == 1:  # a token that covers the window meets all of the other side
-            return own, f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1, [x << 32 | y for x in a for y in b]
-        groups, links = [], []
-        i = j = first_a = first_b = 0
-        a_size, b_size = self.a_sizes, self.b_sizes
-        a_end, b_end = a_size[a[0]], b_size[b[0]]
-        while True:
+            return own, ",".join(a_text) + "|" + ",".join(b_text), 1, [x << 32 | y for x in a for y in b]
+        a_ends, b_ends = list(accumulate(map(len, a_tokens))), list(accumulate(map(len, b_tokens)))
+        shared = set(a_ends).intersection(b_ends)
+        # Between two neighbouring ends of either side lies one link.
+        groups, links, i, j, first_a, first_b = [], [], 0, 0, 0, 0
+        for end in sorted({*a_ends, *b_ends}):
             links.append(a[i] << 32 | b[j])
-            if a_end == b_end:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                if i == len(a):
-                    return own, ";".join(groups), len(groups), links
+            i += a_ends[i] == end
+            j += b_ends[j] == end
+            if end in shared:
+                groups.append(",".join(a_text[first_a:i]) + "|" + ",".join(b_text[first_b:j]))
                 first_a, first_b = i, j
-                a_end, b_end = a_end + a_size[a[i]], b_end + b_size[b[j]]
-            elif a_end < b_end:
-                i += 1
-                a_end += a_size[a[i]]
-            else:
-                j += 1
-                b_end += b_size[b[j]]
+        return own, ";".join(groups), len(groups), links
 
 
 def sides(shared_a: Broadcast, shared_b: Broadcast) -> Sides:
