@@ -169,6 +169,12 @@ def date_diff(a: str | Column, b: str | Column, mode: str = "days") -> Column:
     raise ValueError(f"unknown mode {mode!r}")
 
 
+def date_series(lo: str | Column, hi: str | Column, step: str = "1 day") -> Column:
+    """All dates from ``lo`` to ``hi`` by ``step``, as an array; NULL where an end is missing or ``hi`` comes first."""
+    first, last = col(lo).cast("date"), col(hi).cast("date")
+    return F.when(first <= last, F.sequence(first, last, F.expr(f"interval {step}")))
+
+
 def months_apart(a: str | Column, b: str | Column) -> Column:
     """Whole calendar months from a to b (12 * years + months)."""
     return (12 * (F.year(col(b)) - F.year(col(a))) + F.month(col(b)) - F.month(col(a))).cast("long")
@@ -198,8 +204,9 @@ def json_contains(c: str | Column, path: str, value) -> Column:
     return F.coalesce(F.get_json_object(col(c), path) == F.lit(str(value)), F.lit(False))
 
 
-def row_json(*cols: str) -> Column:
-    return F.to_json(F.struct(*cols))
+def row_json(*cols: str, keep_null: bool = False) -> Column:
+    """The row as JSON; NULL fields are left out unless ``keep_null``."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": str(not keep_null).lower()})
 
 
 def array_contains_all(arr: str | Column, values: list) -> Column:

@@ -7,6 +7,8 @@ import re
 
 from pyspark.sql import DataFrame, functions as F
 
+from dwops.session import stored
+
 # Column endings that mark a key.
 KEY_ENDINGS = ("_ID", "_KEY", "_CODE")
 REFERENCE_ENDINGS = ("_ID", "_CODE", "_KEY", "_NO", "_NUM")
@@ -49,6 +51,56 @@ def propose_joins(columns: dict[str, list[str]], normalise: bool = True) -> list
     return found
 
 
+def naming_hints(columns: dict[str, list[str]]) -> list[tuple]:
+    """References that a column's name suggests: (table, column, referenced table, its column, NAMING_CONVENTION, MEDIUM).
+
+    A column that ends like a key refers to every other table whose name holds what comes before
+    the ending: to its column named by the ending alone, by its own name and the ending, or like
+    the column itself, the first of these that it has. Works on names, not on data.
+    """
+    upper = {t: {c.upper(): c for c in cols} for t, cols in columns.items()}
+    found = []
+    for table, names in upper.items():
+        for name, column in names.items():
+            ending = next((e for e in REFERENCE_ENDINGS if name.endswith(e)), None)
+            prefix = name.removesuffix(ending or "")
+            if not ending or not prefix or prefix == table.upper():
+                continue
+            for other, theirs in upper.items():
+                if other == table or prefix not in other.upper():
+                    continue
+                target = next((k for k in (ending[1:], f"{other.upper()}{ending}", name) if k in theirs), None)
+                if target:
+                    found.append((table, column, other, theirs[target], "NAMING_CONVENTION", "MEDIUM"))
+    return found
+
+
+def contained_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """All pairs of columns, whatever their names, where every value of the one occurs in the other.
+
+    A theta sketch per column keeps its values with the smallest hashes. Where the sketches say
+    that a value of A is not in B, the pair is dropped; a sketch never says so of a pair that holds, so
+    none is lost. The rest, usually few of the many pairs, is measured on the data. Columns
+    without values are in nothing. Returns table1, column1 (contained) and table2, column2 (containing),
+    their distinct values, row counts and whether the containing column is unique.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    wanted = {(t, c) for t, df in tables.items() for c in df.columns}
+    # One row a column of the schema.
+    sketches = stored(column_values(tables, wanted).groupBy("tbl", "col").agg(F.theta_sketch_agg("value").alias("sketch")))
+    places = spark.createDataFrame([(*a, *b) for a in sorted(wanted) for b in sorted(wanted) if a != b], "table1 string, column1 string, table2 string, column2 string")
+    side = lambda n: sketches.withColumnsRenamed({"tbl": f"table{n}", "col": f"column{n}", "sketch": f"sketch{n}"})
+    pairs = places.join(side(1), ["table1", "column1"]).join(side(2), ["table2", "column2"])
+    open_pairs = pairs.where(F.theta_sketch_estimate(F.theta_difference("sketch1", "sketch2")) == 0).select("table1", "column1", "table2", "column2").collect()
+    if not open_pairs:
+        return measure_pairs(tables, [(*sorted(wanted)[0], *sorted(wanted)[0], "VALUES", "HIGH")]).where(F.lit(False)).select(*CONTAINED)
+    measured = measure_pairs(tables, [(*r, "VALUES", "HIGH") for r in open_pairs])
+    return measured.where("matched_rows1 = rows1 and rows1 > 0").select(*CONTAINED)
+
+
+CONTAINED = ["table1", "column1", "table2", "column2", "distinct1", "distinct2", "rows1", "rows2", "unique2"]
+
+
 # Values up to this length are compared as they are, longer ones by their hash.
 PLAIN_LENGTH = 32
 

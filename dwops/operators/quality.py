@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from dwops.functions.values import pct
 from dwops.operators.relational import top_per_key
 from dwops.plans.keyed import spread
+from dwops.session import stored, stored_counted
 
 # Types whose lowest and highest values say nothing.
 NO_MIN_MAX = (T.BinaryType, T.ArrayType, T.MapType, T.StructType, T.VariantType)
@@ -86,12 +87,15 @@ def delete_impact(parent: DataFrame, name: str, steps: list[tuple[str, DataFrame
 
     ``steps``: (table name, child table, its foreign key, the key of the table above).
     """
-    doomed, parts = parent, [(name, parent)]
-    for table, child, fk, key in steps:
-        doomed = child.join(doomed.select(F.col(key).alias("_key")), F.col(fk) == F.col("_key"), "left_semi")
-        parts.append((table, doomed))
-    counts = [df.agg(F.count(F.lit(1)).alias("rows_deleted")).withColumn("table_name", F.lit(t)) for t, df in parts]
-    return reduce(DataFrame.unionByName, counts)
+    # Of each table the rows to go are found once and written with the key that the next step asks for alone.
+    keys = [key for *_, key in steps] + [None]
+    kept = lambda df, key: df.select(F.col(key).alias("_key") if key else F.lit(True).alias("_key"))
+    doomed, n = stored_counted(kept(parent, keys[0]))
+    counts = [(n, name)]
+    for (table, child, fk, _), key in zip(steps, keys[1:]):
+        doomed, n = stored_counted(kept(child.join(doomed, F.col(fk) == F.col("_key"), "left_semi"), key))
+        counts.append((n, table))
+    return parent.sparkSession.createDataFrame(counts, "rows_deleted long, table_name string")
 
 
 def _rows_of(one: DataFrame, structs: list[Column]) -> DataFrame:
@@ -185,7 +189,8 @@ def probe_stages(stages: list[tuple[str, DataFrame]], columns: list[str]) -> Dat
     broken = F.col("rows") == 0
     for c in columns:
         broken = broken | F.coalesce(F.col(f"{c}_non_null") == 0, F.lit(False))
-    marked = all_stages.withColumn("_broken", broken)
+    # A row a stage, read twice below: stored, so that the stages run once.
+    marked = stored(all_stages.withColumn("_broken", broken))
     first = marked.agg(F.min(F.when(F.col("_broken"), F.col("step"))).alias("s")).scalar()
     return marked.withColumn("at_fault", F.coalesce(F.col("step") == first, F.lit(False))).drop("_broken")
 

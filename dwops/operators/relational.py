@@ -5,11 +5,12 @@ from __future__ import annotations
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from dwops.functions.values import amount_avg, amount_total, exact_avg, exact_sum, month_of, months_apart, pct, total
 from dwops.plans.keyed import join_on_same, with_group_values
 from dwops.plans.ordered import scan_groups, sort_columns
+from dwops.session import stored
 
 # --- filters and projections -----------------------------------------------
 
@@ -149,19 +150,34 @@ def prefiltered_join(a, condition_a: Column, b, condition_b: Column, on) -> Data
     return a.where(condition_a).join(b.where(condition_b), on)
 
 
-# Rows above which a requested broadcast falls back to a merge join.
+# Rows and bytes above which a requested broadcast falls back to a merge join.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 256 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts by their length, nested values by their JSON, all else 8."""
+    def size(field: T.StructField) -> Column:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(field.name), F.lit(0))
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.length(F.to_json(F.struct(field.name))), F.lit(0))
+        return F.lit(8)
+
+    return reduce(lambda a, b: a + b, [size(f).cast("long") for f in df.schema])
 
 
 def hinted_join(a: DataFrame, b: DataFrame, on, strategy: str, how: str = "inner") -> DataFrame:
     """Join with a chosen strategy: ``merge``, ``shuffle_hash`` or ``broadcast``.
 
-    A broadcast is honoured only after counting that the right side is small.
+    A broadcast is honoured only after measuring that the right side is small, in rows and in bytes.
     """
     if strategy not in ("merge", "shuffle_hash", "broadcast"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    if strategy == "broadcast" and b.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        strategy = "merge"
+    if strategy == "broadcast":
+        rows, size = b.select(row_bytes(b).alias("_b")).limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum("_b")).first()
+        if rows > BROADCAST_ROWS or (size or 0) > BROADCAST_BYTES:
+            strategy = "merge"
     return a.join(b.hint(strategy), on, how)
 
 
@@ -201,13 +217,22 @@ def unpivot(df: DataFrame, ids: list[str], columns: list[str], name: str, value:
     return df.unpivot(ids, columns, name, value).where(F.col(value) > 0)
 
 
-def string_agg(df: DataFrame, keys: list[str], column: str, sep: str = ", ") -> DataFrame:
-    """Distinct values of a group joined in order; meant for small value domains.
+# The longest string that is built for one group.
+STRING_BYTES = 64 << 20
+
+
+def string_agg(df: DataFrame, keys: list[str], column: str, sep: str = ", ", most: int = STRING_BYTES) -> DataFrame:
+    """Distinct values of a group joined in order; a group whose string would take over ``most`` bytes is an error, as in LISTAGG.
 
-    Duplicates go before the strings are built, so a frequent value travels once.
+    Duplicates go before the strings are built, so a frequent value travels once, and lengths
+    are added up before any value is gathered.
     """
+    values = stored(df.select(*keys, column).distinct())
+    length = F.sum(F.octet_length(F.col(column).cast("string")) + len(sep.encode()))
+    if not values.groupBy(*keys).agg(length.alias("_b")).where(F.col("_b") > most).isEmpty():
+        raise ValueError(f"a group's string takes over {most} bytes")
     return (
-        df.select(*keys, column).distinct().groupBy(*keys)
+        values.groupBy(*keys)
         .agg(F.array_join(F.sort_array(F.collect_list(column)), sep).alias("members"))
     )
 

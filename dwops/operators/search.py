@@ -53,6 +53,40 @@ def search_objects(df: DataFrame, key: str, text: str, a: str | None, b: str | N
     return kept.orderBy(key).limit(limit) if limit else kept
 
 
+def search_sources(source: DataFrame, keys: list[str], line: str, text: str, a: str | None, b: str | None, regex: bool = False,
+                   within: dict[str, list] | None = None, limit: int | None = None, keep_lines: int | None = 100) -> DataFrame:
+    """Objects of a source table (one row a line) with a line for each given term: keys, match_count, matching_lines.
+
+    ``keys`` name an object (owner, name and type, say), ``within`` holds allowed values of some
+    of them. Lines matching either term count; their first ``keep_lines`` numbers are listed.
+    Rows of NULL keys form objects like others. Matching lines are few, so they are what is grouped.
+    """
+    terms = [t for t in (a, b) if t]
+    if not terms:
+        raise ValueError("give at least one term")
+    chosen = source
+    for name, allowed in (within or {}).items():
+        chosen = chosen.where(F.col(name).isin(list(allowed)))
+    flags = {f"_m{i}": matches(text, t, regex) for i, t in enumerate(terms)}
+    hits = chosen.select(*keys, line, *[c.alias(n) for n, c in flags.items()]).where(any_of([F.col(f) for f in flags]))
+    counted = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("match_count"), *[F.max(f).alias(f) for f in flags])
+    found = counted.where(reduce(lambda x, y: x & y, [F.col(f) for f in flags])).select(*keys, "match_count")
+    if limit:
+        found = found.orderBy(*keys).limit(limit)
+    # Only the lines to be listed are gathered.
+    first = top_per_key(join_on_same(hits.select(*keys, line), found.select(*keys), keys, "left_semi"), keys, [line], keep_lines) if keep_lines else hits
+    listed = first.groupBy(*keys).agg(F.sort_array(F.collect_list(line)).alias("matching_lines"))
+    return join_on_same(found, listed, keys, "left")
+
+
+def source_of(source: DataFrame, objects: DataFrame, keys: list[str], line: str, text: str, limit_lines: int = 0) -> DataFrame:
+    """The lines (right-trimmed) of the found objects with their match counts; 0 = all lines of each."""
+    kept = source.where(F.col(line) <= limit_lines) if limit_lines > 0 else source
+    found = objects.select(*keys, "match_count", "matching_lines")
+    met = join_on_same(kept.select(*keys, line, F.rtrim(text).alias(text)), found, keys, "inner")
+    return met.select(*keys, "match_count", "matching_lines", line, text)
+
+
 def fetch_objects(df: DataFrame, key: str, text: str, names: list | DataFrame, owner: str | None = None,
                   owners: list | None = None, limit_lines: int = 0) -> DataFrame:
     """Lines of the documents of the given names, optionally of given owners; 0 = all lines.
@@ -89,6 +123,21 @@ def search_cells(df: DataFrame, table: str, key: str, pattern: str, regex: bool
     return out.where(matches("cell", pattern, regex))
 
 
+def search_headers(df: DataFrame, table: str, pattern: str, regex: bool = True) -> DataFrame:
+    """Column names that match: table_name, field, position (from 0), context. Works on the schema alone."""
+    names = df.sparkSession.createDataFrame([(table, c, i) for i, c in enumerate(df.columns)], "table_name string, field string, position int")
+    context = F.concat(F.lit("Header ["), F.col("position").cast("string"), F.lit("]: "), F.col("field"))
+    return names.withColumn("context", context).where(matches("field", pattern, regex))
+
+
+def search_table(df: DataFrame, table: str, key: str, pattern: str, regex: bool = True) -> DataFrame:
+    """Header and cell hits of a table together: table_name, matched_field (header or cell), row_key, field, cell, context."""
+    headers = search_headers(df, table, pattern, regex).select(
+        "table_name", F.lit("header").alias("matched_field"), F.lit(None).cast("string").alias("row_key"), "field", F.col("field").alias("cell"), "context")
+    cells = search_cells(df, table, key, pattern, regex).select("table_name", F.lit("cell").alias("matched_field"), "row_key", "field", "cell", "context")
+    return headers.unionByName(cells)
+
+
 # Length of the term start that is looked up in the texts.
 GRAM = 3
 # Number of terms up to which every text is simply tested for each of them.

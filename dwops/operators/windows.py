@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from dwops.functions.values import amount_total, exact_avg, exact_sum, micros, money_total
+from dwops.functions.values import amount_total, date_series, exact_avg, exact_sum, micros, money_total
 from dwops.operators.relational import top_per_key
 from dwops.plans.keyed import join_on_same, with_group_values
 from dwops.plans.ordered import (
@@ -257,7 +257,7 @@ def yoy_lag(df: DataFrame, month: str, value: str, n: int = 12) -> DataFrame:
     """Value ``n`` months earlier. ``df`` has one row per month; missing months are filled
     in first so that the row ``n`` back is the month ``n`` back."""
     bounds = df.agg(F.min(month).alias("lo"), F.max(month).alias("hi"))
-    months = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias(month))
+    months = bounds.select(F.explode(date_series("lo", "hi", "1 month")).alias(month))
     w = Window.partitionBy().orderBy(month)
     full = months.join(df, month, "left")
     return full.withColumn("previous_value", F.lag(value, n).over(w))
@@ -306,7 +306,7 @@ def fill_dates(df: DataFrame, day: str, value: str, before: int = 6, lo: str | N
     """
     edge = lambda given, found: F.lit(given).cast("date") if given else found(F.col(day).cast("date"))
     bounds = df.agg(edge(lo, F.min).alias("lo"), edge(hi, F.max).alias("hi"))
-    days = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 day"))).alias(day))
+    days = bounds.select(F.explode(date_series("lo", "hi")).alias(day))
     w = Window.partitionBy().orderBy(day).rowsBetween(-before, 0)
     mean = F.sum(value).over(w).cast("double") / F.count(value).over(w)
     joined = days.join(df.select(day, value), day, "left").withColumn("ma_7day", mean)

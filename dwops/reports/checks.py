@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, functions as F
 
-from dwops.operators import quality
+from dwops.operators import dependencies, quality
 from dwops.reports import inputs
 from dwops.reports.registry import Tables, report
 from dwops.reports.sql import CUST_VERSIONS, ORDERS_NULL
+from dwops.session import stored
 
 
 def _profile_sql(source: str, columns: dict[str, str]) -> str:
@@ -101,6 +103,28 @@ def fd_matrix(t: Tables) -> DataFrame:
     return quality.find_fds(t.part, FD_COLUMNS)
 
 
+FLAT_COLUMNS = ["c_custkey", "c_mktsegment", "n_nationkey", "n_name", "n_regionkey", "r_name"]
+_SETS = [s for n in range(1, 5) for s in combinations(FLAT_COLUMNS, n)]
+# Distinct values of every set of up to four columns; the rest is set algebra over that list.
+LATTICE_SQL = f"""with flat as (select {', '.join(FLAT_COLUMNS)} from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+sizes as ({' union all '.join(f"select [{', '.join(repr(c) for c in s)}] as cols, count(distinct ({', '.join(s)}, 0)) as n from flat" for s in _SETS)}),
+keys as (select cols from sizes where n = (select count(*) from flat) and not exists (
+  select 1 from sizes k where len(k.cols) < len(sizes.cols) and list_has_all(sizes.cols, k.cols) and k.n = (select count(*) from flat))),
+fds as (select x.cols as lhs, list_filter(y.cols, lambda c: not list_contains(x.cols, c))[1] as rhs from sizes x join sizes y
+  on len(x.cols) <= 3 and len(y.cols) = len(x.cols) + 1 and list_has_all(y.cols, x.cols) and x.n = y.n),
+minimal as (select * from fds where not exists (select 1 from fds f where f.rhs = fds.rhs and len(f.lhs) < len(fds.lhs) and list_has_all(fds.lhs, f.lhs)))
+select array_to_string(list_sort(lhs), ',') as determinant, rhs as dependent,
+  case when exists (select 1 from keys where list_has_all(cols, lhs) and len(cols) = len(lhs)) then 'key' when exists (select 1 from keys where list_contains(cols, rhs)) then 'prime'
+    when exists (select 1 from keys where list_has_all(cols, lhs)) then 'partial' else 'transitive' end as kind from minimal"""
+
+
+@report("fd_lattice", LATTICE_SQL)
+def fd_lattice(t: Tables) -> DataFrame:
+    """Minimal dependencies of the flat customer table: customer -> nation -> region is transitive."""
+    flat = t("customer", "c_custkey", "c_mktsegment", "c_nationkey").join(t.nation, F.expr("c_nationkey = n_nationkey")).join(t.region, F.expr("n_regionkey = r_regionkey"))
+    return dependencies.find_dependencies(flat, FLAT_COLUMNS)
+
+
 @report("decompose", """
 with flat as (select c_custkey, n_nationkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
 select 'flat' as part, count(*) as num_rows from flat union all select 'base', count(*) from flat
@@ -108,6 +132,7 @@ union all select 'lookup', count(*) from (select distinct n_nationkey, n_name, r
 def decompose(t: Tables) -> DataFrame:
     flat = t("customer", "c_custkey", "c_nationkey").join(t.nation, F.expr("c_nationkey = n_nationkey")).join(t.region, F.expr("n_regionkey = r_regionkey")).select(
         "c_custkey", "n_nationkey", "n_name", "r_name")
+    flat = stored(flat)  # counted and compared below
     base, lookup = quality.decompose(flat, ["n_nationkey"], ["n_name", "r_name"])
     back = base.join(lookup, "n_nationkey").select(*flat.columns).intersect(flat)
     sizes = {"flat": flat, "base": base, "lookup": lookup, "rejoined_equal": back}

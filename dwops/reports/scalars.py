@@ -100,3 +100,16 @@ def changed_rows(t: Tables) -> DataFrame:
     new = docs.where("source <> 'src3'").select("doc_id", revised.alias("text")).unionByName(
         t.benchmark.select((F.col("item_id") + first_free).alias("doc_id"), "text"))
     return loading.changed_rows(docs, new, "doc_id", "text")
+
+
+@report("row_json", f"with {ORDERS_NULL} select o_orderkey, cast(to_json({{'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority}}) as varchar) as row_json from orders_null")
+def row_json(t: Tables) -> DataFrame:
+    return inputs.orders_null(t).select("o_orderkey", v.row_json("o_orderkey", "o_orderstatus", "o_orderpriority", keep_null=True).alias("row_json"))
+
+
+@report("date_series", """select c_custkey, unnest(generate_series(date_trunc('month', lo), hi, interval 1 month))::date as month
+from (select o_custkey as c_custkey, min(o_orderdate) as lo, max(o_orderdate) as hi from orders group by 1)""")
+def date_series(t: Tables) -> DataFrame:
+    """Every month from a customer's first order to the last."""
+    spans = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min(v.month_of("o_orderdate")).alias("lo"), F.max("o_orderdate").alias("hi"))
+    return spans.select("c_custkey", F.explode(v.date_series("lo", "hi", "1 month")).alias("month"))

@@ -64,6 +64,46 @@ def inclusion_deps(t: Tables) -> DataFrame:
     return discovery.inclusion_deps(_star(t), discovery.propose_joins(STAR))
 
 
+def _cells(tables: dict[str, list[str]]) -> str:
+    return " union all ".join(f"select '{t}' as tbl, '{c}' as col, cast({c} as varchar) as value, count(*) as cnt from {t} where {c} is not null group by 3" for t, cols in tables.items() for c in cols)
+
+
+# Columns of unlike names, numbers and texts.
+MIXED = {n: STAR[n] for n in ("nation", "customer", "supplier", "part", "orders", "labels")} | {"documents": ["doc_id", "lang", "source", "n_chars"]}
+
+
+@report("contained_columns", f"""with cells as ({_cells(MIXED)}),
+sizes as (select tbl, col, count(*) as n, cast(sum(cnt) as bigint) as num_rows, max(cnt) = 1 as is_unique from cells group by 1, 2),
+common as (select a.tbl as table1, a.col as column1, b.tbl as table2, b.col as column2, count(*) as n from cells a join cells b on a.value = b.value and (a.tbl, a.col) <> (b.tbl, b.col) group by 1, 2, 3, 4)
+select table1, column1, table2, column2, x.n as distinct1, y.n as distinct2, x.num_rows as rows1, y.num_rows as rows2, y.is_unique as unique2
+from common join sizes x on x.tbl = table1 and x.col = column1 join sizes y on y.tbl = table2 and y.col = column2 where common.n = x.n""")
+def contained_columns(t: Tables) -> DataFrame:
+    """Every column all of whose values occur in another one, whatever the names."""
+    return discovery.contained_columns({name: t(name, *columns) for name, columns in MIXED.items()})
+
+
+# Tables whose key columns are named after the tables they refer to.
+TEXTS = {n: STAR[n] for n in ("documents", "labels", "conversations", "benchmark")}
+
+
+@report("naming_joins", f"""with cells as ({_cells(TEXTS)}),
+cols as (select distinct tbl, upper(col) as name, col, regexp_extract(upper(col), '_(ID|CODE|KEY|NO|NUM)$', 1) as ending from cells),
+hints as (
+  select x.tbl as table1, x.col as column1, y.tbl as table2, y.col as column2 from cols x join cols y
+    on x.ending <> '' and x.tbl <> y.tbl and contains(upper(y.tbl), left(x.name, length(x.name) - length(x.ending) - 1)) and length(x.name) > length(x.ending) + 1
+    and left(x.name, length(x.name) - length(x.ending) - 1) <> upper(x.tbl)
+  where y.name in (x.ending, upper(y.tbl) || '_' || x.ending, x.name)
+  qualify row_number() over (partition by x.tbl, x.col, y.tbl order by case y.name when x.ending then 1 when upper(y.tbl) || '_' || x.ending then 2 else 3 end) = 1)
+select table1, column1, table2, column2,
+  (select count(*) from cells a join cells b on a.value = b.value where a.tbl = table1 and a.col = column1 and b.tbl = table2 and b.col = column2) as common_values,
+  (select count(*) from cells where tbl = table1 and col = column1) as distinct1, (select max(cnt) = 1 from cells where tbl = table2 and col = column2) as unique2 from hints""")
+def naming_joins(t: Tables) -> DataFrame:
+    """References that names suggest, measured: a label's doc_id names the table of documents."""
+    tables = {name: t(name, *columns) for name, columns in TEXTS.items()}
+    found = discovery.measure_pairs(tables, discovery.naming_hints(TEXTS))
+    return found.select("table1", "column1", "table2", "column2", "common_values", "distinct1", "unique2")
+
+
 LINES = "lines as (select doc_id, source, unnest(string_split(text, chr(10))) as line_text, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from documents)"
 
 
@@ -86,6 +126,21 @@ def search_objects(t: Tables) -> DataFrame:
     return search.search_objects(t.documents, "doc_id", "text", "MAIL", "THE")
 
 
+@report("search_sources", """
+with source as (select source as owner, lang as type, doc_id as name, unnest(string_split(text, chr(10))) as text, unnest(generate_series(1, len(string_split(text, chr(10))))) as line from documents),
+hits as (select *, contains(lower(text), 'mail') as a, contains(lower(text), 'the') as b from source where owner in ('src0', 'src3', 'src7') and type = 'en'),
+kept as (select owner, type, name, count(*) as match_count, list_slice(list_sort(list(line)), 1, 100) as lines from hits where a or b group by 1, 2, 3 having bool_or(a) and bool_or(b))
+select s.owner, s.type, s.name, match_count, array_to_string(lines, ',') as matching_lines, line, rtrim(s.text, ' ') as text
+from source s join kept k on s.owner = k.owner and s.type = k.type and s.name = k.name""")
+def search_sources(t: Tables) -> DataFrame:
+    """Whole source of the objects of three owners and one type that hold both terms."""
+    lines = search.lines_of(t.documents.select(F.struct("source", "lang", "doc_id").alias("k"), "text"), "k", "text")
+    source = lines.select(F.col("k.source").alias("owner"), F.col("k.lang").alias("type"), F.col("k.doc_id").alias("name"), "line", F.col("line_text").alias("text"))
+    keys = ["owner", "type", "name"]
+    objects = search.search_sources(source, keys, "line", "text", "MAIL", "The", within={"owner": ["src0", "src3", "src7"], "type": ["en"]})
+    return search.source_of(source, objects, keys, "line", "text").withColumn("matching_lines", F.array_join(F.col("matching_lines").cast("array<string>"), ","))
+
+
 @report("fetch_objects", f"""with {LINES}
 select doc_id, cast(line as bigint) as line, line_text from lines
 where doc_id in (select doc_id from labels where quality = 1) and source in ('src1', 'src2', 'src3')""")
@@ -119,6 +174,19 @@ def search_cells(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, [search.search_cells(t(n, *c), n, k, "asia|7") for n, (k, c) in CELLS.items()])
 
 
+def _table_sql(table: str, key: str, columns: list[str], pattern: str) -> str:
+    headers = ", ".join(f"('{c}', {i})" for i, c in enumerate(columns))
+    return f"""select '{table}' as table_name, 'header' as matched_field, cast(null as varchar) as row_key, h as field, h as cell, 'Header [' || i || ']: ' || h as context
+from (select h, i from (values {headers}) v(h, i), (select 1 from {table} limit 1)) where regexp_matches(h, '(?i){pattern}')
+union all select table_name, 'cell', row_key, field, cell, context from ({_cells_sql(table, key, columns, pattern)})"""
+
+
+@report("search_table", " union all ".join(_table_sql(t, k, c, "name|asia|19") for t, (k, c) in CELLS.items()))
+def search_table(t: Tables) -> DataFrame:
+    """Column names and cells that match, with the row around a cell."""
+    return reduce(DataFrame.unionByName, [search.search_table(t(n, *c), n, k, "name|asia|19") for n, (k, c) in CELLS.items()])
+
+
 TERMS_SQL = "terms as (select word as term, count(*) as uses from (select unnest(string_split(p_name, ' ')) as word from part union all select p_name from part) group by 1)"
 
 
