@@ -15,6 +15,7 @@ move are pairs per block, not per document, and no block is larger than its text
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -35,7 +36,8 @@ HIGH = 1 << 31
 WORDS_KEPT = 400_000
 SPACE = "▁"  # stands for a space in B's pieces
 
-_WORD = re.compile(" +[^ ]*")
+# Texts in which a space is not alone between words, or that hold B's sign for it, go through the tokenizers whole.
+_APART = re.compile(f"\\s \\s|  |^ | $|{SPACE}")
 
 CODED = ("block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary, "
          "pairs array<long>, pair_docs array<int>")
@@ -57,40 +59,42 @@ class Sides:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in pieces]
-        # No piece goes on behind a space, so B's merges stay inside a word with the spaces before it.
+        # Neither tokenizer joins anything across a space that stands alone: A cuts before it, and no piece of B goes on behind a space.
+        file = json.loads(self.a.tokenizer.to_str())
+        cut = file.get("normalizer") is None and (file.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and file["pre_tokenizer"].get("use_regex", True)
         joined = any(SPACE in p.lstrip(SPACE) for _, p in pieces)
-        probe = " a  b,c  \n d"
-        self.by_word = not joined and b"".join([self.b_bytes[i] for i in self.b.encode(probe)]) == (" " + probe).encode()
-        self.kept: dict[str, bytes] = {" ": array("I", [self.b.piece_to_id(SPACE)]).tobytes()}
+        probe = "a b,c \n d"
+        self.by_word = cut and not joined and b"".join([self.b_bytes[i] for i in self.b.encode(probe)]) == (" " + probe).encode()
+        self.kept: dict[str, tuple[bytes, bytes]] = {}
         self.digits = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.a_length, self.b_length = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.a_marked, self.b_marked = (np.array([t[:1] == b" " for t in side]) for side in (self.a_bytes, self.b_bytes))
 
-    def b_ids(self, text: str) -> bytes:
-        """B's ids, 32 bits each; each word (and the spaces before it) is encoded once and kept."""
-        if not self.by_word or SPACE in text:
-            return array("I", self.b.encode(text)).tobytes()
-        words, kept = _WORD.findall(" " + text), self.kept
+    def ids(self, text: str) -> tuple[bytes, bytes]:
+        """Both sides' ids of the text, 32 bits each; what they say of a word after one space is kept."""
+        if not self.by_word or _APART.search(text):
+            return self.a(" " + text), array("I", self.b.encode(text)).tobytes()
+        words, kept = text.split(" "), self.kept
         found = [kept.get(w) for w in words]
         if None in found:
             new = list({w for w, ids in zip(words, found) if ids is None})
             if len(kept) + len(new) > WORDS_KEPT:
-                self.kept = kept = {" ": kept[" "]}
-                new = list(set(words) - {" "})
-            # Words after one space go through the tokenizer together; each begins with the one token that holds a space.
-            plain = [w for w in new if len(w) > 1 and w[1] != " "]
-            ids = np.array(self.b.encode("".join(plain)[1:]), "<u4")
-            starts = np.flatnonzero(self.b_marked[ids]).tolist() if plain else []
-            if len(starts) != len(plain):
-                plain, starts = [], []
-            raw = ids.tobytes()
-            for word, start, end in zip(plain, starts, [*starts[1:], len(ids)]):
-                kept[word] = raw[4 * start : 4 * end]
+                kept.clear()
+                new = list(set(words))
+            # New words go through each tokenizer together; a word begins with the one token that holds its space.
+            plain = [w for w in new if w and not (w[0].isspace() or w[-1].isspace())]
+            joined = " ".join(plain)
+            cut = []
+            for raw, marked in ((self.a(" " + joined), self.a_marked), (array("I", self.b.encode(joined)).tobytes(), self.b_marked)):
+                starts = (4 * np.flatnonzero(marked[np.frombuffer(raw, "<u4")])).tolist()
+                cut.append([raw[s:e] for s, e in zip(starts, [*starts[1:], len(raw)])])
+            if plain and len(cut[0]) == len(cut[1]) == len(plain):
+                kept.update(zip(plain, zip(*cut)))
             for word in new:
-                if word not in kept:  # the tokenizer puts a space before each text itself
-                    kept[word] = array("I", self.b.encode(word[1:])).tobytes()
+                if word not in kept:
+                    kept[word] = self.a(" " + word), array("I", self.b.encode(word)).tobytes()
             found = [kept[w] for w in words]
-        return b"".join(found)
+        return b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> list[bytes]:
         """The id tuples of the windows: 32 bits an id, A's before B's, the latter with the highest bit set.
@@ -98,10 +102,12 @@ class Sides:
         Ends are taken from the tokens' sizes; whether their bytes are the text's shows when the windows' are put together.
         """
         a_ends, b_ends = np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b])
-        a_cuts, b_cuts = a_ends[:-1][self.a_marked[a[1:]]], b_ends[:-1][self.b_marked[b[1:]]]
-        anchors = np.intersect1d(a_cuts, b_cuts, assume_unique=True)
-        a_at = np.concatenate([[0], np.searchsorted(a_ends, anchors) + 1, [len(a)]])
-        b_at = np.concatenate([[0], np.searchsorted(b_ends, anchors) + 1, [len(b)]])
+        # How many sides have a token that ends here before one that begins with a space.
+        sides_at = np.zeros(max(a_ends[-1], b_ends[-1]) + 1, np.uint8)
+        sides_at[a_ends[:-1][self.a_marked[a[1:]]]] = 1
+        sides_at[b_ends[:-1][self.b_marked[b[1:]]]] += 1
+        a_at = np.concatenate([[0], np.flatnonzero(sides_at[a_ends] == 2) + 1, [len(a)]])
+        b_at = np.concatenate([[0], np.flatnonzero(sides_at[b_ends] == 2) + 1, [len(b)]])
         both = np.empty(len(a) + len(b), np.uint32)
         both[np.arange(len(a)) + np.repeat(b_at[:-1], np.diff(a_at))] = a
         both[np.arange(len(b)) + np.repeat(a_at[1:], np.diff(b_at))] = b | np.uint32(HIGH)
@@ -182,7 +188,7 @@ def _code(shared_a: Broadcast, shared_b: Broadcast, block_bytes: int):
 
         def coded(text: str) -> tuple[int, int, list[int]] | None:
             """Numbers of A and B tokens and the windows' codes, or None where either side's bytes are not the text's."""
-            a, b = np.frombuffer(both.a(" " + text), "<u4"), np.frombuffer(both.b_ids(text), "<u4")
+            a, b = (np.frombuffer(side, "<u4") for side in both.ids(text))
             if not len(a) or not len(b):
                 return None
             windows = both.windows(a, b)

@@ -118,7 +118,10 @@ def test_ids_of_kept_words_are_the_tokenizers(tokenizers):
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
         sides = alignment.Sides(a.read(), b.read())
     assert sides.by_word
-    draw = random.Random(11)
-    for _ in range(5000):
-        text = "".join(draw.choice(["the", "in", "a", "b", " ", " ", "  ", "\n", "\t", "é", "中", "▁", "1", "23", ".", ",", "\0", "<s>"]) for _ in range(draw.randint(0, 14)))
-        assert list(memoryview(sides.b_ids(text)).cast("I")) == (tokenizers[1].encode(text) if text else sides.b.encode("") or [sides.b.piece_to_id("▁")]), repr(text)
+    draw, seen = random.Random(11), 0
+    for _ in range(6000):
+        text = "".join(draw.choice(["the", "in", "a", "b", " ", " ", " ", "  ", "\n", "\t", "é", "中", "▁", "1", "23", ".", ",", "\0", "<s>", "'s", "\u00a0", "\u3000"]) for _ in range(draw.randint(1, 14)))
+        seen += not alignment._APART.search(text)
+        got = [list(memoryview(side).cast("I")) for side in sides.ids(text)]
+        assert got == [tokenizers[0].encode(" " + text, add_special_tokens=False).ids, tokenizers[1].encode(text)], repr(text)
+    assert seen > 1000
