@@ -5,8 +5,9 @@ from __future__ import annotations
 from itertools import combinations, product
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from dwops.plans.keyed import in_parts
 from dwops.session import stored
 
 # Column endings that mark a key.
@@ -103,12 +104,15 @@ CONTAINED = ["table1", "column1", "table2", "column2", "distinct1", "distinct2",
 
 # Values up to this length are compared as they are, longer ones by their hash.
 PLAIN_LENGTH = 32
+# Types whose text is never longer than that.
+FIXED_WIDTH = (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def column_values(tables: dict[str, DataFrame], wanted: set[tuple[str, str]]) -> DataFrame:
     """(tbl, col, value, cnt) of the wanted columns.
 
-    Long texts are shuffled as a marked MD5, which is longer than any plain value.
+    Long texts are shuffled as a marked MD5, which is longer than any plain value. Fixed-width
+    values become text behind the exchange that bounds the cells of a task.
     """
     parts = []
     for name, df in tables.items():
@@ -116,8 +120,9 @@ def column_values(tables: dict[str, DataFrame], wanted: set[tuple[str, str]]) ->
         if columns:
             text = {c: F.col(c).cast("string") for c in columns}
             short = {c: F.when(F.length(v) <= PLAIN_LENGTH, v).otherwise(F.concat(F.lit("md5:"), F.md5(v))) for c, v in text.items()}
-            cells = [F.struct(F.lit(name).alias("tbl"), F.lit(c).alias("col"), short[c].alias("value")) for c in columns]
-            parts.append(df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()))
+            rows = in_parts(df.select(*[F.col(c) if isinstance(df.schema[c].dataType, FIXED_WIDTH) else short[c].alias(c) for c in columns]), len(columns))
+            cells = [F.struct(F.lit(name).alias("tbl"), F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in columns]
+            parts.append(rows.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()))
     all_cells = parts[0]
     for p in parts[1:]:
         all_cells = all_cells.unionByName(p)
@@ -127,32 +132,34 @@ def column_values(tables: dict[str, DataFrame], wanted: set[tuple[str, str]]) ->
 def measure_pairs(tables: dict[str, DataFrame], proposals: list[tuple]) -> DataFrame:
     """Value inclusion for each proposed pair, in one job for all pairs.
 
-    Columns are reduced to distinct values with counts first. Each distinct value is
-    sent to the pairs its column takes part in; grouping by (pair, value) then shows
-    which sides hold it.
+    Columns are reduced to distinct values with counts and stored. What a pair says of one
+    side alone is counted once a column. What it says of both comes from a join of the values with
+    themselves: a value is shuffled once per column holding it and side, however many pairs
+    the column takes part in, and only what two columns share is counted by pair.
     """
     spark = next(iter(tables.values())).sparkSession
-    wanted = {(t, c) for p in proposals for t, c in ((p[0], p[1]), (p[2], p[3]))}
-    sides = [(i, side, p[2 * side - 2], p[2 * side - 1]) for i, p in enumerate(proposals) for side in (1, 2)]
-    # Column names only: the list grows with the schema, not with the data.
-    side_table = spark.createDataFrame(sides, "pair int, side int, tbl string, col string")
+    wanted = sorted({(t, c) for p in proposals for t, c in ((p[0], p[1]), (p[2], p[3]))})
+    place = {c: i for i, c in enumerate(wanted)}
+    # Column names only: these lists grow with the schema, not with the data.
+    names = spark.createDataFrame([(i, *c) for c, i in place.items()], "id int, tbl string, col string")
     pairs = spark.createDataFrame(
-        [(i, *p) for i, p in enumerate(proposals)],
-        "pair int, table1 string, column1 string, table2 string, column2 string, rule string, confidence string",
+        [(i, place[p[0], p[1]], place[p[2], p[3]], *p) for i, p in enumerate(proposals)],
+        "pair int, id1 int, id2 int, table1 string, column1 string, table2 string, column2 string, rule string, confidence string",
     )
-    spread = column_values(tables, wanted).join(F.broadcast(side_table), ["tbl", "col"])
-    by_value = spread.groupBy("pair", "value").agg(
-        F.sum(F.when(F.col("side") == 1, F.col("cnt"))).alias("n1"), F.sum(F.when(F.col("side") == 2, F.col("cnt"))).alias("n2")
+    held = stored(column_values(tables, set(wanted)).join(F.broadcast(names), ["tbl", "col"]).select("id", "value", "cnt"))
+    columns = held.groupBy("id").agg(F.count(F.lit(1)).alias("distinct"), F.sum("cnt").alias("rows"), (F.max("cnt") == 1).alias("unique"))
+    side = lambda n: held.select(F.col("id").alias(f"id{n}"), "value", F.col("cnt").alias(f"n{n}")).where(F.col(f"id{n}").isin(sorted({place[p[2 * n - 2], p[2 * n - 1]] for p in proposals})))
+    shared = side(1).join(side(2), "value").join(F.broadcast(pairs.select("pair", "id1", "id2")), ["id1", "id2"])
+    common = shared.groupBy("pair").agg(F.count(F.lit(1)).alias("common_values"), F.sum("n1").alias("matched_rows1"), F.sum("n2").alias("matched_rows2"))
+    # From here on a row a pair.
+    of = lambda n: columns.withColumnsRenamed({c: f"{c}{n}" for c in columns.columns})
+    measured = pairs.join(of(1), "id1", "left").join(of(2), "id2", "left").join(common, "pair", "left").where("distinct1 is not null or distinct2 is not null")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return measured.select(
+        "table1", "column1", "table2", "column2", "rule", "confidence", zero("distinct1"), zero("distinct2"), zero("common_values"),
+        zero("rows1"), zero("rows2"), zero("matched_rows1"), zero("matched_rows2"),
+        *[F.coalesce(f"unique{n}", F.lit(False)).alias(f"unique{n}") for n in (1, 2)],
     )
-    both = F.col("n1").isNotNull() & F.col("n2").isNotNull()
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    measured = by_value.groupBy("pair").agg(
-        F.count("n1").alias("distinct1"), F.count("n2").alias("distinct2"), F.count_if(both).alias("common_values"),
-        zero("n1").alias("rows1"), zero("n2").alias("rows2"),
-        zero(F.when(both, F.col("n1"))).alias("matched_rows1"), zero(F.when(both, F.col("n2"))).alias("matched_rows2"),
-        F.coalesce(F.max("n1") == 1, F.lit(False)).alias("unique1"), F.coalesce(F.max("n2") == 1, F.lit(False)).alias("unique2"),
-    )
-    return pairs.join(measured, "pair").drop("pair")
 
 
 def inclusion_deps(tables: dict[str, DataFrame], proposals: list[tuple]) -> DataFrame:

@@ -62,3 +62,18 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+# Cells (rows times what is made of each) that one task groups.
+CELLS_PER_TASK = 2_000_000
+
+
+def in_parts(df: DataFrame, cells: int) -> DataFrame:
+    """Rows dealt out so that a task has about ``CELLS_PER_TASK`` cells, when a row becomes ``cells`` of them.
+
+    For groupings of many cells a row: a task's hash table grows with the file split, which
+    holds more rows the larger the file and the better it is compressed. The rows are counted first; equal ones
+    meet in one task, where they are one group. Scans in smaller parts are left as they are.
+    """
+    parts = -(-df.count() * cells // CELLS_PER_TASK)
+    return df.repartition(parts, F.xxhash64(*df.columns)) if parts > 1 and parts > df.rdd.getNumPartitions() else df

@@ -1,11 +1,13 @@
 """Contained columns, references by name, search in source tables and headers."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from dwops.operators import discovery, search
+from dwops.plans import keyed
 from tests.test_rules import rows
 
 
@@ -34,6 +36,26 @@ def test_one_missing_value_is_enough(spark):
     assert (found["table1"], found["table2"], found["distinct1"], found["rows2"], found["unique2"]) == ("a", "b", 20_000, 20_001, True)
 
 
+def test_values_are_not_spread_to_pairs(spark):
+    df = spark.createDataFrame([(1, 1, "1"), (2, 1, "3"), (2, None, None)], "a int, b int, c string").withColumn("nothing", F.lit(None).cast("int"))
+    pairs = [("t", x, "t", y, "GIVEN", "HIGH") for x, y in [("a", "b"), ("b", "a"), ("a", "a"), ("c", "a"), ("a", "nothing"), ("nothing", "nothing"), ("a", "b")]]
+    measured = discovery.measure_pairs({"t": df}, pairs)
+    assert not re.search(r"keys=\[pair#\d+, value#\d+\]", measured._jdf.queryExecution().toString())
+    # Names, distinct values of both and common ones, rows, matched rows, unique; a pair of columns without values is left out.
+    assert rows(measured.drop("table1", "table2", "rule", "confidence")) == sorted([
+        ("a", "a", 2, 2, 2, 3, 3, 3, 3, False, False), ("a", "nothing", 2, 0, 0, 3, 0, 0, 0, False, False), ("b", "a", 1, 2, 1, 2, 3, 2, 1, False, False),
+        ("c", "a", 2, 2, 1, 2, 3, 1, 1, True, False), *2 * [("a", "b", 2, 1, 1, 3, 2, 1, 2, False, False)]], key=repr)
+
+
+def test_cells_of_a_task_are_bounded(spark, monkeypatch):
+    df = spark.range(0, 300, 1, 2).select("id", (F.col("id") % 7).alias("seven"), F.repeat(F.lit("x"), 40).alias("long"))
+    whole = rows(discovery.column_values({"t": df}, {("t", c) for c in df.columns}))
+    monkeypatch.setattr(keyed, "CELLS_PER_TASK", 100)
+    assert keyed.in_parts(df, 3).rdd.getNumPartitions() == 9 and keyed.in_parts(df, 3).count() == 300
+    assert keyed.in_parts(df.limit(30), 3).rdd.getNumPartitions() == 1
+    assert rows(discovery.column_values({"t": df}, {("t", c) for c in df.columns})) == whole and len(whole) == 308
+
+
 def test_references_by_name():
     found = discovery.naming_hints({
         "CUSTOMERS": ["ID", "NAME"], "orders": ["order_id", "customer_id", "region_code", "note_no"], "T_REGION": ["T_REGION_CODE"], "notes": ["NOTE_NO"], "x": ["_id", "orders_id"],
