@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from dwops.functions.values import pct
 from dwops.operators.relational import top_per_key
-from dwops.plans.keyed import spread
+from dwops.plans.keyed import in_parts, spread
 from dwops.session import stored, stored_counted
 
 # Types whose lowest and highest values say nothing.
@@ -135,13 +135,13 @@ def find_fds(df: DataFrame, columns: list[str]) -> DataFrame:
     Every column and every unordered pair is counted in one grouping; combining on the map
     side leaves only distinct values in the shuffle.
     """
-    text = {c: F.col(c).cast("string") for c in columns}
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), text[a].alias("va"), text[b].alias("vb"))
-        for i, a in enumerate(columns) for b in columns[i:]
-    ]
-    sizes = df.select(F.inline(F.array(*cells))).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    text = [F.col(c).cast("string") for c in columns]
+    numbered = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    cells = [F.struct(F.lit(n).alias("n"), text[i].alias("va"), (text[j] if j > i else F.lit(None).cast("string")).alias("vb")) for n, (i, j) in enumerate(numbered)]
+    counts = in_parts(df.select(*columns), len(cells)).select(F.inline(F.array(*cells))).distinct().groupBy("n").agg(F.count(F.lit(1)).alias("size"))
     # A few rows per column from here on.
+    names = df.sparkSession.createDataFrame([(n, columns[i], columns[j]) for n, (i, j) in enumerate(numbered)], "n int, a string, b string")
+    sizes = counts.join(F.broadcast(names), "n").select("a", "b", F.col("size").alias("n"))
     both = F.array(F.struct(F.col("a").alias("determinant"), F.col("b").alias("dependent"), F.col("n").alias("pairs")),
                    F.struct(F.col("b").alias("determinant"), F.col("a").alias("dependent"), F.col("n").alias("pairs")))
     pairs = sizes.where("a <> b").select(F.inline(both))

@@ -10,7 +10,7 @@ from pyspark.sql import Window, functions as F
 from dwops import session
 from dwops.functions import values as v
 from dwops.operators import discovery, graph, loading, quality, relational as rel, search, temporal, windows as win
-from dwops.plans import ordered
+from dwops.plans import keyed, ordered
 from dwops.plans.frontier import expand
 from dwops.sources import files, tables
 from dwops.session import fresh_path
@@ -423,6 +423,16 @@ def test_find_fds(spark):
     assert holds == {("a", "b"), ("a", "c")}
 
 
+def test_find_fds_bounds_cells_of_a_task(spark, monkeypatch):
+    df = spark.range(0, 200, 1, 1).select("id", (F.col("id") % 5).alias("five"), F.nullif(F.col("id") % 10, F.lit(3)).alias("ten"))
+    whole = rows(quality.find_fds(df, df.columns), "determinant", "dependent", "singles", "pairs")
+    monkeypatch.setattr(keyed, "CELLS_PER_TASK", 100)
+    found = quality.find_fds(df, df.columns)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert rows(found, "determinant", "dependent", "singles", "pairs") == whole
+    assert ("ten", "five", 10, 10) in whole and ("five", "ten", 5, 10) in whole
+
+
 def test_verify_join_without_matches(spark):
     a, b = spark.createDataFrame([(1,), (None,)], "a int"), spark.createDataFrame([(2,)], "b int")
     out = quality.verify_join(a, "a", b, "b", "a = b").first()
