@@ -240,13 +240,16 @@ def string_agg(df: DataFrame, keys: list[str], column: str, sep: str = ", ", mos
 def first_members(df: DataFrame, keys: list[str], column: str, n: int = 3) -> DataFrame:
     """Groups with more than one row: their size and first ``n`` members.
 
-    Members are cut to ``n`` per group before they are collected.
+    Members are cut to ``n`` per group; the first one then reads the next ones in the order they
+    are in, and groups of one row go before anything is joined.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    first = top_per_key(df.select(*keys, column), keys, [column], n)
-    names = [f"idx{i}" for i in range(1, n + 1)]
-    members = first.groupBy(*keys).agg(*[F.max(F.when(F.col("_rn") == i, F.col(column))).alias(names[i - 1]) for i in range(1, n + 1)])
-    return join_on_same(sizes, members, keys, "inner")
+    first = top_per_key(df.select(*keys, column), keys, [column], max(n, 2))
+    w = Window.partitionBy(*keys).orderBy(*sort_columns([column]))
+    after = [F.col(column).alias("idx1"), *[F.lead(column, i).over(w).alias(f"idx{i + 1}") for i in range(1, n)]]
+    # Places are counted again beside LEAD, so that both see equal values in one order.
+    members = first.select(*keys, F.row_number().over(w).alias("_place"), F.lead("_rn").over(w).alias("_second"), *after).where("_place = 1 and _second is not null")
+    return join_on_same(sizes, members.drop("_place", "_second"), keys, "inner")
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

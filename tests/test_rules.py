@@ -433,6 +433,20 @@ def test_find_fds_bounds_cells_of_a_task(spark, monkeypatch):
     assert ("ten", "five", 10, 10) in whole and ("five", "ten", 5, 10) in whole
 
 
+def test_first_members_without_grouping_single_rows(spark):
+    df = spark.createDataFrame([(1, 5), (1, 3), (1, 3), (1, 9), (2, 7), (None, 2), (None, None), (3, 4), (3, 8)], "k int, v int")
+    found = rel.first_members(df, ["k"], "v", 3)
+    assert rows(found) == sorted([(1, 4, 3, 3, 5), (None, 2, *sorted_values(df, 2)), (3, 2, 4, 8, None)], key=repr)
+    assert "max(CASE WHEN" not in found._jdf.queryExecution().toString()
+    assert rows(rel.first_members(df, ["k"], "v", 1)) == sorted([(1, 4, 3), (None, 2, sorted_values(df, 1)[0]), (3, 2, 4)], key=repr)
+
+
+def sorted_values(df, n):
+    """What the plain order of a window gives for the missing key."""
+    first = rel.top_per_key(df.where("k is null"), ["k"], ["v"], n).orderBy("_rn").collect()
+    return (*[r["v"] for r in first], *[None] * (3 - n if n > 1 else 0))
+
+
 def test_verify_join_without_matches(spark):
     a, b = spark.createDataFrame([(1,), (None,)], "a int"), spark.createDataFrame([(2,)], "b int")
     out = quality.verify_join(a, "a", b, "b", "a = b").first()
