@@ -125,6 +125,10 @@ def explode_bom(edges: DataFrame, root, max_levels: int | None = 100, rounds_unt
     return reduce(DataFrame.unionByName, rounds).groupBy("component_id").agg(F.sum("quantity").cast("long").alias("total_quantity"), F.max("level").alias("max_depth"))
 
 
+# Nodes that may be sent to every task. Spark judges a stored table by its compressed size, which says little of names that are alike.
+SENT_NODES = 500_000
+
+
 def trace_lineage(sources: dict[str, DataFrame], start: DataFrame, direction: str = "up", max_rounds: int | None = None) -> DataFrame:
     """Names reached from a start set over several edge sources: (node, round, via).
 
@@ -135,15 +139,22 @@ def trace_lineage(sources: dict[str, DataFrame], start: DataFrame, direction: st
     if direction not in ("up", "down"):
         raise ValueError(f"unknown direction {direction!r}")
     here, there = ("dst", "src") if direction == "up" else ("src", "dst")
-    tagged = [df.select(F.col(here).alias("_here"), F.col(there).alias("node")).distinct().withColumn("via", F.lit(n))
-              for n, df in sorted(sources.items())]
+    # Sources go by their place in name order: the first of some numbers is kept in a hash table, that of texts takes a sort of all edges met.
+    names = sorted(sources)
+    tagged = [sources[n].select(F.col(here).alias("_here"), F.col(there).alias("node")).distinct().withColumn("via", F.lit(i)) for i, n in enumerate(names)]
     # Read in every round, so reduced and stored once.
     edges = stored(reduce(DataFrame.unionByName, tagged))
-    seeds = start.select("node").distinct().select("node", F.lit(0).cast("long").alias("round"), F.lit(None).cast("string").alias("via"))
+    seeds = start.select("node").distinct().select("node", F.lit(0).cast("long").alias("round"), F.lit(None).cast("int").alias("via"))
 
     def follow(frontier, earlier, number):
-        seen = reduce(DataFrame.unionByName, [r.select("node") for r in earlier])
-        reached = edges.join(frontier.select(F.col("node").alias("_here")), "_here").groupBy("node").agg(F.min("via").alias("via"))
-        return reached.join(seen, "node", "left_anti").select("node", F.lit(number).cast("long").alias("round"), "via")
-
-    return expand(seeds, follow, max_rounds, stop_quietly=True)
+        met = frontier.select(F.col("node").alias("_here"))
+        if met.count() > SENT_NODES:
+            met = met.hint("shuffle_hash")
+        reached = edges.join(met, "_here").select("node", "via", F.lit(False).alias("_seen"))
+        # Known nodes take part in the grouping; an anti join is pushed below it and looks at every edge.
+        seen = [r.select("node", "via", F.lit(True).alias("_seen")) for r in earlier]
+        grouped = reduce(DataFrame.unionByName, seen, reached).groupBy("node").agg(F.min("via").alias("via"), F.bool_or("_seen").alias("_seen"))
+        return grouped.where("not _seen").select("node", F.lit(number).cast("long").alias("round"), "via")
+
+    found = expand(seeds, follow, max_rounds, stop_quietly=True)
+    return found.withColumn("via", F.get(F.array(*map(F.lit, names)), "via"))

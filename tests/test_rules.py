@@ -170,6 +170,24 @@ def test_lineage_runs_to_the_end(spark):
     assert graph.trace_lineage(edges, start, "down").count() == 16
 
 
+def test_lineage_keeps_no_edges_sorted_or_sent(spark, monkeypatch):
+    edges = {"x": spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", None)], "src string, dst string"), "w": spark.createDataFrame([("a", "c"), ("b", "a"), ("b", None)], "src string, dst string")}
+    start, plans = spark.createDataFrame([("a",)], "node string"), []
+
+    def watched(seeds, step, *rest, **options):
+        def seen(*args):
+            plans.append(step(*args))
+            return plans[-1]
+        return expand(seeds, seen, *rest, **options)
+
+    monkeypatch.setattr(graph, "expand", watched)
+    monkeypatch.setattr(graph, "SENT_NODES", 0)
+    # The first source by name counts; a missing end is one node.
+    assert rows(graph.trace_lineage(edges, start, "down")) == sorted([("a", 0, None), ("b", 1, "x"), ("c", 1, "w"), (None, 2, "w")], key=repr)
+    text = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert text and not any(word in t for t in text for word in ("SortAggregate", "Broadcast", "LeftAnti"))
+
+
 def test_tag_terms_with_repeated_and_null_keys(spark):
     docs = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "two")], "id int, body string")
     terms = spark.createDataFrame([("two",)], "term string")
