@@ -49,6 +49,14 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return stored(table.withColumn("row", F.monotonically_increasing_id()))
 
 
+def entering(scores: np.ndarray, k: int, least: int | None) -> np.ndarray:
+    """Which scores can be among the k best, ties included; ``least`` is the k-th score found before, if there are k."""
+    keep = np.ones(len(scores), bool) if least is None else scores >= least
+    if keep.sum() > k:
+        keep &= scores >= np.partition(scores[keep], -k)[-k]
+    return keep
+
+
 def _best(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int, int]] = []
@@ -58,7 +66,7 @@ def _best(k: int):
             by_size.setdefault(len(v), []).append(i)
         ids, numbers = np.asarray(rows.column("vec_id").to_pylist(), object), np.asarray(rows.column("row"))
         away_all = rows.column("away").to_pylist()
-        parts = {}
+        parts, as_float = {}, {}
         for size, at in by_size.items():
             x = np.array([vectors[i] for i in at], np.int64)
             parts[size] = (np.array(at), x, (x.astype(float) ** 2).sum(axis=1), np.array([away_all[i] for i in at], float).reshape(len(at), -1))
@@ -67,17 +75,28 @@ def _best(k: int):
                 continue
             at, x, norms, away = parts[len(q)]
             q = np.array(q, np.int64)
+            # Every partial sum is at most |x| |q|; below 2^53 doubles hold it exactly.
+            if np.sqrt(norms.max()) * np.sqrt((q.astype(float) ** 2).sum()) < 2.0**52:
+                if as_float.get(len(q)) is None:
+                    as_float[len(q)] = x.astype(float)
+                x, q = as_float[len(q)], q.astype(float)
             lower = np.abs(away - np.array(q_away)).max(axis=1) if away.shape[1] else np.zeros(len(at))
             upper = ((q.astype(float) ** 2).sum() + norms - lower**2) / 2
             upper += 1e-9 * (np.abs(upper) + norms) + 1  # rounding of the bound
             order = np.argsort(-upper, kind="stable")
             best: list[tuple[int, int, int]] = []
-            for begin in range(0, len(order), CHUNK):
+            begin, width = 0, CHUNK
+            while begin < len(order):
                 if len(best) == k and upper[order[begin]] < -best[-1][0]:
                     break
-                some = order[begin : begin + CHUNK]
-                scores = x[some] @ q
-                found = [(-int(s), ids[i], int(numbers[i])) for s, i in zip(scores, at[some]) if numbers[i] != q_row]
+                some = order[begin : begin + width]
+                # Chunks double, so at most about as many rows again are evaluated as the bound asks for.
+                begin, width = begin + width, 2 * width
+                some = some[numbers[at[some]] != q_row]
+                scores = (x[some] @ q).astype(np.int64)
+                # Python sees only the rows that may enter.
+                may = np.flatnonzero(entering(scores, k, -best[-1][0] if len(best) == k else None))
+                found = [(-int(scores[j]), ids[at[some[j]]], int(numbers[at[some[j]]])) for j in may]
                 best = sorted(best + found, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))[:k]
             out += [(qid, q_row, r, -s, i) for s, i, r in best]
         names = ["query_id", "query_row", "row", "score", "vec_id"]

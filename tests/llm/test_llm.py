@@ -211,6 +211,25 @@ def test_topk_edge_rows(spark):
     assert topk.search(topk.index(vectors.limit(0)), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_hands_on_only_rows_that_may_enter():
+    scores = np.array([5, 9, 9, 1, 7, 9, 3])
+    assert topk.entering(scores, 2, None).nonzero()[0].tolist() == [1, 2, 5]  # ties stay
+    assert topk.entering(scores, 4, None).nonzero()[0].tolist() == [1, 2, 4, 5]
+    assert topk.entering(scores, 9, 7).nonzero()[0].tolist() == [1, 2, 4, 5]
+    assert not topk.entering(scores, 2, 10).any() and not len(topk.entering(scores[:0], 2, None))
+    assert topk.entering(np.arange(50_000), 10, None).sum() == 10
+
+
+def test_topk_is_exact_for_large_components(spark):
+    # Products beyond 2^53, where doubles would round the last digits away.
+    base = 2.0**20
+    vectors = spark.createDataFrame([(0, [base + 1, base])] + [(i, [base + i, base]) for i in range(1, 40)], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(topk.index(vectors), F.col("vec_id") == 0, 3).orderBy("rank").collect()]
+    whole = lambda x: int(x) * 1024
+    want = [(0, n, i, whole(base + 1) * whole(base + i) + whole(base) ** 2) for n, i in enumerate((39, 38, 37), 1)]
+    assert got == want and want[0][3] > 2**53
+
+
 def test_topk_blocks(spark, monkeypatch):
     x = RANDOM.normal(size=(300, 8))
     x[100:200] = x[100]  # one very common vector
