@@ -358,6 +358,45 @@ def test_common_line_hides_no_passage(spark, monkeypatch):
         assert got == {(71, 70)}
 
 
+def test_common_line_is_decided_without_pairs(spark, monkeypatch):
+    """Of many documents around one line only those with more in common are looked at in pairs."""
+    line, more = prose(30), prose(14)
+    rows = [(i, f"{prose(50)} {line} {prose(50)}") for i in range(150)]
+    rows += [(200, f"{prose(60)} {line} {more} {prose(60)}"), (201, f"{prose(60)} {line} {more.replace(' ', ' x ', 1)} {prose(60)}")]
+    blocks, seen = substring_dedup._blocks, []
+
+    def counted(around):
+        seen.append(around.count())
+        return blocks(around)
+
+    monkeypatch.setattr(substring_dedup, "BLOCK", 16)
+    monkeypatch.setattr(substring_dedup, "_blocks", counted)
+    substring_dedup.repeated_passages(documents(spark, rows)).count()
+    assert len(seen) == 1 and seen[0] <= 50
+
+
+def test_pairs_put_aside_hold_no_passage():
+    """What is put aside before verification would not have been verified: edits, runs and few words."""
+    put_aside = found = 0
+    for k in range(600):
+        a = RANDOM.integers(0, 1 << 30 if k % 3 else 40, 93)
+        if k % 3 == 1:
+            a[20 : 20 + RANDOM.integers(5, 70)] = 7
+        b = np.where(RANDOM.random(93) < RANDOM.uniform(0, 0.4), RANDOM.integers(1 << 30, 1 << 31, 93), a)
+        a, b = a[: RANDOM.integers(46, 94)].astype(np.int32), np.roll(b, RANDOM.integers(0, 30))[: RANDOM.integers(46, 94)].astype(np.int32)
+        at, near = int(RANDOM.integers(0, 46)), np.r_[a, b]
+        row = np.repeat([0, 1], [len(a), len(b)])
+        entry = np.unique(row.astype(np.uint64) << np.uint64(32) | near.view(np.uint32))
+        known, code = np.unique(entry & np.uint64(0xFFFFFFFF), return_inverse=True)
+        alike = substring_dedup._Alike(np.array([0, len(a), len(near)]), near, known, np.zeros(2, np.uint64), (entry >> np.uint64(32)).astype(np.int64), code)
+        first, second = np.array([0]), np.array([1])
+        may = alike.may(first, second, np.array([at]))[0] and alike.may(second, first)[0]
+        real = any(x <= at <= y for x, y, *_ in substring_dedup.passages(a, b))
+        assert may or not real
+        put_aside, found = put_aside + (not may), found + real
+    assert put_aside > 100 and found > 50
+
+
 def test_rhythms_and_long_texts_are_verified():
     """A few words repeated many times are one stretch; a text of many edits is judged without trying all pairs of runs."""
     rhythm = np.tile(np.arange(3), 60)
