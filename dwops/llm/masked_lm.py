@@ -7,6 +7,7 @@ side; places beyond the text are a boundary code. Embeddings, one hidden layer a
 softmaxes are trained in numpy by parallel averaging: in each round every task starts from
 the shared weights, learns from the masked places (one in ``MASK``) of all its documents, and
 the masks of ``MASK`` rounds hold every place once. Spark averages the tasks' weights by their numbers of places. The model's size is fixed.
+The texts are read twice before the rounds, once to count words and once to code them; the rounds read codes.
 
 A document's score is the sum of log P(word | both sides) over all its words.
 """
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from dwops.llm.text import mix, slices, words
@@ -30,7 +32,8 @@ BOUNDARY = CODES
 SIDE, WIDTH, HIDDEN = 3, 16, 32
 MASK, BATCH, RATE = 8, 128, 0.05
 ROUNDS = MASK                   # so that every word is predicted once
-AT_ONCE = 1 << 14
+AT_ONCE = 1 << 10              # places scored together, few enough to stay in the processor's cache
+PLAIN = 60                      # within this, exp needs no shift
 OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 SHAPES = {
@@ -90,53 +93,93 @@ def padded(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, place
 
 
-def _soft(z: np.ndarray) -> np.ndarray:
-    """Log softmax of rows."""
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """z becomes exp(z - c) in place, with one c a row of DIGITS; the rows' sums, and c."""
+    rows = z.reshape(-1, DIGITS)
+    c = np.zeros(len(rows), np.float32)
+    if len(rows) and not (-PLAIN < z.min() and z.max() < PLAIN):
+        c = rows.max(axis=1)
+        rows -= c[:, None]
+    np.exp(z, out=z)
+    return rows @ np.ones(DIGITS, np.float32), c
+
+
+def _heads(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Both softmaxes' weights and biases side by side."""
+    return np.hstack([w["head"], w["member"]]), np.concatenate([w["head0"], w["member0"]])
 
 
 def log_probabilities(w: dict[str, np.ndarray], line: np.ndarray, place: np.ndarray) -> np.ndarray:
     """log P(word | SIDE words before and after) at each place."""
     table = [w["embed"] @ w["mix"][j * WIDTH : (j + 1) * WIDTH] for j in range(2 * SIDE)]
+    both, both0 = _heads(w)
     out = np.empty(len(place), np.float64)
     for a in range(0, len(place), AT_ONCE):
         at = place[a : a + AT_ONCE]
-        z = w["mix0"] + sum(t[line[at + o]] for t, o in zip(table, OFFSETS))
-        h = np.tanh(z)
+        n = len(at)
+        h = w["mix0"] + table[0].take(line[at + OFFSETS[0]], axis=0)
+        for t, o in zip(table[1:], OFFSETS[1:]):
+            h += t.take(line[at + o], axis=0)
+        np.tanh(h, out=h)
         head, member = np.divmod(line[at], DIGITS)
-        rows = np.arange(len(at))
-        out[a : a + AT_ONCE] = _soft(h @ w["head"] + w["head0"])[rows, head]
-        out[a : a + AT_ONCE] += _soft(h @ w["member"] + w["member0"] + w["of_class"][head])[rows, member]
+        z = h @ both
+        z += both0
+        z[:, DIGITS:] += w["of_class"].take(head, axis=0)
+        spots = np.arange(0, n * 2 * DIGITS, 2 * DIGITS)
+        own = z.take(spots + head) + z.take(spots + DIGITS + member)
+        sums, c = _exp(z)
+        out[a : a + AT_ONCE] = own - (np.log(sums) + c).reshape(n, 2).sum(axis=1)
     return out
 
 
 def learn(flat: np.ndarray, line: np.ndarray, place: np.ndarray, rate: float = RATE) -> None:
     """Stochastic gradient steps over masked places, in place."""
     w = unpack(flat)
+    embed, of_class = w["embed"].reshape(-1), w["of_class"].reshape(-1)  # views, for updates by single numbers
+    both, both0 = _heads(w)
+    step = np.float32(rate * 32 / BATCH)
+    wide, digits = np.arange(WIDTH), np.arange(DIGITS)
+    contexts = line[place[:, None] + OFFSETS].astype(np.int64)
+    heads, members = np.divmod(line[place].astype(np.int64), DIGITS)
+    # Room for one step, taken once.
+    empty = lambda *shape: np.empty(shape, np.float32)
+    room_x, room_h, room_d, room_own, room_z, room_g = empty(BATCH, 2 * SIDE, WIDTH), empty(BATCH, HIDDEN), empty(BATCH, 2 * DIGITS), empty(BATCH, DIGITS), empty(BATCH, HIDDEN), empty(BATCH, HIDDEN)
+    of_both, of_mix = np.empty_like(both), np.empty_like(w["mix"])
+    room_class, room_embed = np.empty((BATCH, DIGITS), np.int64), np.empty((BATCH, 2 * SIDE, WIDTH), np.int64)
+    spots, one = np.arange(0, BATCH * 2 * DIGITS, 2 * DIGITS), np.ones(BATCH, np.float32)
     for a in range(0, len(place), BATCH):
-        at = place[a : a + BATCH]
-        n = len(at)
-        rows = np.arange(n)
-        context = line[at[:, None] + OFFSETS]
-        x = w["embed"][context].reshape(n, -1)
-        h = np.tanh(x @ w["mix"] + w["mix0"])
-        head, member = np.divmod(line[at], DIGITS)
-        d1 = np.exp(_soft(h @ w["head"] + w["head0"]))
-        d2 = np.exp(_soft(h @ w["member"] + w["member0"] + w["of_class"][head]))
-        d1[rows, head] -= 1
-        d2[rows, member] -= 1
-        dz = (d1 @ w["head"].T + d2 @ w["member"].T) * (1 - h * h)
-        dx = (dz @ w["mix"].T).reshape(-1, WIDTH)
-        step = rate * 32 / BATCH
-        w["head"] -= step * (h.T @ d1)
-        w["head0"] -= step * d1.sum(axis=0)
-        w["member"] -= step * (h.T @ d2)
-        w["member0"] -= step * d2.sum(axis=0)
-        np.add.at(w["of_class"], head, -step * d2)
-        w["mix"] -= step * (x.T @ dz)
-        w["mix0"] -= step * dz.sum(axis=0)
-        np.add.at(w["embed"], context.ravel(), -step * dx)
+        context, head, member = contexts[a : a + BATCH], heads[a : a + BATCH], members[a : a + BATCH]
+        n = len(head)
+        x, h, d, own, dz, g = room_x[:n], room_h[:n], room_d[:n], room_own[:n], room_z[:n], room_g[:n]
+        w["embed"].take(context, axis=0, out=x, mode="clip")
+        np.dot(x.reshape(n, -1), w["mix"], out=h)
+        h += w["mix0"]
+        np.tanh(h, out=h)
+        # Gradients of the two softmaxes' inputs, times the step.
+        np.dot(h, both, out=d)
+        d += both0
+        d[:, DIGITS:] += w["of_class"].take(head, axis=0, out=own, mode="clip")
+        sums, _ = _exp(d)
+        rows = d.reshape(-1, DIGITS)
+        rows *= (step / sums)[:, None]
+        hits = d.reshape(-1)
+        hits[spots[:n] + head] -= step
+        hits[spots[:n] + DIGITS + member] -= step
+        np.dot(d, both.T, out=dz)
+        np.multiply(h, h, out=g)
+        np.subtract(1, g, out=g)
+        dz *= g
+        both -= np.dot(h.T, d, out=of_both)
+        both0 -= one[:n] @ d
+        own[:] = d[:, DIGITS:]
+        np.subtract.at(of_class, np.add((head * DIGITS)[:, None], digits, out=room_class[:n]).reshape(-1), own.reshape(-1))
+        before = np.dot(x.reshape(n, -1).T, dz, out=of_mix)
+        np.dot(dz, w["mix"].T, out=x.reshape(n, -1))
+        np.subtract.at(embed, np.add((context * WIDTH)[:, :, None], wide, out=room_embed[:n]).reshape(-1), x.reshape(-1))
+        w["mix"] -= before
+        w["mix0"] -= one[:n] @ dz
+    w["head"][:], w["member"][:] = both[:, :DIGITS], both[:, DIGITS:]
+    w["head0"][:], w["member0"][:] = both0[:DIGITS], both0[DIGITS:]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -178,8 +221,10 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Mode
     for r in top:
         share[KNOWN + (r["hash"] & (RARE - 1))] -= r["n"]
     flat = start_weights(share)
-    for k in range(rounds if top else 0):
-        flat = _round(texts, vocabulary, flat, k)
+    if rounds and top:
+        texts = coded(texts, vocabulary)
+        for k in range(rounds):
+            flat = _round(texts, flat, k)
     return Model(vocabulary, flat)
 
 
@@ -189,19 +234,50 @@ def masked(offsets: np.ndarray, k: int) -> np.ndarray:
     return mix(inside.astype(np.uint64)) % np.uint64(MASK) == k % MASK
 
 
-def _round(texts: DataFrame, vocabulary: Vocabulary, flat: np.ndarray, k: int) -> np.ndarray:
+def coded(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The words' codes of all texts, a row for each slice of a task, so that the rounds need not read texts.
+
+    part names the task, codes has 16 bits a word and ends 64 bits a document: where its words end.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = flat.copy(), 0
+        part = TaskContext.get().partitionId()
         for batch in batches:
             for _, data, documents in slices(batch.column(0)):
                 w = words(data, documents)
-                line, place = padded(vocabulary.codes(w.hashes), w.offsets)
-                chosen = place[masked(w.offsets, k)]
+                codes = vocabulary.codes(w.hashes).astype(np.int16).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([codes], pa.binary()), pa.array([w.offsets[1:].astype(np.int64).tobytes()], pa.binary())],
+                                                 names=["part", "codes", "ends"])
+
+    return stored(texts.mapInArrow(run, "part int, codes binary, ends binary"))
+
+
+def _round(texts: DataFrame, flat: np.ndarray, k: int) -> np.ndarray:
+    """The weights after round k over coded texts. Every part starts from the shared ones, also where a task reads several.
+
+    Arrays that travelled have a type of their own, for which numpy has no fast paths: a step took 4 times as long. ``astype`` gives the usual one.
+    """
+
+    def result(own: np.ndarray, seen: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(own.astype(np.float64) * seen), pa.array(np.full(SIZE, float(seen)))],
+                                          names=["i", "value", "seen"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, last = flat.astype(np.float32), 0, None
+        for batch in batches:
+            for i, part in enumerate(batch.column(0).to_pylist()):
+                if part != last and seen:
+                    yield result(own, seen)
+                    own, seen = flat.astype(np.float32), 0
+                last = part
+                codes, ends = (np.frombuffer(batch.column(j)[i].as_buffer(), kind) for j, kind in ((1, np.int16), (2, np.int64)))
+                offsets = np.r_[0, ends]
+                line, place = padded(codes, offsets)
+                chosen = place[masked(offsets, k)]
                 learn(own, line, chosen)
                 seen += len(chosen)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(own.astype(np.float64) * seen), pa.array(np.full(SIZE, float(seen)))],
-                                             names=["i", "value", "seen"])
+            yield result(own, seen)
 
     summed = texts.mapInArrow(run, "i int, value double, seen double").groupBy("i").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
     out = flat.copy()
@@ -224,7 +300,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks, flat = shared.value
         known = Vocabulary(hashes, ranks)
-        own = Model(known, flat)
+        own = Model(known, flat.astype(np.float32))
         for batch in batches:
             for first, data, documents in slices(batch.column(1)):
                 w = words(data, documents)

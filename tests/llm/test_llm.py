@@ -477,6 +477,48 @@ def test_masked_lm(spark):
     assert masked_lm.report(documents(spark, [])).count() == 0
 
 
+def test_masked_lm_rounds_read_codes_and_steps_are_the_gradient(spark, monkeypatch):
+    """Texts are split into words twice, not again in every round; a step agrees with the formulas written out."""
+    docs = documents(spark, [(i, prose(40)) for i in range(20)]).coalesce(2)
+    read, coded = [], masked_lm.coded
+    monkeypatch.setattr(masked_lm, "coded", lambda *given: read.append(coded(*given)) or read[-1])
+    rounds = masked_lm._round
+    monkeypatch.setattr(masked_lm, "_round", lambda texts, flat, k: rounds(texts, flat, k) if texts is read[0] else pytest.fail("a round reads texts"))
+    masked_lm.train(docs)
+    assert sum(len(r["codes"]) for r in read[0].collect()) == 2 * 20 * 40
+    flat = masked_lm.start_weights(np.ones(masked_lm.CODES))
+    flat[:] = RANDOM.normal(0, 0.3, masked_lm.SIZE)
+    line, place = masked_lm.padded(RANDOM.integers(0, 300, 200).astype(np.int32), np.array([0, 50, 50, 200]))
+    w = {k: v.astype(np.float64) for k, v in masked_lm.unpack(flat.copy()).items()}
+    mine = flat.copy()
+    masked_lm.learn(mine, line, place)
+    for a in range(0, 200, masked_lm.BATCH):
+        grad = {k: np.zeros_like(v) for k, v in w.items()}
+        for at in place[a : a + masked_lm.BATCH]:
+            context = line[at + masked_lm.OFFSETS]
+            x = w["embed"][context].ravel()
+            h = np.tanh(x @ w["mix"] + w["mix0"])
+            top, low = divmod(line[at], masked_lm.DIGITS)
+            d1, d2 = (np.exp(z) / np.exp(z).sum() for z in (h @ w["head"] + w["head0"], h @ w["member"] + w["member0"] + w["of_class"][top]))
+            d1[top] -= 1
+            d2[low] -= 1
+            dz = (w["head"] @ d1 + w["member"] @ d2) * (1 - h * h)
+            for name, g in (("head", np.outer(h, d1)), ("head0", d1), ("member", np.outer(h, d2)), ("member0", d2), ("mix", np.outer(x, dz)), ("mix0", dz)):
+                grad[name] += g
+            grad["of_class"][top] += d2
+            np.add.at(grad["embed"], context, (w["mix"] @ dz).reshape(-1, masked_lm.WIDTH))
+        for name, g in grad.items():
+            w[name] -= masked_lm.RATE * 32 / masked_lm.BATCH * g
+    for name, value in masked_lm.unpack(mine).items():
+        assert np.abs(value - w[name]).max() < 1e-4, name
+    # Scores that exp cannot take as they are.
+    w = masked_lm.unpack(mine)
+    w["head0"] += np.linspace(-500, 500, masked_lm.DIGITS).astype(np.float32)
+    assert np.isfinite(masked_lm.log_probabilities(w, line, place)).all()
+    masked_lm.learn(mine, line, place)
+    assert np.isfinite(mine).all()
+
+
 def test_masked_lm_counts_and_masks_every_word(spark):
     n = 3 * masked_lm.KNOWN
     docs = documents(spark, [(1, " ".join(f"v{i}" for i in range(n)))])
