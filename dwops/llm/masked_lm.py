@@ -25,6 +25,7 @@ from dwops.llm.text import mix, slices, words
 from dwops.session import stored
 
 DIGITS = 64
+SLOT = np.uint64(48)            # without so many last bits a hash is a slot
 RARE = 64                       # codes shared by words that are not among the most frequent
 CODES = DIGITS * DIGITS
 KNOWN = CODES - RARE
@@ -33,7 +34,7 @@ SIDE, WIDTH, HIDDEN = 3, 16, 32
 MASK, BATCH, RATE = 8, 128, 0.05
 ROUNDS = MASK                   # so that every word is predicted once
 AT_ONCE = 1 << 10              # places scored together, few enough to stay in the processor's cache
-PLAIN = 60                      # within this, exp needs no shift
+PLAIN = 80                      # within this, exp needs no shift
 OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 
 SHAPES = {
@@ -41,6 +42,7 @@ SHAPES = {
     "member": (HIDDEN, DIGITS), "member0": (DIGITS,), "of_class": (DIGITS, DIGITS),
 }
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+LANES = 16                      # weights go to their sum in rows of so many; divides SIZE
 
 
 def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -69,7 +71,7 @@ class Vocabulary:
 
     def __init__(self, hashes: np.ndarray, ranks: np.ndarray):
         """Hashes of the most frequent words in ascending order, and each one's rank by frequency."""
-        self.hashes, self.ranks = hashes, ranks
+        self.hashes, self.ranks, self.slots = hashes, ranks, None
 
     @classmethod
     def ranked(cls, hashes: np.ndarray) -> Vocabulary:
@@ -78,11 +80,19 @@ class Vocabulary:
         return cls(hashes[order], order.astype(np.int32))
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
-        rare = (KNOWN + hashes % np.uint64(RARE)).astype(np.int32)
+        rare = (KNOWN + (hashes & np.uint64(RARE - 1))).astype(np.int32)
         if not len(self.hashes):
             return rare
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.ranks[at], rare)
+        # Most words have the slot of their first bits for themselves; those of a shared one are searched for.
+        if self.slots is None:
+            slot = (self.hashes >> SLOT).astype(np.int64)
+            n, self.slots = np.bincount(slot, minlength=1 << 16), np.zeros(1 << 16, np.int64)
+            self.slots[slot] = np.arange(len(slot))
+            self.slots[n > 1] = -1
+        at = self.slots.take((hashes >> SLOT).astype(np.int64))
+        shared = np.flatnonzero(at < 0)
+        at[shared] = np.minimum(np.searchsorted(self.hashes, hashes[shared]), len(self.hashes) - 1)
+        return np.where(self.hashes.take(at) == hashes, self.ranks.take(at), rare)
 
 
 def padded(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +103,11 @@ def padded(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, place
 
 
-def _exp(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """z becomes exp(z - c) in place, with one c a row of DIGITS; the rows' sums, and c."""
+def _exp(z: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """z becomes exp(z - c) in place, with one c a row of DIGITS; the rows' sums, and c. ``plain``: z is known to be within PLAIN."""
     rows = z.reshape(-1, DIGITS)
     c = np.zeros(len(rows), np.float32)
-    if len(rows) and not (-PLAIN < z.min() and z.max() < PLAIN):
+    if len(rows) and not plain and not (-PLAIN < z.min() and z.max() < PLAIN):
         c = rows.max(axis=1)
         rows -= c[:, None]
     np.exp(z, out=z)
@@ -112,22 +122,26 @@ def _heads(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def log_probabilities(w: dict[str, np.ndarray], line: np.ndarray, place: np.ndarray) -> np.ndarray:
     """log P(word | SIDE words before and after) at each place."""
     table = [w["embed"] @ w["mix"][j * WIDTH : (j + 1) * WIDTH] for j in range(2 * SIDE)]
-    both, both0 = _heads(w)
+    table[0] = table[0] + w["mix0"]
+    both, _ = _heads(w)
+    member0 = w["of_class"] + w["member0"]
+    # No output of tanh is beyond 1, so this bounds what goes into exp.
+    plain = bool(np.abs(both).sum(axis=0).max() + max(np.abs(w["head0"]).max(), np.abs(member0).max()) < PLAIN)
     out = np.empty(len(place), np.float64)
     for a in range(0, len(place), AT_ONCE):
         at = place[a : a + AT_ONCE]
         n = len(at)
-        h = w["mix0"] + table[0].take(line[at + OFFSETS[0]], axis=0)
+        h = table[0].take(line[at + OFFSETS[0]], axis=0)
         for t, o in zip(table[1:], OFFSETS[1:]):
             h += t.take(line[at + o], axis=0)
         np.tanh(h, out=h)
         head, member = np.divmod(line[at], DIGITS)
         z = h @ both
-        z += both0
-        z[:, DIGITS:] += w["of_class"].take(head, axis=0)
+        z[:, :DIGITS] += w["head0"]
+        z[:, DIGITS:] += member0.take(head, axis=0)
         spots = np.arange(0, n * 2 * DIGITS, 2 * DIGITS)
         own = z.take(spots + head) + z.take(spots + DIGITS + member)
-        sums, c = _exp(z)
+        sums, c = _exp(z, plain)
         out[a : a + AT_ONCE] = own - (np.log(sums) + c).reshape(n, 2).sum(axis=1)
     return out
 
@@ -136,41 +150,41 @@ def learn(flat: np.ndarray, line: np.ndarray, place: np.ndarray, rate: float = R
     """Stochastic gradient steps over masked places, in place."""
     w = unpack(flat)
     embed, of_class = w["embed"].reshape(-1), w["of_class"].reshape(-1)  # views, for updates by single numbers
-    both, both0 = _heads(w)
+    both = np.vstack(_heads(w))  # the biases are the weights of a last input that is 1
     step = np.float32(rate * 32 / BATCH)
     wide, digits = np.arange(WIDTH), np.arange(DIGITS)
     contexts = line[place[:, None] + OFFSETS].astype(np.int64)
     heads, members = np.divmod(line[place].astype(np.int64), DIGITS)
+    # Where each word's two digits lie among its step's outputs.
+    inside = np.arange(len(place)) % BATCH * 2 * DIGITS
+    targets = np.stack([inside + heads, inside + DIGITS + members], axis=1)
     # Room for one step, taken once.
     empty = lambda *shape: np.empty(shape, np.float32)
-    room_x, room_h, room_d, room_own, room_z, room_g = empty(BATCH, 2 * SIDE, WIDTH), empty(BATCH, HIDDEN), empty(BATCH, 2 * DIGITS), empty(BATCH, DIGITS), empty(BATCH, HIDDEN), empty(BATCH, HIDDEN)
+    room_x, room_z, room_d, room_own, room_g = empty(BATCH, 2 * SIDE, WIDTH), empty(BATCH, HIDDEN), empty(BATCH, 2 * DIGITS), empty(BATCH, DIGITS), empty(BATCH, HIDDEN)
+    room_h = np.ones((BATCH, HIDDEN + 1), np.float32)
     of_both, of_mix = np.empty_like(both), np.empty_like(w["mix"])
     room_class, room_embed = np.empty((BATCH, DIGITS), np.int64), np.empty((BATCH, 2 * SIDE, WIDTH), np.int64)
-    spots, one = np.arange(0, BATCH * 2 * DIGITS, 2 * DIGITS), np.ones(BATCH, np.float32)
+    one = np.ones(BATCH, np.float32)
     for a in range(0, len(place), BATCH):
-        context, head, member = contexts[a : a + BATCH], heads[a : a + BATCH], members[a : a + BATCH]
+        context, head = contexts[a : a + BATCH], heads[a : a + BATCH]
         n = len(head)
-        x, h, d, own, dz, g = room_x[:n], room_h[:n], room_d[:n], room_own[:n], room_z[:n], room_g[:n]
+        x, h1, d, own, dz, g = room_x[:n], room_h[:n], room_d[:n], room_own[:n], room_z[:n], room_g[:n]
         w["embed"].take(context, axis=0, out=x, mode="clip")
-        np.dot(x.reshape(n, -1), w["mix"], out=h)
-        h += w["mix0"]
-        np.tanh(h, out=h)
+        np.dot(x.reshape(n, -1), w["mix"], out=dz)
+        dz += w["mix0"]
+        h = np.tanh(dz, out=h1[:, :HIDDEN])
         # Gradients of the two softmaxes' inputs, times the step.
-        np.dot(h, both, out=d)
-        d += both0
+        np.dot(h1, both, out=d)
         d[:, DIGITS:] += w["of_class"].take(head, axis=0, out=own, mode="clip")
         sums, _ = _exp(d)
         rows = d.reshape(-1, DIGITS)
         rows *= (step / sums)[:, None]
-        hits = d.reshape(-1)
-        hits[spots[:n] + head] -= step
-        hits[spots[:n] + DIGITS + member] -= step
-        np.dot(d, both.T, out=dz)
+        d.reshape(-1)[targets[a : a + n]] -= step
+        np.dot(d, both[:HIDDEN].T, out=dz)
         np.multiply(h, h, out=g)
         np.subtract(1, g, out=g)
         dz *= g
-        both -= np.dot(h.T, d, out=of_both)
-        both0 -= one[:n] @ d
+        both -= np.dot(h1.T, d, out=of_both)
         own[:] = d[:, DIGITS:]
         np.subtract.at(of_class, np.add((head * DIGITS)[:, None], digits, out=room_class[:n]).reshape(-1), own.reshape(-1))
         before = np.dot(x.reshape(n, -1).T, dz, out=of_mix)
@@ -178,8 +192,8 @@ def learn(flat: np.ndarray, line: np.ndarray, place: np.ndarray, rate: float = R
         np.subtract.at(embed, np.add((context * WIDTH)[:, :, None], wide, out=room_embed[:n]).reshape(-1), x.reshape(-1))
         w["mix"] -= before
         w["mix0"] -= one[:n] @ dz
-    w["head"][:], w["member"][:] = both[:, :DIGITS], both[:, DIGITS:]
-    w["head0"][:], w["member0"][:] = both0[:DIGITS], both0[DIGITS:]
+    w["head"][:], w["member"][:] = both[:HIDDEN, :DIGITS], both[:HIDDEN, DIGITS:]
+    w["head0"][:], w["member0"][:] = both[HIDDEN, :DIGITS], both[HIDDEN, DIGITS:]
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -258,9 +272,12 @@ def _round(texts: DataFrame, flat: np.ndarray, k: int) -> np.ndarray:
     Arrays that travelled have a type of their own, for which numpy has no fast paths: a step took 4 times as long. ``astype`` gives the usual one.
     """
 
+    lanes = [f"v{j}" for j in range(LANES)]
+
     def result(own: np.ndarray, seen: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(own.astype(np.float64) * seen), pa.array(np.full(SIZE, float(seen)))],
-                                          names=["i", "value", "seen"])
+        values = (own.astype(np.float64) * seen).reshape(LANES, -1)
+        n = values.shape[1]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, values), pa.array(np.full(n, float(seen)))], names=["i", *lanes, "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, last = flat.astype(np.float32), 0, None
@@ -279,10 +296,12 @@ def _round(texts: DataFrame, flat: np.ndarray, k: int) -> np.ndarray:
         if seen:
             yield result(own, seen)
 
-    summed = texts.mapInArrow(run, "i int, value double, seen double").groupBy("i").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    kinds = ", ".join(f"{v} double" for v in lanes)
+    summed = texts.mapInArrow(run, f"i int, {kinds}, seen double").groupBy("i").agg(*(F.sum(v).alias(v) for v in lanes), F.sum("seen").alias("seen"))
     out = flat.copy()
-    rows = summed.select("i", (F.col("value") / F.col("seen")).alias("v")).collect()  # SIZE rows
-    out[[r["i"] for r in rows]] = [r["v"] for r in rows]
+    rows = summed.select("i", *((F.col(v) / F.col("seen")).alias(v) for v in lanes)).collect()  # SIZE numbers
+    if rows:
+        out.reshape(LANES, -1)[:, [r["i"] for r in rows]] = np.array([r[1:] for r in rows]).T
     return out
 
 
